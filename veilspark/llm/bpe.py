@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import itertools
 import json
 import re
 import unicodedata
@@ -33,8 +34,8 @@ from .shared import ship, slices, strings, whole_text
 
 #: Fixed value: the byte-level pre-tokenizer's published pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct pieces that a worker's memo holds before it starts anew (memory only, never results).
-MEMO = 300_000
+#: Distinct pieces in a worker's memo beyond which it forgets rare ones (memory only, never results).
+MEMO = 500_000
 NEVER = np.int64(1) << 40
 
 
@@ -218,6 +219,7 @@ class TextEncoder:
 
     def reset(self) -> None:
         self.slot: dict[str, int] = {}
+        self.hits = np.empty(0, np.int64)
         self.starts, self.counts, self.flat, self.used = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), 0
 
     def pieces(self, text: str) -> list[str]:
@@ -259,8 +261,20 @@ class TextEncoder:
         self.slot.update(zip(plain + special, range(first, first + len(new))))
         self.starts = np.concatenate([self.starts, self.used + np.cumsum(counts) - counts])
         self.counts = np.concatenate([self.counts, counts])
+        self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
         self.used += len(ids)
 
+    def _shrink(self) -> None:
+        """Forget the pieces met once, and more of the rarest if half the memo would stay."""
+        least = 2 if len(self.hits) < 2 else max(2, int(np.partition(self.hits, len(self.hits) // 2)[len(self.hits) // 2]) + 1)
+        keep = np.flatnonzero(self.hits >= least)
+        keys = list(self.slot)  # in order of their slots
+        self.slot = {keys[k]: i for i, k in enumerate(keep.tolist())}
+        starts, self.counts, self.hits = self.starts[keep], self.counts[keep], self.hits[keep] // 2
+        self.starts = np.cumsum(self.counts) - self.counts
+        ids = self.flat[np.repeat(starts - self.starts, self.counts) + np.arange(self.counts.sum())]
+        self.flat, self.used = ids, len(ids)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the texts (int32) and the number of ids of each."""
         keys: list[str] = []
@@ -269,14 +283,14 @@ class TextEncoder:
             own = self.keys(text)
             each[i] = len(own)
             keys += own
-        wanted = set(keys)
-        new = sorted(wanted.difference(self.slot))
-        if new and len(self.slot) + len(new) > MEMO:
-            self.reset()
-            new = sorted(wanted)
-        if new:
-            self._learn(new)
-        slots = np.fromiter(map(self.slot.__getitem__, keys), np.int64, len(keys))
+        if len(self.slot) > MEMO:
+            self._shrink()
+        slots = np.fromiter(map(self.slot.get, keys, itertools.repeat(-1)), np.int64, len(keys))
+        if len(unknown := np.flatnonzero(slots < 0)):
+            new = [keys[i] for i in unknown.tolist()]
+            self._learn(sorted(set(new)))
+            slots[unknown] = np.fromiter(map(self.slot.__getitem__, new), np.int64, len(new))
+        self.hits += np.bincount(slots, minlength=len(self.hits))
         counts = self.counts[slots]
         shift = self.starts[slots] - (np.cumsum(counts) - counts)
         ids = self.flat[np.repeat(shift, counts) + np.arange(counts.sum())]
@@ -301,7 +315,7 @@ def speculative_encoder(spec: str) -> TextEncoder:
         model, cut = model_of(spec), splitter(spec)
 
         def encode_pieces(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            split = [cut(p) for p in pieces]
+            split = [[p] if p[1:].isalpha() and p[0] == " " else cut(p) for p in pieces]  # a space and letters: one word
             ids, counts = model.encode_words([w.encode() for words in split for w in words])
             each = np.fromiter(map(len, split), np.int64, len(split))
             upto = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(each)])]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, quality, sharding, simhash
+from . import bpe, chat, lang_ppm, packing, quality, sharding, simhash, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.default_tokenizer())
 
 
+def op2_lang_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_ppm.predict(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -36,5 +40,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op3_chat, op4_simhash, op5_sharding, op8_quality)}
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.write_and_digest(table(spark, sf_dir, "documents"), bpe.default_tokenizer())
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), bpe.default_tokenizer())
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_lang_ppm, op3_chat, op4_simhash, op5_sharding, op8_quality, op9_token_files, op10_packing)}
 ORACLES: dict[str, str] = {"op3_chat": chat.ORACLE}
