@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, lang_ppm, packing, quality, sharding, simhash, token_files
+from . import bpe, chat, hnsw, lang_ppm, lm_score, packing, quality, sharding, simhash, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,15 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), 8)
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hnsw.usable(table(spark, sf_dir, "embeddings"))
+    return hnsw.search(rows, rows.filter("vec_id % 100 = 0"), 10)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,5 +57,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), bpe.default_tokenizer())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_lang_ppm, op3_chat, op4_simhash, op5_sharding, op8_quality, op9_token_files, op10_packing)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_lang_ppm, op3_chat, op4_simhash, op5_sharding, op6_lm_score, op7_hnsw, op8_quality, op9_token_files, op10_packing, pipeline)}
 ORACLES: dict[str, str] = {"op3_chat": chat.ORACLE}

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialize, partitions, ship, strings, whole_text
@@ -55,7 +55,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fp = np.array([fingerprint(t, shingle) for t in strings(batch, "text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    out = docs.select("doc_id", F.lit(0).cast("long").alias("fp")).schema
+    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, out)
 
 
 def offsets(radius: int) -> list[int]:
@@ -199,3 +200,19 @@ def group(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> Data
     named = rooted.join(ids, "root").select(F.col("fp").alias("__fp"), "component_id")
     out = prints.join(named, F.col("fp") == F.col("__fp"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def admit(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """docs with one row of each component: that of the smallest doc_id (nulls last), then of the
+    smallest hash of the text. Only ids, hashes and fingerprints are grouped, never texts."""
+    text_hash, last = F.xxhash64(whole_text()), F.lit((1 << 63) - 1)
+    rows = docs.select("text", F.struct(F.coalesce(F.col("doc_id").cast("long"), last).alias("id"), text_hash.alias("h")).alias("doc_id"))
+    prints = materialize(fingerprints(rows, shingle), "fingerprints")
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(links(nodes.select("fp"), radius))
+    best = nodes.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp")).agg(F.min("least").alias("best"))
+    best = best.select(F.col("best.id").alias("__kept"), F.col("best.h").alias("__kept_hash"))
+    keyed = docs.select(F.struct(*docs.columns).alias("__row"), F.coalesce(F.col("doc_id").cast("long"), last).alias("__id"), text_hash.alias("__hash"))
+    kept = keyed.join(best, (F.col("__id") == F.col("__kept")) & (F.col("__hash") == F.col("__kept_hash")), "left_semi")
+    once = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy(F.lit(0)))  # the row itself may be repeated
+    return kept.withColumn("__nth", once).filter("__nth = 1").select("__row.*")
