@@ -40,9 +40,14 @@ def cluster_summary(reports: DataFrame, by: list[str], order: str, latest: list[
     return reports.groupBy(*by).agg(newest, F.max(order).alias("last"), F.count(F.lit(1)).alias("reports"), *[F.sum(c).alias(f"sum_{c}") for c in sums]).select(*by, "newest.*", "last", "reports", *[f"sum_{c}" for c in sums])
 
 
+def epoch_seconds(at: str) -> Column:
+    """Whole seconds since 1970 of a time without zone, whatever the session's zone."""
+    return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST({at} AS TIMESTAMP_NTZ))")
+
+
 def rise_over(samples: DataFrame, key: str, at: str, rise: str, seconds: int) -> Column:
     """Sum of a rise over the last `seconds` of the key, the row's own moment included."""
-    return F.sum(rise).over(Window.partitionBy(key).orderBy(F.unix_seconds(at)).rangeBetween(-seconds, 0))
+    return F.sum(rise).over(Window.partitionBy(key).orderBy(epoch_seconds(at)).rangeBetween(-seconds, 0))
 
 
 def upsert_sum(base: DataFrame, more: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:

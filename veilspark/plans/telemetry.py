@@ -52,7 +52,7 @@ GROWTH = "SELECT *, CASE WHEN p IS NULL THEN 0 WHEN value >= p THEN value - p EL
 
 def window_report(spark, sf_dir):
     w = F.window("ts", "5 minutes")
-    return table(spark, sf_dir, "events").groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("value").cast("decimal(30,10)")).cast("double"), 4).alias("total")).select(F.unix_seconds("w.start").alias("from_s"), "event_type", "n", "total")
+    return table(spark, sf_dir, "events").groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("value").cast("decimal(30,10)")).cast("double"), 4).alias("total")).select(counters.epoch_seconds("w.start").alias("from_s"), "event_type", "n", "total")
 
 
 def cluster_summary(spark, sf_dir):
@@ -122,7 +122,7 @@ def alerts(spark, sf_dir):
     rows = counters.growth(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value")
     rows = rows.withColumn("whole", F.round("growth").cast("long"))
     hour = counters.rise_over(rows, "user_id", "ts", "whole", 3600)
-    gap = F.unix_seconds("ts") - F.lag(F.unix_seconds("ts")).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    gap = counters.epoch_seconds("ts") - F.lag(counters.epoch_seconds("ts")).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     return rows.select("event_id", hour.alias("increase"), (hour > 100).alias("high"), (hour == 0).alias("silent"), F.coalesce(gap > 3 * 3600, F.lit(False)).alias("stale"))
 
 
