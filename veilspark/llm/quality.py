@@ -135,3 +135,33 @@ def admit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     for rule in GRID:
         fine = fine & ~F.coalesce(values[rule] > F.col(f"`{rule}`"), F.lit(False))
     return base.withColumn("__s", stratum()).join(F.broadcast(chosen), F.col("__s") == F.col("__stratum"), "left").filter(fine).select("__row.*")
+
+
+def _oracle() -> str:
+    strata = "CASE " + " ".join(f"WHEN n_words < {b} THEN {i}" for i, b in enumerate(STRATA)) + f" ELSE {len(STRATA)} END"
+    values = {
+        "symbols": "n_symbols / greatest(word_chars, 1)", "dup_lines": "n_dup_lines / greatest(n_lines, 1)", "repeats": "n_repeat_words / greatest(n_words, 1)",
+        "long_words": "word_chars / greatest(n_words, 1)", "short_words": "-word_chars / greatest(n_words, 1)",
+    }
+    tests, p = sum(map(len, GRID.values())) * (len(STRATA) + 1), ALPHA / len(GRID)
+    grid = ", ".join(f"('{r}', {c}::DOUBLE)" for r, cs in GRID.items() for c in cs)
+    value = "CASE g.rule " + " ".join(f"WHEN '{r}' THEN {r}" for r in GRID) + " END"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+places AS (SELECT r, words, unnest(range(0, len(words) - {WINDOW - 1})) AS i FROM w WHERE len(words) >= {WINDOW}),
+windows AS (SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(words[i + 1:i + {WINDOW}], ' ')) AS n FROM places),
+repeats AS (SELECT r, count(DISTINCT j) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + {WINDOW})) AS j FROM windows WHERE n > 1) GROUP BY r),
+base AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines FROM w LEFT JOIN repeats USING (r)),
+v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {strata} AS stratum, {', '.join(f'{e} AS {r}' for r, e in values.items())} FROM base),
+good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
+g(rule, cutoff) AS (VALUES {grid}),
+counts AS (SELECT stratum, g.rule, g.cutoff, count(*) AS n, count(*) FILTER (WHERE {value} > g.cutoff) AS k FROM v JOIN good USING (doc_id), g WHERE NOT base_failed GROUP BY ALL),
+proven AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM counts WHERE k <= n * {p} AND list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p}) + (n - j) * ln(1 - {p})))) <= {DELTA} / {tests} GROUP BY ALL),
+chosen AS (SELECT stratum, {', '.join(f"max(cutoff) FILTER (WHERE rule = '{r}') AS c_{r}" for r in GRID)} FROM proven GROUP BY stratum),
+judged AS (SELECT v.*, CASE WHEN base_failed THEN 'base' {' '.join(f"WHEN {r} > c_{r} THEN '{r}'" for r in GRID)} END AS rule FROM v LEFT JOIN chosen USING (stratum))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rule IS NULL AS kept, rule FROM judged"""
+
+
+ORACLE = _oracle()

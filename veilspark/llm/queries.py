@@ -64,4 +64,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_lang_ppm, op3_chat, op4_simhash, op5_sharding, op6_lm_score, op7_hnsw, op8_quality, op9_token_files, op10_packing, pipeline)}
-ORACLES: dict[str, str] = {"op3_chat": chat.ORACLE}
+ORACLES: dict[str, str] = {"op3_chat": chat.ORACLE, "op8_quality": quality.ORACLE}
