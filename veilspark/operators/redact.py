@@ -14,7 +14,7 @@ from ..config import ScanConfig
 RESULT = "redacted string, findings array<struct<strategy:string,label:string>>, error string"
 #: Longest line that is scanned, in bytes; a longer one becomes a marker line.
 LINE_BYTES = 10 << 20
-TOO_LONG, DROPPED = "[PII_SHIELD_WARN: LINE_TOO_LONG]", "[PII_SHIELD_DROP: FATAL_ERROR]"
+TOO_LONG, DROPPED = "[WARN: LINE_TOO_LONG]", "[DROP: FATAL_ERROR]"
 
 
 def ship(spark: SparkSession) -> None:

@@ -23,6 +23,8 @@ from ..functions.native import SAFE_SHAPES
 
 DEPTH = 32
 SPACES = " \t,;[]{}()<>【】「」『』〔〕〈〉《》〖〗（）［］｛｝"
+#: Runs in which no character means anything to the cutting of words.
+PLAIN, IN_QUOTE = re.compile("[^" + re.escape(SPACES) + "\"'\\\\&\\n]+"), re.compile("[^\"'\\\\]+")
 SIGNATURES = [(label, re.compile(p, re.A)) for label, p in vocab.SIGNATURES]
 EMAIL = re.compile(vocab.EMAIL, re.A)
 SAFE = {k: re.compile(p, re.A) for k, p in SAFE_SHAPES.items()}
@@ -40,6 +42,12 @@ IPV6 = re.compile(r"(?=.*:.*:)[0-9a-fA-F:]{2,39}(?:%\w+)?(?:/[0-9]{1,3})?")
 HASH_RANGE = re.compile(r"[0-9a-f]{7,40}\.{2,3}[0-9a-f]{7,40}")
 LOG_PREFIX = re.compile(r"(?:" + "|".join(vocab.LOG_LEVELS) + r"):[A-Za-z_][\w.\-]*:", re.A)
 ASSIGNED = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*=")
+PARTS = re.compile(r"[_.\-]|(?<=[a-z])(?=[A-Z])")
+PART = re.compile(r"[A-Za-z]?[a-z]{1,19}|[A-Z]{2,12}|[A-Za-z]?[0-9]{1,4}")
+CLOSED = re.compile(r"([^\W\d_]+)[.!?]{1,3}")
+HUMP = re.compile(r"([a-z])(?=[A-Z])")
+JOINTS = re.compile(r"[_.\-]")
+HEX = re.compile(r"[0-9a-fA-F]{7,40}")
 STRONG = {"pass", "password", "passwd", "passphrase", "secret", "token"}
 COPULAS = {"is", "was", "are", "were"}
 GENERIC_NAMES, GENERIC_VALUES = {"key", "name", "setting"}, {"value", "val", "values", "data"}
@@ -65,6 +73,8 @@ class Expect:
 
 
 NOTHING = Expect()
+#: Characters without which a word is no quoted text, pair, address, path, escape or marker.
+SIGNS = frozenset("\"'`=:?\\[/：")
 #: Words whose verdict a scanner keeps before it starts anew.
 MEMO = 200_000
 
@@ -79,7 +89,7 @@ class Finding:
 def key_words(key: str) -> list[str]:
     if len(key.encode()) > 64:
         return []
-    words = [w for w in re.split(r"[_.\-]", re.sub(r"([a-z])(?=[A-Z])", r"\1_", key).lower()) if w]
+    words = [w for w in JOINTS.split(HUMP.sub(r"\1_", key).lower()) if w]
     return words if len(words) <= 8 else []
 
 
@@ -115,6 +125,8 @@ def issuer(digits: str) -> bool:
 
 def safe_shape(token: str) -> bool:
     """Shapes that are never secrets by themselves."""
+    if token.isalpha() and len(token) not in (24, 40):
+        return False
     if SAFE["url"].search(token) or any(SAFE[k].match(token) for k in ("git_hash", "object_id", "unix_time", "iso_prefix", "decimal")):
         return True
     if HASH_RANGE.fullmatch(token) or IPV6.fullmatch(token) or FILE.fullmatch(token):
@@ -217,8 +229,8 @@ class Scanner:
 
     def part_score(self, token: str) -> float:
         """A name of several word-like parts scores as its most random part."""
-        parts = [p for p in re.split(r"[_.\-]|(?<=[a-z])(?=[A-Z])", token) if p]
-        if len(parts) > 1 and len(token.encode()) <= 128 and all(re.fullmatch(r"[A-Za-z]?[a-z]{1,19}|[A-Z]{2,12}|[A-Za-z]?[0-9]{1,4}", p) for p in parts):
+        parts = [p for p in PARTS.split(token) if p]
+        if len(parts) > 1 and len(token.encode()) <= 128 and all(map(PART.fullmatch, parts)):
             return max(self.complexity(p) for p in parts)
         return self.complexity(token)
 
@@ -232,7 +244,7 @@ class Scanner:
             describes = "token" in low and any(w in DESCRIBES for w in words if w not in ("token", "tokens"))
             if not random and not describes and "tokens" not in words:
                 return True
-        if FIELD.fullmatch(key) and low != "pwd" and set(key_words(key)) & {"pw", "pwd"}:
+        if "pw" in low and FIELD.fullmatch(key) and low != "pwd" and set(key_words(key)) & {"pw", "pwd"}:
             return True
         return self._matches(self.key_patterns, key, True)
 
@@ -322,6 +334,9 @@ class Scanner:
             return False
 
         while i < n:
+            if m := (IN_QUOTE if quote else PLAIN).match(s, i):
+                i = m.end()
+                continue
             c = s[i]
             if quote:
                 if c == "\\":
@@ -421,7 +436,7 @@ class Scanner:
         core = unquoted(token)
         low = core.lower().rstrip(":=")
         forced = self.forced(token, e)
-        if e.hash and re.fullmatch(r"[0-9a-fA-F]{7,40}", core):
+        if e.hash and HEX.fullmatch(core):
             return token, NOTHING
         done, key = self.token(token, forced, e.context and not forced, e.value, e.quoted_key, depth)
         nxt = Expect()
@@ -456,6 +471,10 @@ class Scanner:
         """The token rewritten; its key and whether a sign follows, if it waits for a value."""
         if depth > DEPTH:
             return self.verdict(unquoted(token), token, forced, context, quoted_key), None
+        if SIGNS.isdisjoint(token):  # a word with no sign that any form below needs
+            if not value and not forced and FIELD.fullmatch(token) and self.sensitive(token):
+                return token, (token, False)
+            return self.verdict(token, token, forced, context, quoted_key), None
         if m := re.fullmatch(r"(\\[\"'`]|`)(.+?)(\1)", token, re.S):
             inner, key = self.token(m[2], forced, context, value, False, depth + 1)
             return m[1] + inner + m[3], key
@@ -625,7 +644,7 @@ class Scanner:
                     return original
                 forced = True
         if not forced:
-            word = re.fullmatch(r"([^\W\d_]+)[.!?]{1,3}", content)
+            word = CLOSED.fullmatch(content)
             score = self.part_score(word[1] if word and not context else content)
             if score <= (self.c.entropy_threshold - (1.3 if context else 0)) * self.c.confidence_score:
                 return original
