@@ -78,6 +78,13 @@ def test_metrics(spark):
     assert got == {"a_total": ({"x": '1"\\n', "y": "\n"}, 3.0), "b": ({}, 4.5)}
 
 
+def test_diff_lines(spark):
+    from veilspark.operators.policies import DiffLines
+
+    got = [(r.op, r.line) for r in DiffLines(F.lit("a\nb\nc"), F.lit("a\nx\nc\nd")).collect()]
+    assert got == [(" ", "a"), ("+", "x"), ("-", "b"), (" ", "c"), ("+", "d")]
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).columns == ["lang", "source", "strategy", "label", "n"]
 
