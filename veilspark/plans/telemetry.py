@@ -75,7 +75,7 @@ PUBLICATIONS_SQL = """SELECT c_custkey, c_name, coalesce((SELECT count(*) FROM o
 def pulls(spark, sf_dir):
     """Events as pulls of a user: today and in the last seven days, by the newest day; customers without stay."""
     events = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"))
-    per_day = events.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(events.agg(F.max("day").alias("today"))))  # one row
+    per_day = events.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("n")).withColumn("today", events.agg(F.max("day")).scalar())
     recent = per_day.groupBy("user_id").agg(F.sum(F.when(F.col("day") == F.col("today"), F.col("n")).otherwise(0)).alias("d"), F.sum(F.when(F.datediff("today", "day") < 7, F.col("n")).otherwise(0)).alias("w"))
     users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user"))
     return users.join(recent, F.col("user") == F.col("user_id"), "left").select("user", F.coalesce("d", F.lit(0)).alias("today"), F.coalesce("w", F.lit(0)).alias("week"))
@@ -107,7 +107,7 @@ def trusted_and_gone(spark, sf_dir):
 def retention(spark, sf_dir):
     """Rows of the last 90 days of the log, and whether a conditional touch would write."""
     orders = table(spark, sf_dir, "orders")
-    kept = orders.crossJoin(F.broadcast(orders.agg(F.max("o_orderdate").alias("last")))).filter(F.col("o_orderdate") >= F.date_sub("last", 90))  # one row
+    kept = orders.filter(F.col("o_orderdate") >= F.date_sub(orders.agg(F.max("o_orderdate")).scalar(), 90))
     before = F.lag("o_orderdate").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
     return kept.select("o_orderkey", (before.isNull() | (F.datediff("o_orderdate", before) >= 7)).alias("touch"))
 
