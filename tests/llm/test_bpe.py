@@ -11,7 +11,7 @@ LIB = Tokenizer.from_str(SPEC)
 
 CASES = [
     "", " ", "  ", "\n", "\n\n", "\n\n\n", "a", " a", "a ", "a  b", "a\n b", "a \nb", "a\n \nb", "x y", "x  y", "don't we'll I'M 's", " 's", "<|endoftext|>", "a<|endoftext|> b <|endoftext|>",
-    "été größer niño 日本語 ٣٤٥ 🙂🙂‍🔥", "a\x1cb \x1c c\x85d", "1234567 12a34", "!!!??? ...,,", "\t\ttabs\tand\r\nlines\r", "zzzzzzzzzzzzzzzzzzzz", "a" * 5000, "​ x　y", "�\x00\x01",
+    "été größer niño 日本語 ٣٤٥ 🙂🙂‍🔥", "a\x1cb \x1c c\x85d", "1234567 12a34", "!!!??? ...,,", "a,b.c, d .e ,f ..., 1,000.5 e.g., x_,y ., ,", "one,two. three,\nfour.\n", "1.5,2.25", ",", ".a", " ,", "\n,", "a,\nb.\n", "don't, 's.", "\t\ttabs\tand\r\nlines\r", "zzzzzzzzzzzzzzzzzzzz", "a" * 5000, "​ x　y", "�\x00\x01",
 ]
 
 

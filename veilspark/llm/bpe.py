@@ -35,7 +35,7 @@ from .shared import ship, slices, strings, whole_text
 #: Fixed value: the byte-level pre-tokenizer's published pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct pieces in a worker's memo beyond which it forgets rare ones (memory only, never results).
-MEMO = 500_000
+MEMO = 600_000
 NEVER = np.int64(1) << 40
 
 
@@ -214,6 +214,7 @@ class TextEncoder:
     def __init__(self, encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], special: dict[str, int], split: Callable[[str], list[str]]):
         self.encode_pieces, self.special = encode_pieces, special
         self.split, self.gap = split, re.compile(r"\s\s")
+        self.inner = re.compile(r"[,.](?<![^\W_].)")  # one that doesn't follow a letter or digit
         self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.reset()
 
@@ -223,11 +224,19 @@ class TextEncoder:
         self.starts, self.counts, self.flat, self.used = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), 0
 
     def pieces(self, text: str) -> list[str]:
-        """Memo keys: a piece after a space; with '\\n' first, a piece as it stands; after one
-        leading space, any piece as it stands. Runs of white space take the pattern's slow way."""
+        """Memo keys: a piece after a space; with a line end, comma or full stop first, a piece as it
+        stands; after one leading space, any piece as it stands.
+
+        Spaces and line ends begin a token where no other white space is near; commas and full
+        stops do after a letter or digit. Texts with runs of white space take the pattern's slow way."""
         if self.gap.search(text):
-            return [w[1:] if len(w) > 1 and w[0] == " " and not w[1].isspace() else " " + w for w in self.split(text)]
-        out = text.replace("\n", " \n").split(" ")
+            return [w[1:] if len(w) > 1 and w[0] == " " and not w[1].isspace() and w[1] not in ",." else " " + w for w in self.split(text)]
+        if self.inner.search(text):
+            out = text.replace("\n", " \n").split(" ")
+            first, out = out[0], ["  " + p if p[:1] in (",", ".") else p for p in out]
+            out[0] = first
+        else:
+            out = text.replace(",", " ,").replace(".", " .").replace("\n", " \n").split(" ")
         if out[0]:
             out[0] = " " + out[0]
         elif text[0:1] == "\n" or not text:
@@ -238,7 +247,7 @@ class TextEncoder:
 
     @staticmethod
     def stands_for(key: str) -> str:
-        return key[1:] if key[:1] == " " else key if key[:1] == "\n" else " " + key
+        return key[1:] if key[:1] == " " else key if key[:1] in ("\n", ",", ".") else " " + key
 
     def keys(self, text: str) -> list[str]:
         if self.cut is None or not any(s in text for s in self.special):

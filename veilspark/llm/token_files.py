@@ -10,7 +10,7 @@ A file is one range of doc_id: ids are encoded after the texts are dealt out by
 the task that writes them. Its rows' global start is its own running count plus the totals of the
 files before it, which are read back from the two metadata columns.
 
-Null text: only the end id. Null ids come first, equal ids by text; repeated rows stay.
+Null text: only the end id. Null ids come first, equal ids by hash of their text; repeated rows stay.
 """
 
 from __future__ import annotations
@@ -41,7 +41,9 @@ def encode(docs: DataFrame, tokenizer: str, end: int | None = END) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     spec = spark.sparkContext.broadcast(bpe.read_spec(tokenizer))
-    dealt = docs.select("doc_id", whole_text().alias("text")).repartitionByRange(partitions(spark), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    keyed = docs.select("doc_id", F.xxhash64(whole_text()).alias("text_hash"), whole_text().alias("text"))
+    # the range's bounds are sampled from the keys: a hash, never texts
+    dealt = keyed.repartitionByRange(partitions(spark), "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, start, part = bpe.library_encoder(spec.value), 0, TaskContext.get().partitionId()
