@@ -66,6 +66,18 @@ def test_assembly(spark):
     assert assemble.cut(b"", b"x" * 25, 10) == ([(b"x" * 10, True), (b"x" * 10, True)], b"x" * 5)
 
 
+def test_assembly_of_a_stream(spark, tmp_path):
+    schema = "tgid int, fd int, seq long, data binary"
+    rows = [(1, 1, 1, b"ab\ncd"), (1, 1, 2, b"x"), (1, 1, 3, b"ef\n"), (1, 2, 4, b"tail"), (2, 1, 5, b"q\n")]
+    for i, part in enumerate((rows[:2], rows[2:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    seen = []
+    q = assemble.assemble_stream(stream, idle_ms=600_000).writeStream.outputMode("append").foreachBatch(lambda df, n: seen.extend(tuple(r) for r in df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted((t, f, line) for t, f, _, line, over in seen) == [(1, 1, "ab"), (1, 1, "cdxef"), (2, 1, "q")]
+
+
 def test_counters(spark):
     rows = [("a", 1, 100.0), ("a", 2, 120.0), ("a", 3, 130.0), ("b", 1, 50.0), ("b", 2, 7.0)]
     got = counters.growth(spark.createDataFrame(rows, "pod string, at int, v double"), "pod", ["at"], "v").agg(F.sum("growth")).first()[0]
