@@ -22,13 +22,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ship, slices, strings, whole_text
+from .shared import partitions, ship, slices, strings, whole_text
 
 WORDS, PAIRS, CELLS = 1 << 18, 1 << 21, 1 << 12
 BIGRAM_SHARE, FLAT = 0.5, 0.5
+SUMS, FAN = "block long, part long, target binary, background binary", 64
 #: Distinct words in a worker's memo beyond which it starts anew (memory only).
 MEMO = 400_000
 _MEMO: dict[bytes, int] = {}
@@ -78,14 +80,25 @@ def count(docs: DataFrame, labels: DataFrame) -> DataFrame:
         some = np.flatnonzero(blocks[1].any(1))
         for i in range(0, len(some), 64):
             at = some[i : i + 64]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array([blocks[m, j].astype("<i4").tobytes() for j in at], pa.binary()) for m in (0, 1))], names=["block", "target", "background"])
+            part = pa.array(np.full(len(at), TaskContext.get().partitionId(), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), part, *(pa.array([blocks[m, j].astype("<i8").tobytes() for j in at], pa.binary()) for m in (0, 1))], names=["block", "part", "target", "background"])
 
     def total(table: pa.Table) -> pa.Table:
-        sums = [np.sum([np.frombuffer(x, "<i4").astype(np.int64) for x in table[m].to_pylist()], 0) for m in ("target", "background")]
-        return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int64()), **{m: pa.array([s.astype("<i8").tobytes()], pa.binary()) for m, s in zip(("target", "background"), sums)}})
-
-    return flagged.mapInArrow(run, "block long, target binary, background binary").groupBy("block").applyInArrow(total, "block long, target binary, background binary")
-
+        sums = np.zeros((2, CELLS), np.int64)
+        for batch in table.to_batches():
+            for m in (0, 1):
+                for x in batch.column(("target", "background")[m]):
+                    sums[m] += np.frombuffer(x.as_buffer(), "<i8")
+        first = table.slice(0, 1)
+        return pa.table({"block": first["block"], "part": first["part"], "target": pa.array([sums[0].tobytes()], pa.binary()), "background": pa.array([sums[1].tobytes()], pa.binary())})
+
+    # Sums in a tree: no group holds more than about FAN rows, however many partitions there are.
+    sums, width = flagged.mapInArrow(run, SUMS), partitions(docs.sparkSession)
+    while True:
+        width = -(-width // FAN)
+        sums = sums.withColumn("part", F.col("part") % width).groupBy("block", "part").applyInArrow(total, SUMS)
+        if width == 1:
+            return sums
 
 def losses(counts: np.ndarray, words: np.ndarray, cells: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Bits for each token under one model's counts (words, then pairs)."""
