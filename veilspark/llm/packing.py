@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from .sharding import ordered_rows
-from .shared import ship, slices, strings, whole_text
+from .shared import materialize, ship, slices, strings, whole_text
 
 CONTEXT, BUCKETS, BUDGET = 2048, 16, 65_536
 
@@ -78,7 +78,8 @@ def pack(docs: DataFrame, tokenizer: str, context: int = CONTEXT, buckets: int =
     """doc_id, piece, n_tokens, bucket (its boundary), batch and slot (from 0 within bucket and
     batch) and padding of each piece."""
     pieces = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / context)).cast("long")
-    counted = lengths(docs, tokenizer).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
+    written = materialize(lengths(docs, tokenizer), "lengths")  # dealing by range reads its input twice; texts are encoded once
+    counted = written.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
     counted = counted.withColumn("n_tokens", F.least(F.lit(context).cast("long"), F.col("n_tokens") - F.col("piece") * context))
     rows = ordered_rows(counted, ["n_tokens", "doc_id", "piece", "text_hash"], "packing").drop("text_hash")
     histogram = {r["n_tokens"]: r["n"] for r in rows.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most context + 1 rows
