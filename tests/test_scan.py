@@ -44,6 +44,7 @@ CASES = [
     ("rename to secret/api_key_9f8e7d6c5b4a.txt", "rename to secret/api_key_9f8e7d6c5b4a.txt", {}),
     ("-----BEGIN RSA PRIVATE KEY-----", "[HIDDEN:{-----BEGIN RSA PRIVATE KEY-----}]", {}),
     ("a [HIDDEN:abc123] b", "a [HIDDEN:abc123] b", {}),
+    ('1.2.3.4 - - [12/Oct/2026:13:55:36 +0000] "GET /v1/items/5?page=2 HTTP/1.1" 200 5 "https://a.example/cart" "Mozilla/5.0 (X11; Linux x86_64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/126.0 Safari/537.36"',) * 2 + ({},),
     ("", "", {}),
 ]
 

@@ -39,6 +39,8 @@ GROUPED = re.compile(r"[0-9]+(?:[-. ][0-9]+)*")
 PATH = re.compile(r"(?:[A-Za-z]:)?[\\/]|\.{1,2}/|~/")
 FILE = re.compile(r"[\w\-.]{1,64}\.(?:[a-z][a-z0-9]{1,4})(?::[0-9]+)?", re.A)
 IPV6 = re.compile(r"(?=.*:.*:)[0-9a-fA-F:]{2,39}(?:%\w+)?(?:/[0-9]{1,3})?")
+PRODUCT = re.compile(r"[A-Z][a-z]+[A-Za-z]*/[0-9]+(?:\.[0-9]+)*")  # of a User-Agent
+LOG_DATE = re.compile(r"[0-9]{1,2}/[A-Z][a-z]{2}/[0-9]{4}(?::[0-9]{2}){0,3}$")
 HASH_RANGE = re.compile(r"[0-9a-f]{7,40}\.{2,3}[0-9a-f]{7,40}")
 LOG_PREFIX = re.compile(r"(?:" + "|".join(vocab.LOG_LEVELS) + r"):[A-Za-z_][\w.\-]*:", re.A)
 ASSIGNED = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*=")
@@ -129,7 +131,7 @@ def safe_shape(token: str) -> bool:
         return False
     if SAFE["url"].search(token) or any(SAFE[k].match(token) for k in ("git_hash", "object_id", "unix_time", "iso_prefix", "decimal")):
         return True
-    if HASH_RANGE.fullmatch(token) or IPV6.fullmatch(token) or FILE.fullmatch(token):
+    if PRODUCT.fullmatch(token) or LOG_DATE.match(token) or HASH_RANGE.fullmatch(token) or IPV6.fullmatch(token) or FILE.fullmatch(token):
         return True
     if PATH.match(token) and len(token) < 256 and not any(len(p) > 31 for p in re.split(r"[\\/]", token)) and not re.fullmatch(r"/(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[^/]*", token):
         return True
