@@ -127,11 +127,13 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
 def admit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that the rules reject; all columns stay as they are."""
     rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row"))
-    base = base_columns(rows, "doc_id", "__row")
-    small = materialize(base.drop("__row"), "quality")
+    small = materialize(base_columns(docs, "doc_id"), "quality")
     chosen = cutoffs(small, labels).groupBy("stratum").pivot("rule", list(GRID)).agg(F.min("cutoff")).withColumnRenamed("stratum", "__stratum")
+    # The number isn't deterministic, so no predicate moves below it: pushed down, each would carry
+    # the whole computation of its columns once more.
+    base = base_columns(rows, "doc_id", "__row").withColumn("__n", F.monotonically_increasing_id())
     values = rule_values()
-    fine = ~base_failed()
+    fine = ~base_failed() & (F.col("__n") >= 0)
     for rule in GRID:
         fine = fine & ~F.coalesce(values[rule] > F.col(f"`{rule}`"), F.lit(False))
     return base.withColumn("__s", stratum()).join(F.broadcast(chosen), F.col("__s") == F.col("__stratum"), "left").filter(fine).select("__row.*")
