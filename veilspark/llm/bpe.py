@@ -30,12 +30,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ship, slices, strings, whole_text
+from .shared import portions, ship, slices, strings, whole_text
 
 #: Fixed value: the byte-level pre-tokenizer's published pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct pieces in a worker's memo beyond which it forgets rare ones (memory only, never results).
-MEMO = 600_000
+MEMO = 500_000
 NEVER = np.int64(1) << 40
 
 
@@ -376,7 +376,7 @@ def encode_texts(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = speculative_encoder(spec.value)
-        for batch in batches:
+        for batch in portions(batches):
             texts = [t or "" for t in strings(batch, text)]
             for a, b in slices(texts):
                 flat, counts = encoder.encode(texts[a:b])
@@ -394,7 +394,7 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, model = speculative_encoder(spec.value), model_of(spec.value)
-        for batch in batches:
+        for batch in portions(batches):
             texts = strings(batch, "text")
             n, ids_hex, text_hex = [], [], []
             for a, b in slices(texts):

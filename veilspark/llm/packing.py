@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from .sharding import ordered_rows
-from .shared import materialize, ship, slices, strings, whole_text
+from .shared import materialize, portions, ship, slices, strings, whole_text
 
 CONTEXT, BUCKETS, BUDGET = 2048, 16, 65_536
 
@@ -37,7 +37,7 @@ def lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.library_encoder(spec.value)
-        for batch in batches:
+        for batch in portions(batches):
             texts = strings(batch, "text")
             for a, b in slices(texts):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("text_hash").slice(a, b - a), pa.array(encoder.encode(texts[a:b])[1])], names=["doc_id", "text_hash", "n_tokens"])

@@ -72,5 +72,12 @@ def slices(texts: list[str], most: int = 1_500_000) -> Iterator[tuple[int, int]]
         yield start, len(texts)
 
 
+def portions(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few of them are Python objects at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def strings(batch: pa.RecordBatch, name: str) -> list[str]:
     return batch.column(name).to_pylist()

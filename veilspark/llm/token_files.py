@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .shared import new_path, partitions, ship, slices, strings, whole_text
+from .shared import new_path, partitions, portions, ship, slices, strings, whole_text
 
 END = 2
 SCHEMA = "file int, doc_id long, n_tokens long, file_start long, ids array<int>"
@@ -48,7 +48,7 @@ def encode(docs: DataFrame, tokenizer: str, end: int | None = END) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, start, part = bpe.library_encoder(spec.value), 0, TaskContext.get().partitionId()
         tail = [] if end is None else [end]
-        for batch in batches:
+        for batch in portions(batches):
             texts = strings(batch, "text")
             for a, b in slices(texts):
                 flat, counts = encoder.encode(texts[a:b])
