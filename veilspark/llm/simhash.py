@@ -31,6 +31,7 @@ from .shared import materialize, partitions, ship, strings, whole_text
 SHINGLE, SEED, RADIUS = 3, 42, 2
 BLOCKS = 4
 _WIDTH = 64 // BLOCKS
+_LAST = (1 << 63) - 1
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -202,17 +203,25 @@ def group(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> Data
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """text and, as doc_id, the struct of id (nulls last) and hash of the text by which rows are told apart."""
+    return docs.select("text", F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(whole_text()).alias("h")).alias("doc_id"))
+
+
+def first_rows(docs: DataFrame, best: DataFrame) -> DataFrame:
+    """One row of docs for each `best`, a struct as of `identified`."""
+    best = best.select(F.col("best.id").alias("__kept"), F.col("best.h").alias("__kept_hash"))
+    keyed = docs.select(F.struct(*docs.columns).alias("__row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("__id"), F.xxhash64(whole_text()).alias("__hash"))
+    kept = keyed.join(best, (F.col("__id") == F.col("__kept")) & (F.col("__hash") == F.col("__kept_hash")), "left_semi")
+    once = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy(F.lit(0)))  # the row itself may be repeated
+    return kept.withColumn("__nth", once).filter("__nth = 1").select("__row.*")
+
+
 def admit(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id (nulls last), then of the
     smallest hash of the text. Only ids, hashes and fingerprints are grouped, never texts."""
-    text_hash, last = F.xxhash64(whole_text()), F.lit((1 << 63) - 1)
-    rows = docs.select("text", F.struct(F.coalesce(F.col("doc_id").cast("long"), last).alias("id"), text_hash.alias("h")).alias("doc_id"))
-    prints = materialize(fingerprints(rows, shingle), "fingerprints")
+    prints = materialize(fingerprints(identified(docs), shingle), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(nodes.select("fp"), radius))
     best = nodes.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp")).agg(F.min("least").alias("best"))
-    best = best.select(F.col("best.id").alias("__kept"), F.col("best.h").alias("__kept_hash"))
-    keyed = docs.select(F.struct(*docs.columns).alias("__row"), F.coalesce(F.col("doc_id").cast("long"), last).alias("__id"), text_hash.alias("__hash"))
-    kept = keyed.join(best, (F.col("__id") == F.col("__kept")) & (F.col("__hash") == F.col("__kept_hash")), "left_semi")
-    once = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy(F.lit(0)))  # the row itself may be repeated
-    return kept.withColumn("__nth", once).filter("__nth = 1").select("__row.*")
+    return first_rows(docs, best)
