@@ -1,13 +1,15 @@
 """Operator 6: scores by cross-entropy difference between two matched n-gram models.
 
 The target model is counted over documents whose labels are all of quality 1 and none toxic, the
-background model over all documents. Both are interpolated bigram models over one vocabulary: lower-cased
-words hashed into `WORDS` cells, pairs of neighbouring words into `PAIRS` cells. Fixed hash spaces
-bound the models' size whatever the corpus's, and so what is broadcast (2 * (WORDS + PAIRS) counts
-of 8 bytes); the counts themselves cover every token of every document. Both models have the same
-cells, weights and smoothing, whose shares don't depend on the number of tokens counted.
-
-Counting: a worker adds up its partition and passes on blocks of cells, which are summed by block.
+background model over all documents. Both are interpolated bigram models over one vocabulary: all
+lower-cased words. Words and pairs of neighbouring words are told apart by hashes of 64 bits and
+their counts are kept for each, however many there are. Both models have the same words, weights and
+smoothing: `FLAT` for each word of the vocabulary, which counts as `WORDS` words at least.
+
+Counting: rows are cut into chunks of about `CHUNK` characters and written. A worker passes on the
+counts of each chunk's words and pairs, which are summed by key. Sums go back, as a written table,
+to the chunks that share the key; a key of one chunk alone has all its counts there. So neither the
+driver nor a worker holds the models: a worker holds what one chunk needs.
 A text's score is the mean over its tokens of target loss minus background loss, in bits: the lower,
 the closer to the target.
 
@@ -17,125 +19,148 @@ Without labels the target model is uniform. Repeated rows count and are scored e
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import partitions, ship, slices, strings, whole_text
+from .shared import materialize, partitions, portions, ship, slices, strings, whole_text
 
-WORDS, PAIRS, CELLS = 1 << 18, 1 << 21, 1 << 12
+WORDS, CHUNK = 1 << 18, 8_000_000
 BIGRAM_SHARE, FLAT = 0.5, 0.5
-SUMS, FAN = "block long, part long, target binary, background binary", 64
 #: Distinct words in a worker's memo beyond which it starts anew (memory only).
 MEMO = 400_000
 _MEMO: dict[bytes, int] = {}
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of all words and the number of words of each text."""
+    """Hashes of all words and the number of words of each text."""
     if len(_MEMO) > MEMO:
         _MEMO.clear()
     split = [t.lower().encode().split() for t in texts]
     flat = [w for ws in split for w in ws]
     for w in set(flat).difference(_MEMO):
-        _MEMO[w] = xxhash.xxh64_intdigest(w) % WORDS
-    return np.fromiter(map(_MEMO.__getitem__, flat), np.int64, len(flat)), np.fromiter(map(len, split), np.int64, len(split))
+        _MEMO[w] = xxhash.xxh64_intdigest(w)
+    return np.fromiter(map(_MEMO.__getitem__, flat), np.uint64, len(flat)).view(np.int64), np.fromiter(map(len, split), np.int64, len(split))
 
 
 def pairs(words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The cell of each word with the one before it (at a text's start: with none)."""
-    before = np.concatenate([[WORDS], words[:-1]]) if len(words) else words
-    before[first] = WORDS
-    mixed = (before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (words.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.int64) % PAIRS
+    """The hash of each word with the one before it (at a text's start: with none)."""
+    before = np.concatenate([[0], words[:-1]]) if len(words) else words.copy()
+    before[first] = 0
+    mixed = (before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (words.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1))
+    for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(times)
+    return mixed.view(np.int64)
 
 
 def _first(counts: np.ndarray) -> np.ndarray:
     return (np.cumsum(counts) - counts)[counts > 0]
 
 
-def count(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """block, target and background (counts as little-endian longs) over all documents."""
-    ship(docs.sparkSession)
+class Grams:
+    """The words and pairs of a chunk's texts: keys in order, counts of both models, and each token's places."""
+
+    def __init__(self, texts: list[str], target: np.ndarray):
+        found = [tokens(texts[a:b]) for a, b in slices(texts)]
+        words = np.concatenate([np.empty(0, np.int64), *(w for w, _ in found)])
+        self.lengths = np.concatenate([np.empty(0, np.int64), *(n for _, n in found)])
+        self.first = _first(self.lengths)
+        self.inner = np.ones(len(words), bool)
+        self.inner[self.first] = False  # first words follow none, met once a text: they stand alone
+        own = np.repeat(target, self.lengths)
+        self.words, self.word_at, self.word_counts = self._counted(words, own)
+        self.pairs, self.pair_at, self.pair_counts = self._counted(pairs(words, self.first)[self.inner], own[self.inner])
+
+    @staticmethod
+    def _counted(keys: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        distinct, at = np.unique(keys, return_inverse=True)
+        return distinct, at, np.stack([np.bincount(at[own], minlength=len(distinct)), np.bincount(at, minlength=len(distinct))]).astype(float)
+
+
+def chunks(docs: DataFrame, labels: DataFrame, size: int = CHUNK) -> DataFrame:
+    """doc_id, text, target and chunk, written; a chunk's rows are neighbours."""
     good = labels.groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).filter("q = 1 and t = 0").select("__id")
     # a merge join at every size: no switch of strategy as the labels grow
-    flagged = docs.select("doc_id", whole_text().alias("text")).join(good.hint("merge"), F.col("doc_id") == F.col("__id"), "left").select("text", F.col("__id").isNotNull().alias("target"))
+    flagged = docs.select("doc_id", whole_text().alias("text")).join(good.hint("merge"), F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", F.col("__id").isNotNull().alias("target"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((2, WORDS + PAIRS), np.int64)
-        for batch in batches:
-            texts, target = strings(batch, "text"), batch.column("target").to_numpy(zero_copy_only=False)
-            for a, b in slices(texts):
-                words, counts = tokens(texts[a:b])
-                cells = np.concatenate([words, WORDS + pairs(words, _first(counts))])
-                own = np.tile(np.repeat(target[a:b], counts), 2)
-                np.add.at(held[1], cells, 1)
-                np.add.at(held[0], cells[own], 1)
-        blocks = held.reshape(2, -1, CELLS)
-        some = np.flatnonzero(blocks[1].any(1))
-        for i in range(0, len(some), 64):
-            at = some[i : i + 64]
-            part = pa.array(np.full(len(at), TaskContext.get().partitionId(), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), part, *(pa.array([blocks[m, j].astype("<i8").tobytes() for j in at], pa.binary()) for m in (0, 1))], names=["block", "part", "target", "background"])
-
-    def total(table: pa.Table) -> pa.Table:
-        sums = np.zeros((2, CELLS), np.int64)
-        for batch in table.to_batches():
-            for m in (0, 1):
-                for x in batch.column(("target", "background")[m]):
-                    sums[m] += np.frombuffer(x.as_buffer(), "<i8")
-        first = table.slice(0, 1)
-        return pa.table({"block": first["block"], "part": first["part"], "target": pa.array([sums[0].tobytes()], pa.binary()), "background": pa.array([sums[1].tobytes()], pa.binary())})
-
-    # Sums in a tree: no group holds more than about FAN rows, however many partitions there are.
-    sums, width = flagged.mapInArrow(run, SUMS), partitions(docs.sparkSession)
-    while True:
-        width = -(-width // FAN)
-        sums = sums.withColumn("part", F.col("part") % width).groupBy("block", "part").applyInArrow(total, SUMS)
-        if width == 1:
-            return sums
-
-def losses(counts: np.ndarray, words: np.ndarray, cells: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Bits for each token under one model's counts (words, then pairs)."""
-    single, total = counts[words].astype(float), float(counts[:WORDS].sum())
-    alone = (single + FLAT) / (total + FLAT * WORDS)
-    before = np.concatenate([[0.0], single[:-1]]) if len(words) else single
-    # texts' first words follow "no word", met once a text: its count is not kept, so they stand alone
-    before[first] = 0
-    both = np.minimum(np.minimum(counts[WORDS + cells], before), single)  # a cell shared by other pairs can't say more than this
+        chunk, held = TaskContext.get().partitionId() << 32, 0
+        for batch in portions(batches):
+            out = []
+            for text in strings(batch, "text"):
+                if held and held + len(text) > size:
+                    chunk, held = chunk + 1, 0
+                held += len(text)
+                out.append(chunk)
+            yield batch.append_column("chunk", pa.array(out, pa.int64()))
+
+    return materialize(flagged.mapInArrow(run, "doc_id long, text string, target boolean, chunk long"), "chunks")
+
+
+def count(chunked: DataFrame) -> DataFrame:
+    """chunk, key, target, background: the sums over all chunks for each key of more than one chunk,
+    and for each word; single: the one row of each word that stands for it in sums over words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple[int, str, bool]]:
+            for batch in portions(batches):
+                yield from zip(batch.column("chunk").to_pylist(), strings(batch, "text"), batch.column("target").to_pylist())
+
+        for chunk, group in itertools.groupby(rows(), key=lambda r: r[0]):
+            _, texts, target = zip(*group)
+            grams = Grams(list(texts), np.array(target, bool))
+            for word, keys, counts in ((True, grams.words, grams.word_counts), (False, grams.pairs, grams.pair_counts)):
+                for i in range(0, len(keys), 50_000):
+                    n = len(keys[i : i + 50_000])
+                    columns = [pa.array(np.full(n, chunk, np.int64)), pa.array(keys[i : i + n]), pa.array(np.full(n, word)), *(pa.array(c[i : i + n].astype(np.int64)) for c in counts)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["chunk", "key", "word", "target", "background"])
+
+    each = chunked.select("chunk", "text", "target").mapInArrow(run, "chunk long, key long, word boolean, target long, background long")
+    order = Window.partitionBy("key", "word").orderBy("chunk")
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    summed = each.repartition(partitions(chunked.sparkSession), "key", "word").select(
+        "chunk", "key", "word", F.sum("target").over(every).alias("target"), F.sum("background").over(every).alias("background"),
+        F.count(F.lit(1)).over(every).alias("n"), F.row_number().over(order).alias("nth"),
+    )
+    return materialize(summed.withColumn("single", F.col("word") & (F.col("nth") == 1)).filter("n > 1 or single").select("chunk", "key", "word", "target", "background", "single"), "grams")
+
+
+def losses(words: np.ndarray, both: np.ndarray, inner: np.ndarray, total: float, vocabulary: int) -> np.ndarray:
+    """Bits for each token under one model: the count of its word, of its pair (0 for first words)."""
+    alone = (words + FLAT) / (total + FLAT * vocabulary)
+    before = np.where(inner, np.concatenate([[0.0], words[:-1]]) if len(words) else words, 0.0)
     share = np.divide(both, before, out=np.zeros_like(before), where=before > 0)
     return -np.log2(np.where(before > 0, BIGRAM_SHARE * share + (1 - BIGRAM_SHARE) * alone, alone))
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, size: int = CHUNK) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss (bits a token) and score of each document."""
-    held = np.zeros((2, WORDS + PAIRS), np.int64)
-    for r in count(docs, labels).toLocalIterator():  # at most (WORDS + PAIRS) / CELLS rows
-        at = slice(r["block"] * CELLS, (r["block"] + 1) * CELLS)
-        held[0, at], held[1, at] = np.frombuffer(bytes(r["target"]), "<i8"), np.frombuffer(bytes(r["background"]), "<i8")
-    shared = docs.sparkSession.sparkContext.broadcast(held)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            texts = strings(batch, "text")
-            out: list[list[np.ndarray]] = [[], [], []]
-            for a, b in slices(texts):
-                words, counts = tokens(texts[a:b])
-                first = _first(counts)
-                cells = pairs(words, first)
-                out[0].append(counts)
-                for m in (0, 1):
-                    sums = np.zeros(b - a)
-                    if len(words):
-                        sums[counts > 0] = np.add.reduceat(losses(model[m], words, cells, first), first)
-                    out[m + 1].append(sums / np.maximum(counts, 1))
-            n, target, background = (np.concatenate(x) if x else np.empty(0) for x in out)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(target), pa.array(background), pa.array(target - background)], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    ship(docs.sparkSession)
+    chunked = chunks(docs, labels, size)
+    sums = count(chunked)
+    of = sums.filter("single").agg(F.count(F.lit(1)).alias("words"), F.sum("target").alias("target"), F.sum("background").alias("background")).first()
+    totals, vocabulary = (float(of["target"] or 0), float(of["background"] or 0)), max(WORDS, of["words"])
+
+    def run(own: pa.Table, shared: pa.Table) -> pa.Table:
+        grams = Grams(own["text"].to_pylist(), own["target"].to_numpy().astype(bool))
+        for word, keys, counts in ((True, grams.words, grams.word_counts), (False, grams.pairs, grams.pair_counts)):
+            some = shared.filter(shared["word"] if word else pa.compute.invert(shared["word"]))
+            at = np.searchsorted(keys, some["key"].to_numpy())
+            counts[0, at], counts[1, at] = some["target"].to_numpy(), some["background"].to_numpy()
+        out = []
+        for m in (0, 1):
+            both, sums = np.zeros(len(grams.inner)), np.zeros(len(grams.lengths))
+            both[grams.inner] = grams.pair_counts[m, grams.pair_at]
+            if len(both):
+                sums[grams.lengths > 0] = np.add.reduceat(losses(grams.word_counts[m, grams.word_at], both, grams.inner, totals[m], vocabulary), grams.first)
+            out.append(sums / np.maximum(grams.lengths, 1))
+        return pa.table({"doc_id": own["doc_id"], "n_tokens": grams.lengths, "target_loss": out[0], "background_loss": out[1], "score": out[0] - out[1]})
+
+    return chunked.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
