@@ -11,7 +11,7 @@ To score whole texts in numpy, the languages' trees are merged into one table of
 from the latest byte back, and each (context, byte) has one row of costs, one for each language.
 
 Fitting uses a bounded sample of whole labelled texts: at most `SAMPLE` bytes for each language,
-the texts of smallest hash first. Null text or no letter: `und`, score 0. Null ids hash as the empty
+distinct ones, of smallest hash first, until the bound is filled. Null text or no letter: `und`, score 0. Null ids hash as the empty
 text. Nothing to learn from: every text is `und`. Ties go to the language first by name. Repeated
 rows are predicted alike; an empty table gives an empty result.
 
@@ -29,11 +29,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ship, strings
+from .shared import materialize, ship, strings
 
 ORDER = 3
 SAMPLE = 600_000
 UNIT = 65_536
+#: Bits of a text's hash by which its place in the sample is narrowed down at a time.
+CUT = 12
 UNKNOWN = "und"
 
 
@@ -122,24 +124,58 @@ def code_lengths(model: Model, texts: list[bytes], order: int = ORDER) -> np.nda
     return upto[bounds[1::2]] - upto[bounds[::2]]
 
 
+def _limits(sizes: DataFrame, bound: int) -> dict[str, int]:
+    """For each language the end of a range of `key` from 0 whose texts fill the bound, or all.
+
+    Sums of equal ranges of keys show in which one the bound is reached; while that one holds more
+    than the bound, it is cut again. So the driver holds at most 2^CUT sums a language."""
+    low, before, shift, limits = {r["lang"]: 0 for r in sizes.select("lang").distinct().collect()}, {}, 63, {}
+    while low and shift:
+        step = min(CUT, shift)
+        shift -= step
+        inside = F.lit(False)
+        for name, at in low.items():
+            inside = F.when(F.col("lang") == name, F.shiftright("key", shift + step) == at >> (shift + step)).otherwise(inside)
+        found: dict[str, dict[int, int]] = {name: {} for name in low}
+        for r in sizes.filter(inside).groupBy("lang", F.shiftright("key", shift).alias("at")).agg(F.sum("size").alias("n")).collect():
+            found[r["lang"]][r["at"]] = r["n"]
+        for name, sums in found.items():
+            held = before.get(name, 0)
+            for at in sorted(sums):
+                if held + sums[at] >= bound:
+                    if sums[at] <= bound or not shift:
+                        limits[name] = (at + 1) << shift
+                    else:
+                        low[name], before[name] = at << shift, held
+                    break
+                held += sums[at]
+            else:
+                limits[name] = 1 << 63
+        low = {name: at for name, at in low.items() if name not in limits}
+    return limits
+
+
 def sample(docs: DataFrame, bound: int = SAMPLE) -> dict[str, list[bytes]]:
-    """Whole texts for each language, of smallest hash first, at most `bound` bytes together."""
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("lang", "text")
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
-    if not sizes:
-        return {}
-    share = F.lit(0)
-    for name, n in sizes.items():
-        share = F.when(F.col("lang") == name, int(min(1.0, 1.05 * bound / max(1, n)) * 2**31)).otherwise(share)
-    hashed = usable.withColumn("h", F.xxhash64("text")).filter(F.shiftrightunsigned("h", 33) < share)
-    out: dict[str, list[bytes]] = {name: [] for name in sizes}
-    held = dict.fromkeys(sizes, 0)
-    for r in sorted(hashed.distinct().toLocalIterator(), key=lambda r: ((r["h"] >> 33) & (2**31 - 1), r["text"])):
+    """Distinct whole texts for each language, of smallest hash first, at most `bound` bytes together.
+    Texts longer than that come last; where there are no others, the start of one is taken."""
+    usable = docs.filter(F.col("lang").isNotNull() & (F.col("text") != "") & ~held_out()).select("lang", "text")
+    size, quarter = F.octet_length("text").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2)
+    keyed = usable.withColumns({"key": quarter + F.when(size > bound, 1 << 62).otherwise(0), "size": F.least(size, F.lit(bound))})
+    # copies count once: a few bytes for each distinct text are written
+    limits = _limits(materialize(keyed.groupBy("lang", "key").agg(F.max("size").alias("size")), "sizes"), bound)
+    near = F.lit(False)
+    for name, end in limits.items():
+        near = F.when(F.col("lang") == name, F.lit(True) if end >= 1 << 63 else F.col("key") < end).otherwise(near)
+    out: dict[str, list[bytes]] = {name: [] for name in limits}
+    held = dict.fromkeys(limits, 0)
+    for r in sorted(keyed.filter(near).select("lang", "key", F.left("text", F.lit(bound)).alias("text")).distinct().toLocalIterator(), key=lambda r: (r["key"], r["text"])):
         raw = r["text"].encode()
-        if held[r["lang"]] + len(raw) <= bound or not out[r["lang"]]:
+        if not out[r["lang"]]:
+            raw = raw[:bound]
+        if held[r["lang"]] + len(raw) <= bound:
             out[r["lang"]].append(raw)
             held[r["lang"]] += len(raw)
-    return {k: v for k, v in out.items() if any(v)}
+    return out
 
 
 def predict(docs: DataFrame, *keep: str, bound: int = SAMPLE, order: int = ORDER) -> DataFrame:
