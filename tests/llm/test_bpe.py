@@ -48,3 +48,19 @@ def test_query(spark, tmp_path):
     ids = {(r.doc_id, tuple(r.ids)) for r in bpe.encode_texts(docs, bpe.default_tokenizer()).collect()}
     assert ids == {(i, tuple(LIB.encode(t or "", add_special_tokens=False).ids)) for i, t in rows}
     assert bpe.round_trip(docs.limit(0), bpe.default_tokenizer()).count() == 0
+
+
+def test_memo_is_bounded_by_characters(monkeypatch):
+    """Texts without spaces and blobs: every one is new, and none may stay for long."""
+    monkeypatch.setattr(bpe, "MEMO_CHARS", 30_000)
+    rnd = random.Random(9)
+    for make in (bpe.speculative_encoder, bpe.library_encoder):
+        encoder = make(SPEC)
+        encoder.reset()
+        for _ in range(6):
+            texts = ["".join(chr(rnd.randrange(0x4E00, 0x9FA5)) for _ in range(1500)) for _ in range(5)] + ["".join(rnd.choices("abcXYZ0189+/", k=3000)) for _ in range(5)] + ["x" * 2500 + " y"]
+            flat, counts = encoder.encode(texts)
+            for text, own in zip(texts, np.split(flat, np.cumsum(counts)[:-1])):
+                assert own.tolist() == LIB.encode(text, add_special_tokens=False).ids
+            assert encoder.chars == sum(map(len, encoder.slot)) <= 30_000 + sum(map(len, texts)) * 2
+        encoder.reset()

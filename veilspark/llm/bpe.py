@@ -9,7 +9,9 @@
 4. Only words with a failing pair are merged exactly, rank by rank.
 
 Nulls encode as the empty text: no tokens. The only special string is matched in texts, as the
-tokenizers library does. Rows, repeated or not, are independent: one row out for each row in.
+tokenizers library does. Rows, repeated or not, are independent: one row out for each row in, none
+for an empty table. Very long texts are encoded whole, a text at a time; the memo is bounded by its
+characters. Columns that clash with an output column are replaced.
 """
 
 from __future__ import annotations
@@ -34,8 +36,9 @@ from .shared import portions, ship, slices, strings, whole_text
 
 #: Fixed value: the byte-level pre-tokenizer's published pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct pieces in a worker's memo beyond which it forgets rare ones (memory only, never results).
-MEMO = 500_000
+#: Distinct pieces, and their characters, in a worker's memo beyond which it forgets rare ones (memory
+#: only, never results). Pieces of over `LONG` characters are cut at the pattern's borders.
+MEMO, MEMO_CHARS, LONG = 400_000, 12_000_000, 200
 NEVER = np.int64(1) << 40
 
 
@@ -220,6 +223,7 @@ class TextEncoder:
 
     def reset(self) -> None:
         self.slot: dict[str, int] = {}
+        self.chars = 0
         self.hits = np.empty(0, np.int64)
         self.starts, self.counts, self.flat, self.used = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), 0
 
@@ -228,9 +232,17 @@ class TextEncoder:
         stands; after one leading space, any piece as it stands.
 
         Spaces and line ends begin a token where no other white space is near; commas and full
-        stops do after a letter or digit. Texts with runs of white space take the pattern's slow way."""
-        if self.gap.search(text):
-            return [w[1:] if len(w) > 1 and w[0] == " " and not w[1].isspace() and w[1] not in ",." else " " + w for w in self.split(text)]
+        stops do after a letter or digit. Texts with runs of white space take the pattern's slow way,
+        as do long pieces: blobs, and scripts without spaces."""
+        out = self._by_pattern(text) if self.gap.search(text) else self._by_spaces(text)
+        if len(text) > LONG and max(map(len, out), default=0) > LONG:
+            out = [k for p in out for k in (self._by_pattern(self.stands_for(p)) if len(p) > LONG else (p,))]
+        return out
+
+    def _by_pattern(self, text: str) -> list[str]:
+        return [w[1:] if len(w) > 1 and w[0] == " " and not w[1].isspace() and w[1] not in ",." else " " + w for w in self.split(text)]
+
+    def _by_spaces(self, text: str) -> list[str]:
         if self.inner.search(text):
             out = text.replace("\n", " \n").split(" ")
             first, out = out[0], ["  " + p if p[:1] in (",", ".") else p for p in out]
@@ -267,6 +279,7 @@ class TextEncoder:
             self.flat = np.concatenate([self.flat, np.empty(max(1 << 20, len(self.flat)), np.int32)])
         self.flat[self.used : self.used + len(ids)] = ids
         first = len(self.slot)
+        self.chars += sum(map(len, new))
         self.slot.update(zip(plain + special, range(first, first + len(new))))
         self.starts = np.concatenate([self.starts, self.used + np.cumsum(counts) - counts])
         self.counts = np.concatenate([self.counts, counts])
@@ -274,7 +287,8 @@ class TextEncoder:
         self.used += len(ids)
 
     def _shrink(self) -> None:
-        """Forget the pieces met once, and more of the rarest if half the memo would stay."""
+        """Forget the pieces met once, and more of the rarest if half the memo would stay; all of them
+        if the rest is still long."""
         least = 2 if len(self.hits) < 2 else max(2, int(np.partition(self.hits, len(self.hits) // 2)[len(self.hits) // 2]) + 1)
         keep = np.flatnonzero(self.hits >= least)
         keys = list(self.slot)  # in order of their slots
@@ -283,6 +297,9 @@ class TextEncoder:
         self.starts = np.cumsum(self.counts) - self.counts
         ids = self.flat[np.repeat(starts - self.starts, self.counts) + np.arange(self.counts.sum())]
         self.flat, self.used = ids, len(ids)
+        self.chars = sum(map(len, self.slot))
+        if self.chars > MEMO_CHARS // 2:
+            self.reset()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the texts (int32) and the number of ids of each."""
@@ -292,7 +309,7 @@ class TextEncoder:
             own = self.keys(text)
             each[i] = len(own)
             keys += own
-        if len(self.slot) > MEMO:
+        if len(self.slot) > MEMO or self.chars > MEMO_CHARS:
             self._shrink()
         slots = np.fromiter(map(self.slot.get, keys, itertools.repeat(-1)), np.int64, len(keys))
         if len(unknown := np.flatnonzero(slots < 0)):
