@@ -51,3 +51,42 @@ def test_cutoffs_and_verdicts(spark):
     none = quality.judge(docs, labels.limit(0))
     assert none.filter("kept = base_failed").count() == 0
     assert quality.judge(docs.limit(0), labels).count() == 0
+
+
+def test_thresholds_act_and_hold_on_other_labels(spark):
+    """Half of the labels fit; on the other half few good documents are rejected and most bad ones are."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    half = F.xxhash64("doc_id") % 2 == 0
+    base = quality.base_columns(docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id").cache()
+    chosen = quality.cutoffs(base, labels.filter(half))
+    got = quality._judged(base, chosen, list(quality.GRID)).filter("not (n_words < 20 or 100 * n_repeat_words > 30 * n_words)").join(labels.filter(~half).groupBy("doc_id").agg(F.min("quality").alias("q")), "doc_id")
+    by = {(r.s, r.q): (r.n, r.hit) for r in got.groupBy(quality.stratum().alias("s"), "q").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rule").isNotNull()).alias("hit")).collect()}
+    for s in range(5):
+        n, hit = by.get((s, 1), (0, 0))
+        assert hit <= quality.ALPHA * n + 3 * math.sqrt(quality.ALPHA * max(n, 1)), (s, n, hit)
+    bad = [v for (s, q), v in by.items() if q == 0]
+    assert sum(h for _, h in bad) > 0.9 * sum(n for n, _ in bad)
+
+
+def test_few_labels_still_prove_something(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rules = {r.rule for r in quality.judge(docs, labels).select("rule").distinct().collect()}
+    assert "symbols" in rules
+    base = quality.base_columns(docs, "doc_id").cache()
+    base.count()
+    assert any(getattr(r, rule) is not None for r in quality.cutoffs(base, labels).collect() for rule in quality.GRID)
+    assert quality.cutoffs(base, labels.limit(30)).count() == 0  # too few to prove anything
+    assert quality.judge(docs.limit(0), labels).count() == 0 and quality.admit(docs.limit(0), labels).count() == 0
+
+
+def test_strata_merge(spark):
+    def strata(*sizes, need=10):
+        df = spark.createDataFrame([(i,) for i, n in enumerate(sizes) for _ in range(n)] or [(0,)], "class int").limit(sum(sizes))
+        return [r.stratum for r in sorted(quality.merged_strata(df, need).collect())]
+
+    assert strata(10, 10, 10, 10, 10) == [0, 1, 2, 3, 4]
+    assert strata(3, 3, 3, 3, 3) == [0, 0, 0, 0, 0]
+    assert strata(12, 0, 12, 0, 2) == [0, 1, 1, 1, 1]
+    assert strata(0, 0, 0, 0, 0) == [0] * 5 and strata(5, 6, 20, 3, 0) == [0, 0, 2, 2, 2]
