@@ -1,6 +1,7 @@
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from veilspark.llm import chat
@@ -39,3 +40,38 @@ def test_layouts(spark):
     for i, (_, layout, turns) in enumerate([*records, (0, None, None), (0, None, None)]):
         assert got[i].layout == layout
         assert (None if got[i].turns is None else [(t.role, t.text) for t in got[i].turns]) == turns
+
+
+def test_odd_records(spark):
+    """Null first elements, empty lists, empty inputs and two layouts in one record."""
+    records = [
+        ({"messages": [{"role": "assistant", "content": None, "tool_calls": [1]}, {"role": "user", "content": "x"}]}, "messages", [("assistant", ""), ("user", "x")]),
+        ({"messages": [{"role": None, "content": "a"}, {"content": "b"}]}, "messages", [("", "a"), ("", "b")]),
+        ({"messages": []}, "messages", []),
+        ({"prompt": "p", "messages": [{"role": "user", "content": "x"}]}, "messages", [("user", "x")]),
+        ({"prompt": "p", "completion": None}, "prompt_completion", [("user", "p"), ("assistant", "")]),
+        ({"instruction": "i", "input": "", "output": "o"}, "instruction", [("user", "i"), ("assistant", "o")]),
+        ({"instruction": "i", "input": "n", "output": "o", "text": "all"}, "instruction_input", [("system", "i"), ("user", "n"), ("assistant", "o")]),
+        ({"messages": None}, None, None),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, (r, _, _) in enumerate(records)], "id int, j string")
+    got = {r.id: r for r in chat.from_records(df, F.col("j")).collect()}
+    for i, (_, layout, turns) in enumerate(records):
+        assert got[i].layout == layout, i
+        assert (None if got[i].turns is None else [(t.role, t.text) for t in got[i].turns]) == turns, i
+
+
+def test_tables_select_by_their_schema(spark, monkeypatch):
+    wide = spark.createDataFrame([(1, "i", "", "o"), (2, "i", "n", None)], "id int, instruction string, input string, output string")
+    assert [(r.layout, [tuple(t) for t in r.turns]) for r in chat.from_table(wide).orderBy("id").collect()] == [("instruction", [("user", "i"), ("assistant", "o")]), ("instruction_input", [("system", "i"), ("user", "n"), ("assistant", "")])]
+    nested = spark.createDataFrame([([("human", "x"), (None, None)],)], "conversations array<struct<from string, value string>>")
+    assert [tuple(t) for t in chat.from_table(nested).first().turns] == [("user", "x"), ("", "")]
+    rows = spark.createDataFrame([(1, 0, "user", "a", "clash")], "conv_id long, turn long, role string, text string, prompt string")
+    assert chat.from_table(rows).columns == ["conv_id", "turns"]
+    for bad in (spark.range(1), wide.select("input")):
+        with pytest.raises(ValueError):
+            chat.from_table(bad)
+    monkeypatch.setattr(chat, "LAYOUTS", tuple(x for x in chat.LAYOUTS if not x.rows))
+    with pytest.raises(ValueError):
+        chat.from_table(rows.drop("prompt"))
+    assert len(chat.registry()) == len({h for x in chat.LAYOUTS for h in chat.prints(x)})

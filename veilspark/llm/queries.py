@@ -25,7 +25,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    return chat.digests(chat.render(chat.from_turn_rows(rows)))
+    return chat.digests(chat.render(chat.from_table(rows)))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
