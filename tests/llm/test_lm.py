@@ -29,7 +29,7 @@ def test_against_dictionaries(spark):
                 for p in ps:
                     two[p] = two.get(p, 0) + 1
         models.append((one, two))
-    got = lm_score.score(docs, labels).collect()
+    got = lm_score.score(docs, labels, leave_out=False).collect()
     assert len(got) == len(rows)
     by = {r.doc_id: r for r in got}
     for i, t in rows:

@@ -6,47 +6,62 @@ lower-cased words. Words and pairs of neighbouring words are told apart by hashe
 their counts are kept for each, however many there are. Both models have the same words, weights and
 smoothing: `FLAT` for each word of the vocabulary, which counts as `WORDS` words at least.
 
-Counting: rows are cut into chunks of about `CHUNK` characters and written. A worker passes on the
-counts of each chunk's words and pairs, which are summed by key. Sums go back, as a written table,
-to the chunks that share the key; a key of one chunk alone has all its counts there. So neither the
-driver nor a worker holds the models: a worker holds what one chunk needs.
+Each document is scored by models without itself (leave one out): its own counts are taken off the
+background's, and off the target's where it is part of that. So nothing is scored by what it taught,
+and a document that occurs twice is known to the background by its copy.
+
+1. Rows are written in chunks of about `CHUNK` characters.
+2. A worker sends each chunk's distinct words and pairs, as sorted keys with their counts, in one
+   packed row for each of a number of buckets of keys. Documents of the target send theirs once more.
+3. A bucket sums the counts of its keys and answers each chunk's row with the totals, in the row's
+   order: a few bits a key. So neither the driver nor a worker holds the models.
+4. A chunk's texts and answers meet, and the texts are scored.
+
 A text's score is the mean over its tokens of target loss minus background loss, in bits: the lower,
 the closer to the target.
 
 Null text or no words: no tokens, all losses and the score 0. Null ids are in the background alone.
-Without labels the target model is uniform. Repeated rows count and are scored each.
+Without labels the target model is uniform. Repeated rows count and are scored each, without one of
+them. An empty table gives an empty result; columns that clash with the output's are left out. A very
+long text is a chunk of its own.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize, partitions, portions, ship, slices, strings, whole_text
 
 WORDS, CHUNK = 1 << 18, 8_000_000
 BIGRAM_SHARE, FLAT = 0.5, 0.5
-#: Distinct words in a worker's memo beyond which it starts anew (memory only).
-MEMO = 400_000
+#: Keys that a bucket should hold at most, counted once for each chunk that has them.
+BUCKET_KEYS = 3_000_000
+#: Characters of distinct words in a worker's memo beyond which it starts anew (memory only).
+MEMO = 4_000_000
 _MEMO: dict[bytes, int] = {}
+_HELD = [0]
+_ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words and the number of words of each text."""
-    if len(_MEMO) > MEMO:
+    if _HELD[0] > MEMO:
         _MEMO.clear()
+        _HELD[0] = 0
     split = [t.lower().encode().split() for t in texts]
     flat = [w for ws in split for w in ws]
     for w in set(flat).difference(_MEMO):
         _MEMO[w] = xxhash.xxh64_intdigest(w)
+        _HELD[0] += len(w)
     return np.fromiter(map(_MEMO.__getitem__, flat), np.uint64, len(flat)).view(np.int64), np.fromiter(map(len, split), np.int64, len(split))
 
 
@@ -54,7 +69,7 @@ def pairs(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The hash of each word with the one before it (at a text's start: with none)."""
     before = np.concatenate([[0], words[:-1]]) if len(words) else words.copy()
     before[first] = 0
-    mixed = (before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (words.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1))
+    mixed = (before.astype(np.uint64) * _ONE) ^ (words.astype(np.uint64) * _TWO + np.uint64(1))
     for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
         mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(times)
     return mixed.view(np.int64)
@@ -65,30 +80,54 @@ def _first(counts: np.ndarray) -> np.ndarray:
 
 
 class Grams:
-    """The words and pairs of a chunk's texts: keys in order, counts of both models, and each token's places."""
+    """The words and pairs of a chunk's texts: distinct keys, and each token's places among them."""
 
-    def __init__(self, texts: list[str], target: np.ndarray):
+    def __init__(self, texts: list[str]):
         found = [tokens(texts[a:b]) for a, b in slices(texts)]
         words = np.concatenate([np.empty(0, np.int64), *(w for w, _ in found)])
         self.lengths = np.concatenate([np.empty(0, np.int64), *(n for _, n in found)])
         self.first = _first(self.lengths)
         self.inner = np.ones(len(words), bool)
-        self.inner[self.first] = False  # first words follow none, met once a text: they stand alone
-        own = np.repeat(target, self.lengths)
-        self.words, self.word_at, self.word_counts = self._counted(words, own)
-        self.pairs, self.pair_at, self.pair_counts = self._counted(pairs(words, self.first)[self.inner], own[self.inner])
+        self.inner[self.first] = False  # first words follow none: they stand alone
+        self.words, self.word_at, self.word_counts = np.unique(words.view(np.uint64), return_inverse=True, return_counts=True)
+        self.pairs, self.pair_at, self.pair_counts = np.unique(pairs(words, self.first).view(np.uint64)[self.inner], return_inverse=True, return_counts=True)
+        self.text_at = np.repeat(np.arange(len(self.lengths)), self.lengths)
+
+    def own(self, at: np.ndarray, of: np.ndarray, size: int) -> np.ndarray:
+        """For each token, how often its text holds its key (at: places of keys, of: texts)."""
+        keyed = of * size + at
+        order = np.argsort(keyed, kind="stable")
+        new = np.concatenate([[True], np.diff(keyed[order]) != 0]) if len(order) else np.empty(0, bool)
+        group = np.cumsum(new) - 1
+        out = np.empty(len(order), np.int64)
+        out[order] = np.bincount(group, minlength=1)[group] if len(order) else 0
+        return out
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Unsigned integers, byte planes apart: those that are all zero all but vanish in compression."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def unpacked(raw: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
-    @staticmethod
-    def _counted(keys: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        distinct, at = np.unique(keys, return_inverse=True)
-        return distinct, at, np.stack([np.bincount(at[own], minlength=len(distinct)), np.bincount(at, minlength=len(distinct))]).astype(float)
 
+def requests(keys: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """bucket, keys (as steps from one to the next) and counts, bucket by bucket.
 
-def chunks(docs: DataFrame, labels: DataFrame, size: int = CHUNK) -> DataFrame:
-    """doc_id, text, target and chunk, written; a chunk's rows are neighbours."""
-    good = labels.groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).filter("q = 1 and t = 0").select("__id")
-    # a merge join at every size: no switch of strategy as the labels grow
-    flagged = docs.select("doc_id", whole_text().alias("text")).join(good.hint("merge"), F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", F.col("__id").isNotNull().alias("target"))
+    A bucket is an equal range of keys, so a sorted array is cut, never sorted again."""
+    width = (1 << 64) // buckets + 1
+    cuts = np.searchsorted(keys, np.array([b * width for b in range(1, buckets)], np.uint64))
+    for b, (i, j) in enumerate(itertools.pairwise([0, *cuts.tolist(), len(keys)])):
+        if i < j:
+            steps = np.diff(keys[i:j], prepend=np.uint64(0))
+            yield b, packed(steps), packed(counts[i:j].astype(np.uint32))
+
+
+def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
+    """doc_id, text and chunk, written; a chunk's rows are neighbours."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, held = TaskContext.get().partitionId() << 32, 0
@@ -101,66 +140,144 @@ def chunks(docs: DataFrame, labels: DataFrame, size: int = CHUNK) -> DataFrame:
                 out.append(chunk)
             yield batch.append_column("chunk", pa.array(out, pa.int64()))
 
-    return materialize(flagged.mapInArrow(run, "doc_id long, text string, target boolean, chunk long"), "chunks")
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, text string, chunk long")
+    return materialize(cut, "chunks", compression="zstd")
+
+
+def good_ids(labels: DataFrame) -> DataFrame:
+    return labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).filter("q = 1 and t = 0").select("doc_id")
 
 
-def count(chunked: DataFrame) -> DataFrame:
-    """chunk, key, target, background: the sums over all chunks for each key of more than one chunk,
-    and for each word; single: the one row of each word that stands for it in sums over words."""
+ASKED = "chunk long, target boolean, word boolean, bucket int, keys binary, counts binary"
+
+
+def asked(texts: DataFrame, target: bool, buckets: int, size: int) -> DataFrame:
+    """ASKED rows of texts: each chunk's, or, for the target, each run of texts of a chunk's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple[int, str, bool]]:
+        def rows() -> Iterator[tuple[int, str]]:
+            group, held = 0, 0
             for batch in portions(batches):
-                yield from zip(batch.column("chunk").to_pylist(), strings(batch, "text"), batch.column("target").to_pylist())
+                for chunk, text in zip(batch.column("chunk").to_pylist(), strings(batch, "text")):
+                    held += len(text)
+                    if held > size:
+                        group, held = group + 1, len(text)
+                    yield (group if target else chunk), text
 
         for chunk, group in itertools.groupby(rows(), key=lambda r: r[0]):
-            _, texts, target = zip(*group)
-            grams = Grams(list(texts), np.array(target, bool))
+            grams = Grams([t for _, t in group])
             for word, keys, counts in ((True, grams.words, grams.word_counts), (False, grams.pairs, grams.pair_counts)):
-                for i in range(0, len(keys), 50_000):
-                    n = len(keys[i : i + 50_000])
-                    columns = [pa.array(np.full(n, chunk, np.int64)), pa.array(keys[i : i + n]), pa.array(np.full(n, word)), *(pa.array(c[i : i + n].astype(np.int64)) for c in counts)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["chunk", "key", "word", "target", "background"])
-
-    each = chunked.select("chunk", "text", "target").mapInArrow(run, "chunk long, key long, word boolean, target long, background long")
-    order = Window.partitionBy("key", "word").orderBy("chunk")
-    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    summed = each.repartition(partitions(chunked.sparkSession), "key", "word").select(
-        "chunk", "key", "word", F.sum("target").over(every).alias("target"), F.sum("background").over(every).alias("background"),
-        F.count(F.lit(1)).over(every).alias("n"), F.row_number().over(order).alias("nth"),
-    )
-    return materialize(summed.withColumn("single", F.col("word") & (F.col("nth") == 1)).filter("n > 1 or single").select("chunk", "key", "word", "target", "background", "single"), "grams")
-
-
-def losses(words: np.ndarray, both: np.ndarray, inner: np.ndarray, total: float, vocabulary: int) -> np.ndarray:
-    """Bits for each token under one model: the count of its word, of its pair (0 for first words)."""
+                if len(keys):
+                    own = list(zip(*requests(keys, counts, buckets)))
+                    same = [pa.array([x] * len(own[0]), t) for x, t in ((chunk, pa.int64()), (target, pa.bool_()), (word, pa.bool_()))]
+                    yield pa.RecordBatch.from_arrays([*same, *(pa.array(c, t) for c, t in zip(own, (pa.int32(), pa.binary(), pa.binary())))], names=["chunk", "target", "word", "bucket", "keys", "counts"])
+
+    return texts.select("chunk", "text").mapInArrow(run, ASKED)
+
+
+def _maybe(ids: DataFrame) -> DataFrame:
+    """bits: for each of 2^11 parts of a hash's range, a bitmap of the ids' hashes. 8 MB at most, whatever
+    the number of ids, so it may be broadcast; it lets through all ids and, by chance, some others."""
+    h = _place(F.col("doc_id"))
+    return ids.groupBy(F.shiftright(h, 15).alias("part")).agg(F.bitmap_construct_agg(h.bitwiseAND(F.lit(32767))).alias("bits"))
+
+
+def _place(doc_id: Column) -> Column:
+    return F.xxhash64(doc_id).bitwiseAND(F.lit((1 << 26) - 1))
+
+
+def likely(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of texts whose doc_id may be among ids."""
+    at = _place(F.col("doc_id")).bitwiseAND(F.lit(32767))
+    met = texts.withColumns({"__part": F.shiftright(_place(F.col("doc_id")), 15), "__at": at}).join(F.broadcast(_maybe(ids)), F.col("__part") == F.col("part"))
+    return met.filter(F.expr("shiftright(cast(conv(hex(substring(bits, cast(__at div 8 as int) + 1, 1)), 16, 10) as int), cast(__at % 8 as int)) & 1 = 1")).select(*texts.columns)
+
+
+TOLD = "chunk long, word boolean, bucket int, target binary, background binary, distinct long, target_total long, background_total long"
+
+
+def told(rows: DataFrame) -> DataFrame:
+    """The answers to ASKED rows: totals in each row's order. One row a bucket, of chunk null, holds
+    the bucket's number of distinct words and their sums."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kinds, given = table["word"].to_pylist(), table["target"].to_pylist()
+        keys, counts = table["keys"], table["counts"]
+        out: list[dict] = []
+        for word in {w for w in kinds}:
+            at = [i for i, w in enumerate(kinds) if w == word]
+            each = [np.cumsum(unpacked(keys[i].as_py(), np.uint64), dtype=np.uint64) for i in at]
+            flat = np.concatenate(each)
+            distinct, back = np.unique(flat, return_inverse=True)
+            del flat
+            numbers = np.concatenate([unpacked(counts[i].as_py(), np.uint32) for i in at])
+            of_target = np.repeat(np.array([given[i] for i in at]), [len(e) for e in each])
+            sums = [np.bincount(back[m], numbers[m], len(distinct)) for m in (of_target, ~of_target)]
+            start = 0
+            for i, e in zip(at, each):
+                if not given[i]:
+                    own = back[start : start + len(e)]
+                    out.append({"chunk": table["chunk"][i].as_py(), "word": word, "bucket": table["bucket"][i].as_py(), "target": packed(sums[0][own].astype(np.uint64)), "background": packed(sums[1][own].astype(np.uint64)), "distinct": 0, "target_total": 0, "background_total": 0})
+                start += len(e)
+            if word:
+                out.append({"chunk": None, "word": True, "bucket": table["bucket"][0].as_py(), "target": b"", "background": b"", "distinct": int((sums[1] > 0).sum()), "target_total": int(sums[0].sum()), "background_total": int(sums[1].sum())})
+        kind = pa.schema([("chunk", pa.int64()), ("word", pa.bool_()), ("bucket", pa.int32()), ("target", pa.binary()), ("background", pa.binary()), ("distinct", pa.int64()), ("target_total", pa.int64()), ("background_total", pa.int64())])
+        return pa.Table.from_pylist(out, kind)
+
+    return rows.groupBy("bucket").applyInArrow(run, TOLD)
+
+
+def losses(words: np.ndarray, before: np.ndarray, both: np.ndarray, total: np.ndarray, vocabulary: int) -> np.ndarray:
+    """Bits for each token under one model: counts of its word, of the word before it and of the pair
+    (both 0 for first words), and of all words."""
     alone = (words + FLAT) / (total + FLAT * vocabulary)
-    before = np.where(inner, np.concatenate([[0.0], words[:-1]]) if len(words) else words, 0.0)
-    share = np.divide(both, before, out=np.zeros_like(before), where=before > 0)
+    share = np.divide(both, before, out=np.zeros(len(both)), where=before > 0)
     return -np.log2(np.where(before > 0, BIGRAM_SHARE * share + (1 - BIGRAM_SHARE) * alone, alone))
 
 
-def score(docs: DataFrame, labels: DataFrame, size: int = CHUNK) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss (bits a token) and score of each document."""
-    ship(docs.sparkSession)
-    chunked = chunks(docs, labels, size)
-    sums = count(chunked)
-    of = sums.filter("single").agg(F.count(F.lit(1)).alias("words"), F.sum("target").alias("target"), F.sum("background").alias("background")).first()
-    totals, vocabulary = (float(of["target"] or 0), float(of["background"] or 0)), max(WORDS, of["words"])
-
-    def run(own: pa.Table, shared: pa.Table) -> pa.Table:
-        grams = Grams(own["text"].to_pylist(), own["target"].to_numpy().astype(bool))
-        for word, keys, counts in ((True, grams.words, grams.word_counts), (False, grams.pairs, grams.pair_counts)):
-            some = shared.filter(shared["word"] if word else pa.compute.invert(shared["word"]))
-            at = np.searchsorted(keys, some["key"].to_numpy())
-            counts[0, at], counts[1, at] = some["target"].to_numpy(), some["background"].to_numpy()
+def score(docs: DataFrame, labels: DataFrame, size: int = CHUNK, leave_out: bool = True) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss (bits a token) and score of each document.
+    leave_out: whether models leave out the document that they score."""
+    spark = docs.sparkSession
+    ship(spark)
+    chunked = chunks(docs, size)
+    ids = materialize(good_ids(labels), "target")
+    letters = chunked.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(partitions(spark), math.ceil(letters / 3 / BUCKET_KEYS))  # about a word and a pair each six characters
+    # only texts that a filter of the ids lets through meet the ids: its size has a bound, and the join is exact
+    chosen = likely(chunked, ids).join(ids, "doc_id", "left_semi")
+    answers = materialize(told(asked(chunked, False, buckets, size).unionByName(asked(chosen, True, buckets, size))), "answers", compression="zstd")
+    of = answers.filter("chunk is null").agg(F.sum("distinct").alias("words"), F.sum("target_total").alias("target"), F.sum("background_total").alias("background")).first()
+    totals, vocabulary = (float(of["target"] or 0), float(of["background"] or 0)), max(WORDS, of["words"] or 0)
+    flags = chunked.select("doc_id", "chunk").distinct().join(ids, "doc_id", "left_semi").withColumnRenamed("doc_id", "id")
+    shared = answers.filter("chunk is not null").select("chunk", "word", "bucket", "target", "background").unionByName(flags, allowMissingColumns=True)
+
+    def run(own: pa.Table, given: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return pa.table({"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), **{c: pa.array([], pa.float64()) for c in ("target_loss", "background_loss", "score")}})
+        grams = Grams(own["text"].to_pylist())
+        where = given["bucket"].to_pylist()
+        target = np.isin(own["doc_id"].fill_null(0).to_numpy(), given["id"].drop_null().to_numpy()) & own["doc_id"].is_valid().to_numpy()
+        counts: dict[tuple[bool, str], np.ndarray] = {}
+        for word in (True, False):
+            rows = sorted((b, i) for i, (b, w) in enumerate(zip(where, given["word"].to_pylist())) if w is word)
+            for model in ("target", "background"):
+                counts[word, model] = np.concatenate([np.empty(0, np.uint64), *(unpacked(given[model][i].as_py(), np.uint64) for _, i in rows)]).astype(np.int64)
+        word_own = grams.own(grams.word_at, grams.text_at, len(grams.words))
+        pair_own = np.zeros(len(grams.inner), np.int64)
+        pair_own[grams.inner] = grams.own(grams.pair_at, grams.text_at[grams.inner], len(grams.pairs))
         out = []
-        for m in (0, 1):
-            both, sums = np.zeros(len(grams.inner)), np.zeros(len(grams.lengths))
-            both[grams.inner] = grams.pair_counts[m, grams.pair_at]
-            if len(both):
-                sums[grams.lengths > 0] = np.add.reduceat(losses(grams.word_counts[m, grams.word_at], both, grams.inner, totals[m], vocabulary), grams.first)
+        for model, total, inside in (("target", totals[0], target & leave_out), ("background", totals[1], np.full(len(target), leave_out))):
+            mine = inside[grams.text_at]
+            alone = counts[True, model][grams.word_at] - word_own * mine
+            before = np.where(grams.inner, np.concatenate([[0], alone[:-1]]) if len(alone) else alone, 0)
+            both = np.zeros(len(alone), np.int64)
+            both[grams.inner] = counts[False, model][grams.pair_at]
+            both -= pair_own * mine
+            sums = np.zeros(len(grams.lengths))
+            if len(alone):
+                sums[grams.lengths > 0] = np.add.reduceat(losses(alone, before, both, (total - grams.lengths * inside)[grams.text_at], vocabulary), grams.first)
             out.append(sums / np.maximum(grams.lengths, 1))
         return pa.table({"doc_id": own["doc_id"], "n_tokens": grams.lengths, "target_loss": out[0], "background_loss": out[1], "score": out[0] - out[1]})
 
-    return chunked.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    return chunked.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
