@@ -1,6 +1,6 @@
 import random
 import zlib
-from itertools import combinations
+from itertools import combinations, groupby
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -60,3 +60,44 @@ def test_pack(spark):
         assert sorted((r.batch, r.slot) for r in own) == [divmod(i, each) for i in range(len(own))]
         assert all(r.padding == b - r.n_tokens >= 0 and b == min(x for x in bounds if x >= r.n_tokens) for r in own)
     assert packing.pack(docs.limit(0), bpe.default_tokenizer()).count() == 0
+
+
+def test_packed_ids_are_the_encoding(spark):
+    """Pieces joined in order give each document's encoding; padding and mask fill each row to its boundary."""
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choices(["alpha", "beta,", "x\n", "é", "日本"], k=rnd.randint(0, 60)))) for i in range(200)] + [(500, "tok " * 500), (501, None), (502, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    packed = packing.pack(docs, bpe.default_tokenizer(), context=64, buckets=5, budget=256)
+    by = {}
+    for r in packed.collect():
+        by.setdefault(r.doc_id, []).append((r.piece, r.ids))
+    for d, t in rows:
+        assert [x for _, own in sorted(by[d]) for x in own] == ids(t)
+    for r in packing.padded(packed, 7).collect():
+        assert len(r.input_ids) == len(r["mask"]) == r.bucket and sum(r["mask"]) == r.n_tokens
+        assert r.input_ids[: r.n_tokens] == r.ids and set(r.input_ids[r.n_tokens :]) <= {7}
+    # a batch's rows are neighbours in the files, but for one cut between two files
+    runs = [k for k, _ in groupby((r.bucket, r.batch) for r in packed.select("bucket", "batch").collect())]
+    assert all(runs.count(k) <= 2 for k in runs)
+
+
+def test_file_layout(spark, tmp_path):
+    """Footers: dictionary or delta encodings, small row groups, page indexes."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    docs = spark.range(3000).selectExpr("id as doc_id", "repeat(concat('word', id % 7, ' text '), 20) as text")
+    token_files.write(docs, str(tmp_path / "t"), bpe.default_tokenizer())
+    n = 0
+    for f in glob.glob(str(tmp_path / "t" / "*.parquet")):
+        meta = pq.ParquetFile(f).metadata
+        n += meta.num_rows
+        for g in range(meta.num_row_groups):
+            group = meta.row_group(g)
+            assert group.total_byte_size <= 32 << 20
+            columns = {group.column(c).path_in_schema.split(".")[0]: group.column(c) for c in range(group.num_columns)}
+            assert "RLE_DICTIONARY" in columns["ids"].encodings or "PLAIN_DICTIONARY" in columns["ids"].encodings
+            assert any("DELTA" in e or "DICTIONARY" in e for e in columns["doc_id"].encodings)
+            assert columns["doc_id"].has_offset_index and columns["doc_id"].has_column_index and columns["ids"].has_offset_index
+    assert n == 3000

@@ -29,20 +29,30 @@ from .shared import materialize, portions, ship, slices, strings, whole_text
 CONTEXT, BUCKETS, BUDGET = 2048, 16, 65_536
 
 
-def lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, hash of the text and n_tokens."""
+PIECES = "doc_id long, text_hash long, piece long, n_tokens long, ids array<int>"
+
+
+def pieces(docs: DataFrame, tokenizer: str, context: int = CONTEXT) -> DataFrame:
+    """Rows of PIECES: the encoding of each text, cut at each `context` tokens."""
     spark = docs.sparkSession
     ship(spark)
     spec = spark.sparkContext.broadcast(bpe.read_spec(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = bpe.library_encoder(spec.value)
+        encoder = bpe.speculative_encoder(spec.value)
         for batch in portions(batches):
             texts = strings(batch, "text")
             for a, b in slices(texts):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("text_hash").slice(a, b - a), pa.array(encoder.encode(texts[a:b])[1])], names=["doc_id", "text_hash", "n_tokens"])
+                flat, counts = encoder.encode(texts[a:b])
+                each = np.maximum(1, -(-counts // context))
+                row = np.repeat(np.arange(b - a), each)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
+                size = np.minimum(context, counts[row] - piece * context)  # pieces follow each other in flat
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat.astype(np.int32)))
+                own = pa.array(row + a)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(own), batch.column("text_hash").take(own), pa.array(piece), pa.array(size), lists], names=["doc_id", "text_hash", "piece", "n_tokens", "ids"])
 
-    return docs.select("doc_id", F.xxhash64(whole_text()).alias("text_hash"), whole_text().alias("text")).mapInArrow(run, "doc_id long, text_hash long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_hash"), whole_text().alias("text")).mapInArrow(run, PIECES)
 
 
 def boundaries(histogram: dict[int, int], buckets: int = BUCKETS) -> list[int]:
@@ -75,13 +85,10 @@ def boundaries(histogram: dict[int, int], buckets: int = BUCKETS) -> list[int]:
 
 
 def pack(docs: DataFrame, tokenizer: str, context: int = CONTEXT, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
-    """doc_id, piece, n_tokens, bucket (its boundary), batch and slot (from 0 within bucket and
-    batch) and padding of each piece."""
-    pieces = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / context)).cast("long")
-    written = materialize(lengths(docs, tokenizer), "lengths")  # dealing by range reads its input twice; texts are encoded once
-    counted = written.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
-    counted = counted.withColumn("n_tokens", F.least(F.lit(context).cast("long"), F.col("n_tokens") - F.col("piece") * context))
-    rows = ordered_rows(counted, ["n_tokens", "doc_id", "piece", "text_hash"], "packing").drop("text_hash")
+    """doc_id, text_hash, piece, n_tokens, bucket (its boundary), batch and slot (from 0 within bucket
+    and batch), padding and ids of each piece, in files where a batch's pieces follow each other."""
+    written = materialize(pieces(docs, tokenizer, context), "pieces", compression="zstd")  # dealing by range reads its input twice; texts are encoded once
+    rows = ordered_rows(written, ["n_tokens", "doc_id", "piece", "text_hash"], "packing", compression="zstd")
     histogram = {r["n_tokens"]: r["n"] for r in rows.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most context + 1 rows
     bounds = boundaries(histogram, buckets)
     bucket = F.lit(bounds[-1] if bounds else 0)
@@ -94,6 +101,12 @@ def pack(docs: DataFrame, tokenizer: str, context: int = CONTEXT, buckets: int =
     base = first.select(F.col("bucket").alias("__bucket"), F.col("part").alias("__part"), (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("__shift"))
     placed = rows.join(F.broadcast(base), (F.col("bucket") == F.col("__bucket")) & (F.col("part") == F.col("__part"))).withColumn("__i", F.col("place") + F.col("__shift"))
     each = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.lit(1), F.col("bucket")))).cast("long")
-    return placed.select("doc_id", "piece", "n_tokens", "bucket", F.expr("__i").alias("__i"), each.alias("__each")).select(
-        "doc_id", "piece", "n_tokens", "bucket", F.expr("__i div __each").alias("batch"), (F.col("__i") % F.col("__each")).alias("slot"), (F.col("bucket") - F.col("n_tokens")).alias("padding")
+    return placed.withColumn("__each", each).select(
+        "doc_id", "text_hash", "piece", "n_tokens", "bucket", F.expr("__i div __each").alias("batch"), (F.col("__i") % F.col("__each")).alias("slot"), (F.col("bucket") - F.col("n_tokens")).alias("padding"), "ids"
     )
+
+
+def padded(packed: DataFrame, pad: int) -> DataFrame:
+    """packed with `input_ids`, filled up to the boundary with `pad`, and `mask`, 1 for each token and 0 for padding."""
+    fill, real = F.array_repeat(F.lit(pad), F.col("padding").cast("int")), F.array_repeat(F.lit(1), F.col("n_tokens").cast("int"))
+    return packed.withColumns({"input_ids": F.concat("ids", fill), "mask": F.concat(real, F.array_repeat(F.lit(0), F.col("padding").cast("int")))})

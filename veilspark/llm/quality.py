@@ -159,10 +159,11 @@ def cutoffs(base: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: flo
     rules = list(GRID)
     fine = base.filter(~base_failed()).join(judged_ids(labels), F.col("doc_id") == F.col("__id"))
     part = F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1).isin(*PROPOSE)
-    held = fine.select("__good", part.alias("proposes"), stratum().alias("class"), *[v.alias(r) for r, v in rule_values().items()])
-    strata = F.broadcast(merged_strata(held.filter("__good and not proposes"), need))
+    # each step is written: a few numbers a labelled document, then a few rows; so plans stay small
+    held = materialize(fine.select("__good", part.alias("proposes"), stratum().alias("class"), *[v.alias(r) for r, v in rule_values().items()]), "held")
+    strata = F.broadcast(materialize(merged_strata(held.filter("__good and not proposes"), need), "strata"))
     placed = held.join(strata, "class")
-    paths = proposed(placed.filter("proposes"), rules)
+    paths = materialize(proposed(placed.filter("proposes"), rules), "paths")
     rejected = F.lit(False)
     for r in rules:
         rejected = rejected | F.coalesce(F.col(f"h.{r}") > F.col(f"p.{r}"), F.lit(False))
@@ -172,7 +173,7 @@ def cutoffs(base: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: flo
     fails = F.when(F.col("k") >= F.col("n") * alpha, True).otherwise(binomial_tail(F.col("n"), F.least(F.col("k"), F.ceil(F.col("n") * alpha)), alpha) > delta / F.col("strata"))
     chosen = tested.groupBy("stratum").agg(F.coalesce(F.min(F.when(fails, F.col("level"))), F.lit(len(LEVELS))).alias("first_failure"))
     held_levels = chosen.join(paths, "stratum").filter(F.col("level") == F.col("first_failure") - 1)
-    return held_levels.join(strata, "stratum").select("class", *rules)
+    return materialize(held_levels.join(strata, "stratum").select("class", *rules), "cutoffs")
 
 
 def _judged(base: DataFrame, chosen: DataFrame, rules: list[str]) -> DataFrame:

@@ -21,12 +21,12 @@ from .shared import materialize, partitions, whole_text
 LAW = "bytes"
 
 
-def ordered_rows(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+def ordered_rows(df: DataFrame, keys: list[str], name: str, **options: str) -> DataFrame:
     """df, written in the global order of keys, with `part` and `place` (from 0 in each part)."""
     dealt = df.repartitionByRange(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
     # one number for both: the partition above bit 33, the row within it below
     numbered = dealt.withColumn("__n", F.monotonically_increasing_id())
-    written = materialize(numbered, name)
+    written = materialize(numbered, name, **options)
     return written.withColumns({"part": F.shiftright("__n", 33).cast("int"), "place": F.col("__n").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__n")
 
 

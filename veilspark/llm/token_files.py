@@ -46,7 +46,7 @@ def encode(docs: DataFrame, tokenizer: str, end: int | None = END) -> DataFrame:
     dealt = keyed.repartitionByRange(partitions(spark), "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, start, part = bpe.library_encoder(spec.value), 0, TaskContext.get().partitionId()
+        encoder, start, part = bpe.speculative_encoder(spec.value), 0, TaskContext.get().partitionId()
         tail = [] if end is None else [end]
         for batch in portions(batches):
             texts = strings(batch, "text")
