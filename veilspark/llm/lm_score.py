@@ -10,9 +10,9 @@ Each document is scored by models without itself (leave one out): its own counts
 background's, and off the target's where it is part of that. So nothing is scored by what it taught,
 and a document that occurs twice is known to the background by its copy.
 
-1. Rows are written in chunks of about `CHUNK` characters.
-2. A worker sends each chunk's distinct words and pairs, as sorted keys with their counts, in one
-   packed row for each of a number of buckets of keys. Documents of the target send theirs once more.
+1. Texts are written in compressed chunks of about `CHUNK` bytes. Ids alone meet the labels.
+2. A worker sends each chunk's distinct words and pairs, as sorted keys with the counts of both models,
+   in one packed row for each of a number of buckets of keys.
 3. A bucket sums the counts of its keys and answers each chunk's row with the totals, in the row's
    order: a few bits a key. So neither the driver nor a worker holds the models.
 4. A chunk's texts and answers meet, and the texts are scored.
@@ -36,17 +36,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize, partitions, portions, ship, slices, strings, whole_text
 
-WORDS, CHUNK = 1 << 18, 8_000_000
+WORDS, CHUNK = 1 << 18, 4_000_000
 BIGRAM_SHARE, FLAT = 0.5, 0.5
 #: Keys that a bucket should hold at most, counted once for each chunk that has them.
 BUCKET_KEYS = 3_000_000
 #: Characters of distinct words in a worker's memo beyond which it starts anew (memory only).
-MEMO = 4_000_000
+MEMO = 2_000_000
 _MEMO: dict[bytes, int] = {}
 _HELD = [0]
 _ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -114,86 +114,90 @@ def unpacked(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def requests(keys: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """bucket, keys (as steps from one to the next) and counts, bucket by bucket.
+def requests(keys: np.ndarray, counts: list[np.ndarray], buckets: int) -> Iterator[tuple]:
+    """bucket, keys (as steps from one to the next) and each of the counts, bucket by bucket.
 
     A bucket is an equal range of keys, so a sorted array is cut, never sorted again."""
     width = (1 << 64) // buckets + 1
     cuts = np.searchsorted(keys, np.array([b * width for b in range(1, buckets)], np.uint64))
     for b, (i, j) in enumerate(itertools.pairwise([0, *cuts.tolist(), len(keys)])):
         if i < j:
-            steps = np.diff(keys[i:j], prepend=np.uint64(0))
-            yield b, packed(steps), packed(counts[i:j].astype(np.uint32))
+            yield b, packed(np.diff(keys[i:j], prepend=np.uint64(0))), *(packed(c[i:j].astype(np.uint32)) for c in counts)
+
+
+CHUNKS = "chunk long, ids array<long>, sizes array<int>, texts binary"
 
 
 def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
-    """doc_id, text and chunk, written; a chunk's rows are neighbours."""
+    """Rows of CHUNKS, written: the ids of some documents, their texts' bytes, and all texts, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, held = TaskContext.get().partitionId() << 32, 0
+        chunk, ids, held, letters = TaskContext.get().partitionId() << 32, [], [], 0
+
+        def row() -> pa.RecordBatch:
+            sizes = list(map(len, held))
+            texts = pa.compress(b"".join(held), codec="zstd", asbytes=True)
+            return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([texts], pa.binary())], names=["chunk", "ids", "sizes", "texts"])
+
         for batch in portions(batches):
-            out = []
-            for text in strings(batch, "text"):
-                if held and held + len(text) > size:
-                    chunk, held = chunk + 1, 0
-                held += len(text)
-                out.append(chunk)
-            yield batch.append_column("chunk", pa.array(out, pa.int64()))
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), strings(batch, "text")):
+                raw = text.encode()
+                if held and letters + len(raw) > size:
+                    yield row()
+                    chunk, ids, held, letters = chunk + 1, [], [], 0
+                ids.append(doc_id)
+                held.append(raw)
+                letters += len(raw)
+        if held:
+            yield row()
 
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, text string, chunk long")
-    return materialize(cut, "chunks", compression="zstd")
+    return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, CHUNKS), "chunks")
 
 
-def good_ids(labels: DataFrame) -> DataFrame:
-    return labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).filter("q = 1 and t = 0").select("doc_id")
+def texts_of(row: dict) -> list[str]:
+    raw = pa.decompress(row["texts"], sum(row["sizes"]), codec="zstd", asbytes=True)
+    ends = list(itertools.accumulate(row["sizes"], initial=0))
+    return [raw[i:j].decode() for i, j in itertools.pairwise(ends)]
 
 
-ASKED = "chunk long, target boolean, word boolean, bucket int, keys binary, counts binary"
+def good_ids(labels: DataFrame) -> DataFrame:
+    return labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).filter("q = 1 and t = 0").select("id")
 
 
-def asked(texts: DataFrame, target: bool, buckets: int, size: int) -> DataFrame:
-    """ASKED rows of texts: each chunk's, or, for the target, each run of texts of a chunk's size."""
+def targets(chunked: DataFrame, labels: DataFrame) -> DataFrame:
+    """chunk and target, the ids of its documents that are of the target (a row for each chunk). Ids
+    alone meet the labels, by a merge join at every size."""
+    found = chunked.select("chunk", F.explode("ids").alias("id")).distinct().join(good_ids(labels).hint("merge"), "id").groupBy("chunk").agg(F.collect_list("id").alias("target"))
+    return materialize(found, "target")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple[int, str]]:
-            group, held = 0, 0
-            for batch in portions(batches):
-                for chunk, text in zip(batch.column("chunk").to_pylist(), strings(batch, "text")):
-                    held += len(text)
-                    if held > size:
-                        group, held = group + 1, len(text)
-                    yield (group if target else chunk), text
-
-        for chunk, group in itertools.groupby(rows(), key=lambda r: r[0]):
-            grams = Grams([t for _, t in group])
-            for word, keys, counts in ((True, grams.words, grams.word_counts), (False, grams.pairs, grams.pair_counts)):
-                if len(keys):
-                    own = list(zip(*requests(keys, counts, buckets)))
-                    same = [pa.array([x] * len(own[0]), t) for x, t in ((chunk, pa.int64()), (target, pa.bool_()), (word, pa.bool_()))]
-                    yield pa.RecordBatch.from_arrays([*same, *(pa.array(c, t) for c, t in zip(own, (pa.int32(), pa.binary(), pa.binary())))], names=["chunk", "target", "word", "bucket", "keys", "counts"])
 
-    return texts.select("chunk", "text").mapInArrow(run, ASKED)
+ASKED = "chunk long, word boolean, bucket int, keys binary, background binary, target binary"
 
 
-def _maybe(ids: DataFrame) -> DataFrame:
-    """bits: for each of 2^11 parts of a hash's range, a bitmap of the ids' hashes. 8 MB at most, whatever
-    the number of ids, so it may be broadcast; it lets through all ids and, by chance, some others."""
-    h = _place(F.col("doc_id"))
-    return ids.groupBy(F.shiftright(h, 15).alias("part")).agg(F.bitmap_construct_agg(h.bitwiseAND(F.lit(32767))).alias("bits"))
+def asked(flagged: DataFrame, buckets: int) -> DataFrame:
+    """ASKED rows of CHUNKS rows with `target`."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, 1):
+            row = batch.to_pylist()[0]
+            grams = Grams(texts_of(row))
+            mine = is_target(row["ids"], row["target"])[grams.text_at]
+            for word, keys, counts, at, of in ((True, grams.words, grams.word_counts, grams.word_at, mine), (False, grams.pairs, grams.pair_counts, grams.pair_at, mine[grams.inner])):
+                if len(keys):
+                    own = list(zip(*requests(keys, [counts, np.bincount(at[of], minlength=len(keys))], buckets)))
+                    same = [pa.array([x] * len(own[0]), t) for x, t in ((row["chunk"], pa.int64()), (word, pa.bool_()))]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(own[0], pa.int32()), *(pa.array(c, pa.binary()) for c in own[1:])], names=["chunk", "word", "bucket", "keys", "background", "target"])
 
-def _place(doc_id: Column) -> Column:
-    return F.xxhash64(doc_id).bitwiseAND(F.lit((1 << 26) - 1))
+    return flagged.mapInArrow(run, ASKED)
 
 
-def likely(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of texts whose doc_id may be among ids."""
-    at = _place(F.col("doc_id")).bitwiseAND(F.lit(32767))
-    met = texts.withColumns({"__part": F.shiftright(_place(F.col("doc_id")), 15), "__at": at}).join(F.broadcast(_maybe(ids)), F.col("__part") == F.col("part"))
-    return met.filter(F.expr("shiftright(cast(conv(hex(substring(bits, cast(__at div 8 as int) + 1, 1)), 16, 10) as int), cast(__at % 8 as int)) & 1 = 1")).select(*texts.columns)
+def is_target(ids: list[int | None], target: list[int] | None) -> np.ndarray:
+    chosen = set(target or ())
+    return np.array([i in chosen for i in ids], bool)
 
 
 TOLD = "chunk long, word boolean, bucket int, target binary, background binary, distinct long, target_total long, background_total long"
+_TOLD = pa.schema([("chunk", pa.int64()), ("word", pa.bool_()), ("bucket", pa.int32()), ("target", pa.binary()), ("background", pa.binary()), ("distinct", pa.int64()), ("target_total", pa.int64()), ("background_total", pa.int64())])
 
 
 def told(rows: DataFrame) -> DataFrame:
@@ -201,28 +205,27 @@ def told(rows: DataFrame) -> DataFrame:
     the bucket's number of distinct words and their sums."""
 
     def run(table: pa.Table) -> pa.Table:
-        kinds, given = table["word"].to_pylist(), table["target"].to_pylist()
-        keys, counts = table["keys"], table["counts"]
+        bucket = table["bucket"][0].as_py()
         out: list[dict] = []
-        for word in {w for w in kinds}:
-            at = [i for i, w in enumerate(kinds) if w == word]
-            each = [np.cumsum(unpacked(keys[i].as_py(), np.uint64), dtype=np.uint64) for i in at]
-            flat = np.concatenate(each)
-            distinct, back = np.unique(flat, return_inverse=True)
-            del flat
-            numbers = np.concatenate([unpacked(counts[i].as_py(), np.uint32) for i in at])
-            of_target = np.repeat(np.array([given[i] for i in at]), [len(e) for e in each])
-            sums = [np.bincount(back[m], numbers[m], len(distinct)) for m in (of_target, ~of_target)]
-            start = 0
-            for i, e in zip(at, each):
-                if not given[i]:
-                    own = back[start : start + len(e)]
-                    out.append({"chunk": table["chunk"][i].as_py(), "word": word, "bucket": table["bucket"][i].as_py(), "target": packed(sums[0][own].astype(np.uint64)), "background": packed(sums[1][own].astype(np.uint64)), "distinct": 0, "target_total": 0, "background_total": 0})
-                start += len(e)
+        for word in (True, False):
+            some = table.filter(pa.array([w == word for w in table["word"].to_pylist()]))
+            if not some.num_rows:
+                continue
+            each = [np.cumsum(unpacked(k.as_py(), np.uint64), dtype=np.uint64) for k in some["keys"]]
+            sizes = list(map(len, each))
+            distinct, back = np.unique(np.concatenate(each), return_inverse=True)
+            del each
+            sums = {}
+            for model in ("target", "background"):
+                sums[model] = np.bincount(back, np.concatenate([unpacked(c.as_py(), np.uint32) for c in some[model]]), len(distinct)).astype(np.uint64)
+            at = 0
+            for chunk, n in zip(some["chunk"].to_pylist(), sizes):
+                own = back[at : at + n]
+                at += n
+                out.append({"chunk": chunk, "word": word, "bucket": bucket, **{m: packed(sums[m][own]) for m in sums}, "distinct": 0, "target_total": 0, "background_total": 0})
             if word:
-                out.append({"chunk": None, "word": True, "bucket": table["bucket"][0].as_py(), "target": b"", "background": b"", "distinct": int((sums[1] > 0).sum()), "target_total": int(sums[0].sum()), "background_total": int(sums[1].sum())})
-        kind = pa.schema([("chunk", pa.int64()), ("word", pa.bool_()), ("bucket", pa.int32()), ("target", pa.binary()), ("background", pa.binary()), ("distinct", pa.int64()), ("target_total", pa.int64()), ("background_total", pa.int64())])
-        return pa.Table.from_pylist(out, kind)
+                out.append({"chunk": None, "word": True, "bucket": bucket, "target": b"", "background": b"", "distinct": len(distinct), "target_total": int(sums["target"].sum()), "background_total": int(sums["background"].sum())})
+        return pa.Table.from_pylist(out, _TOLD)
 
     return rows.groupBy("bucket").applyInArrow(run, TOLD)
 
@@ -241,26 +244,27 @@ def score(docs: DataFrame, labels: DataFrame, size: int = CHUNK, leave_out: bool
     spark = docs.sparkSession
     ship(spark)
     chunked = chunks(docs, size)
-    ids = materialize(good_ids(labels), "target")
-    letters = chunked.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(partitions(spark), math.ceil(letters / 3 / BUCKET_KEYS))  # about a word and a pair each six characters
-    # only texts that a filter of the ids lets through meet the ids: its size has a bound, and the join is exact
-    chosen = likely(chunked, ids).join(ids, "doc_id", "left_semi")
-    answers = materialize(told(asked(chunked, False, buckets, size).unionByName(asked(chosen, True, buckets, size))), "answers", compression="zstd")
+    chosen = targets(chunked, labels)
+    flagged = chunked.join(chosen.hint("merge"), "chunk", "left")
+    letters = chunked.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n))).first()[0] or 0
+    buckets = max(partitions(spark), math.ceil(letters / 4 / BUCKET_KEYS))  # about a word and a pair each six characters
+    answers = materialize(told(asked(flagged, buckets)), "answers")
     of = answers.filter("chunk is null").agg(F.sum("distinct").alias("words"), F.sum("target_total").alias("target"), F.sum("background_total").alias("background")).first()
     totals, vocabulary = (float(of["target"] or 0), float(of["background"] or 0)), max(WORDS, of["words"] or 0)
-    flags = chunked.select("doc_id", "chunk").distinct().join(ids, "doc_id", "left_semi").withColumnRenamed("doc_id", "id")
-    shared = answers.filter("chunk is not null").select("chunk", "word", "bucket", "target", "background").unionByName(flags, allowMissingColumns=True)
+    shared = answers.filter("chunk is not null").select("chunk", "word", "bucket", "target", "background")
+    # the ids of the target travel with the answers
+    shared = shared.unionByName(chosen.select("chunk", F.col("target").alias("ids")), allowMissingColumns=True)
 
-    def run(own: pa.Table, given: pa.Table) -> pa.Table:
-        if not own.num_rows:
+    def run(texts: pa.Table, given: pa.Table) -> pa.Table:
+        if not texts.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), **{c: pa.array([], pa.float64()) for c in ("target_loss", "background_loss", "score")}})
-        grams = Grams(own["text"].to_pylist())
-        where = given["bucket"].to_pylist()
-        target = np.isin(own["doc_id"].fill_null(0).to_numpy(), given["id"].drop_null().to_numpy()) & own["doc_id"].is_valid().to_numpy()
+        row = texts.to_pylist()[0]
+        grams = Grams(texts_of(row))
+        words, where = given["word"].to_pylist(), given["bucket"].to_pylist()
+        target = is_target(row["ids"], next((x for x, w in zip(given["ids"].to_pylist(), words) if w is None), None))
         counts: dict[tuple[bool, str], np.ndarray] = {}
         for word in (True, False):
-            rows = sorted((b, i) for i, (b, w) in enumerate(zip(where, given["word"].to_pylist())) if w is word)
+            rows = sorted((where[i], i) for i, w in enumerate(words) if w is word)
             for model in ("target", "background"):
                 counts[word, model] = np.concatenate([np.empty(0, np.uint64), *(unpacked(given[model][i].as_py(), np.uint64) for _, i in rows)]).astype(np.int64)
         word_own = grams.own(grams.word_at, grams.text_at, len(grams.words))
@@ -278,6 +282,6 @@ def score(docs: DataFrame, labels: DataFrame, size: int = CHUNK, leave_out: bool
             if len(alone):
                 sums[grams.lengths > 0] = np.add.reduceat(losses(alone, before, both, (total - grams.lengths * inside)[grams.text_at], vocabulary), grams.first)
             out.append(sums / np.maximum(grams.lengths, 1))
-        return pa.table({"doc_id": own["doc_id"], "n_tokens": grams.lengths, "target_loss": out[0], "background_loss": out[1], "score": out[0] - out[1]})
+        return pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "n_tokens": grams.lengths, "target_loss": out[0], "background_loss": out[1], "score": out[0] - out[1]})
 
     return chunked.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
