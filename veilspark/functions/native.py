@@ -106,22 +106,11 @@ def key_words(key: Column) -> Column:
 
 
 def key_kind(words: Column) -> Column:
-    """phone, id, otp, session or dob, by a key's last words; else null."""
-    def last(n: int) -> Column:
-        return F.coalesce(F.get(words, F.size(words) - n), F.lit(""))
-    cut = last(1).isin(*vocab.NUMBER_SUFFIXES) & (F.size(words) >= 2)
-    def kept(n: int) -> Column:
-        return F.when(cut, last(n + 1)).otherwise(last(n))
-    phone = ((last(1) == "id") & (last(2) == "wa")) | (cut & (kept(1) == "contact")) | kept(1).isin(*vocab.PHONE_WORDS)
-    owner = kept(2).isin(*vocab.ID_OWNERS) | (cut & ~kept(2).isin(*vocab.ID_RECORDS))
-    ids = (
-        F.when(kept(1) == "id", owner).when(kept(1) == "identity", cut).when(kept(1) == "security", kept(2) == "social").when(kept(1) == "record", cut & (kept(2) == "medical"))
-        .otherwise(kept(1).isin(*vocab.ID_WORDS))
-    )
-    otp = F.when(last(1) != "code", last(1).isin(*vocab.OTP_WORDS)).when(last(2) == "time", last(3) == "one").otherwise(last(2).isin(*vocab.OTP_QUALIFIERS))
-    session = F.when((last(1) == "id") & (F.size(words) >= 2), last(2) == "session").otherwise(last(1).isin(*vocab.SESSION_WORDS))
-    dob = F.when(last(1) == "date", last(2) == "birth").when(last(1) == "birth", (last(2) == "of") & (last(3) == "date")).otherwise(last(1).isin(*vocab.DOB_WORDS))
-    return F.when(phone, "phone").when(ids, "id").when(otp, "otp").when(session, "session").when(dob, "dob")
+    """phone, id, otp, session or dob, by what a key's words end with; else null."""
+    joined, kind = F.array_join(words, "_"), F.lit(None).cast("string")
+    for name, shape in reversed(vocab.KEY_SHAPES):
+        kind = F.when(joined.rlike(shape), name).otherwise(kind)
+    return kind
 
 
 #: What a whole value under a key of each kind looks like; digit counts are checked apart.

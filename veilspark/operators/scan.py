@@ -95,26 +95,14 @@ def key_words(key: str) -> list[str]:
     return words if len(words) <= 8 else []
 
 
+KEY_SHAPES = [(kind, re.compile(shape)) for kind, shape in vocab.KEY_SHAPES]
+
+
 @functools.lru_cache(65_536)
 def key_kind(key: str) -> str:
-    """phone, id, otp, session or dob, by a key's last words."""
-    words = key_words(key)
-    if not words:
-        return ""
-    cut = words[-1] in vocab.NUMBER_SUFFIXES and len(words) > 1
-    kept = words[:-1] if cut else words
-    last, before = kept[-1], kept[-2] if len(kept) > 1 else ""
-    if words[-2:] == ["wa", "id"] or last in vocab.PHONE_WORDS or (cut and last == "contact"):
-        return "phone"
-    if (last == "id" and (before in vocab.ID_OWNERS or (cut and before not in vocab.ID_RECORDS))) or (last == "identity" and cut) or (last, before) == ("security", "social") or (cut and (last, before) == ("record", "medical")) or last in vocab.ID_WORDS:
-        return "id"
-    if words[-3:] == ["one", "time", "code"] or (words[-1] == "code" and len(words) > 1 and words[-2] in vocab.OTP_QUALIFIERS) or words[-1] in vocab.OTP_WORDS:
-        return "otp"
-    if words[-2:] == ["session", "id"] or words[-1] in vocab.SESSION_WORDS:
-        return "session"
-    if words[-2:] == ["birth", "date"] or words[-3:] == ["date", "of", "birth"] or words[-1] in vocab.DOB_WORDS:
-        return "dob"
-    return ""
+    """phone, id, otp, session or dob, by what a key's words end with."""
+    joined = "_".join(key_words(key))
+    return next((kind for kind, shape in KEY_SHAPES if shape.search(joined)), "")
 
 
 def luhn(digits: str) -> bool:
