@@ -44,7 +44,7 @@ from .shared import materialize, partitions, portions, ship, slices, strings, wh
 WORDS, CHUNK = 1 << 18, 4_000_000
 BIGRAM_SHARE, FLAT = 0.5, 0.5
 #: Keys that a bucket should hold at most, counted once for each chunk that has them.
-BUCKET_KEYS = 3_000_000
+BUCKET_KEYS = 2_000_000
 #: Characters of distinct words in a worker's memo beyond which it starts anew (memory only).
 MEMO = 2_000_000
 _MEMO: dict[bytes, int] = {}
@@ -79,6 +79,12 @@ def _first(counts: np.ndarray) -> np.ndarray:
     return (np.cumsum(counts) - counts)[counts > 0]
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, each key's place among them, and how often each occurs."""
+    own, at, n = np.unique(keys, return_inverse=True, return_counts=True)
+    return own, at.astype(np.int32), n.astype(np.uint32)
+
+
 class Grams:
     """The words and pairs of a chunk's texts: distinct keys, and each token's places among them."""
 
@@ -89,13 +95,13 @@ class Grams:
         self.first = _first(self.lengths)
         self.inner = np.ones(len(words), bool)
         self.inner[self.first] = False  # first words follow none: they stand alone
-        self.words, self.word_at, self.word_counts = np.unique(words.view(np.uint64), return_inverse=True, return_counts=True)
-        self.pairs, self.pair_at, self.pair_counts = np.unique(pairs(words, self.first).view(np.uint64)[self.inner], return_inverse=True, return_counts=True)
-        self.text_at = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.words, self.word_at, self.word_counts = distinct(words.view(np.uint64))
+        self.pairs, self.pair_at, self.pair_counts = distinct(pairs(words, self.first).view(np.uint64)[self.inner])
+        self.text_at = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
 
     def own(self, at: np.ndarray, of: np.ndarray, size: int) -> np.ndarray:
         """For each token, how often its text holds its key (at: places of keys, of: texts)."""
-        keyed = of * size + at
+        keyed = of.astype(np.int64) * size + at
         order = np.argsort(keyed, kind="stable")
         new = np.concatenate([[True], np.diff(keyed[order]) != 0]) if len(order) else np.empty(0, bool)
         group = np.cumsum(new) - 1
@@ -105,13 +111,14 @@ class Grams:
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Unsigned integers, byte planes apart: those that are all zero all but vanish in compression."""
-    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    """Unsigned integers, their number first, compressed with byte planes apart: planes of zeros all but vanish."""
+    planes = values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def unpacked(raw: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    planes = pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def requests(keys: np.ndarray, counts: list[np.ndarray], buckets: int) -> Iterator[tuple]:
@@ -213,18 +220,19 @@ def told(rows: DataFrame) -> DataFrame:
                 continue
             each = [np.cumsum(unpacked(k.as_py(), np.uint64), dtype=np.uint64) for k in some["keys"]]
             sizes = list(map(len, each))
-            distinct, back = np.unique(np.concatenate(each), return_inverse=True)
-            del each
+            keys, back, _ = distinct(np.concatenate(each))
+            n_keys = len(keys)
+            del each, keys
             sums = {}
             for model in ("target", "background"):
-                sums[model] = np.bincount(back, np.concatenate([unpacked(c.as_py(), np.uint32) for c in some[model]]), len(distinct)).astype(np.uint64)
+                sums[model] = np.bincount(back, np.concatenate([unpacked(c.as_py(), np.uint32) for c in some[model]]), n_keys).astype(np.uint64)
             at = 0
             for chunk, n in zip(some["chunk"].to_pylist(), sizes):
                 own = back[at : at + n]
                 at += n
                 out.append({"chunk": chunk, "word": word, "bucket": bucket, **{m: packed(sums[m][own]) for m in sums}, "distinct": 0, "target_total": 0, "background_total": 0})
             if word:
-                out.append({"chunk": None, "word": True, "bucket": bucket, "target": b"", "background": b"", "distinct": len(distinct), "target_total": int(sums["target"].sum()), "background_total": int(sums["background"].sum())})
+                out.append({"chunk": None, "word": True, "bucket": bucket, "target": b"", "background": b"", "distinct": n_keys, "target_total": int(sums["target"].sum()), "background_total": int(sums["background"].sum())})
         return pa.Table.from_pylist(out, _TOLD)
 
     return rows.groupBy("bucket").applyInArrow(run, TOLD)
