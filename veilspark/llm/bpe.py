@@ -39,6 +39,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Distinct pieces, and their characters, in a worker's memo beyond which it forgets rare ones (memory
 #: only, never results). Pieces of over `LONG` characters are cut at the pattern's borders.
 MEMO, MEMO_CHARS, LONG = 400_000, 12_000_000, 200
+#: Bytes of a word up to which all such words are merged side by side.
+SHORT = 64
 NEVER = np.int64(1) << 40
 
 
@@ -75,9 +77,8 @@ class BpeModel:
         self.rank[made[::-1]] = np.arange(len(made))[::-1]  # the first merge that makes a token counts
         first = self.rank[made] == np.arange(len(made))
         self.left[made[first]], self.right[made[first]] = left[first], right[first]
-        key = left * size + right
-        order = np.argsort(key)
-        self.keys, self.key_rank = key[order], order
+        self.made = made
+        self._index(left * size + right)
         self.sound = self._sound(made[first])
         self.automaton = ahocorasick.Automaton()
         for i in [*self.byte_id, *made[first].tolist()]:
@@ -94,10 +95,40 @@ class BpeModel:
             sound[t] = good and sound[self.left[t]] and sound[self.right[t]]
         return sound
 
+    def _index(self, keys: np.ndarray) -> None:
+        """An open-addressing table of pairs: a lookup is one or two gathers."""
+        bits = max(4, int(len(keys) * 12).bit_length())
+        self.shift, self.slots = np.uint64(64 - bits), 1 << bits
+        self.table = np.full(self.slots, -1, np.int64)
+        self.ranks = np.full(self.slots, NEVER)
+        left, self.probes = np.arange(len(keys)), 0
+        at = self._slot(keys)
+        while len(left):
+            free = self.table[at] < 0
+            self.table[at[free][::-1]], self.ranks[at[free][::-1]] = keys[left[free]][::-1], left[free][::-1]  # the first of a slot's keys takes it
+            stays = self.table[at] != keys[left]
+            left, at = left[stays], (at[stays] + 1) % self.slots
+            self.probes += 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of the merge of each pair of tokens, or NEVER."""
         key = a * self.size + b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.key_rank[at], NEVER)
+        at = self._slot(key)
+        held = self.table[at]
+        out = np.where(held == key, self.ranks[at], NEVER)
+        open_ = np.flatnonzero((held != key) & (held >= 0))
+        for _ in range(1, self.probes):
+            if not len(open_):
+                break
+            at = (self._slot(key[open_]) + _) % self.slots
+            held = self.table[at]
+            hit = held == key[open_]
+            out[open_[hit]] = self.ranks[at[hit]]
+            open_ = open_[~hit & (held >= 0)]
+        return out
 
     def compatible(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
         """For each pair of tokens, whether encoding both byte strings joined gives just the pair.
@@ -118,21 +149,46 @@ class BpeModel:
             a, b = np.where(undo_left, self.right[a], a), np.where(undo_left, b, self.left[b])
         return good
 
+    def merge_short(self, words: list[bytes]) -> list[np.ndarray]:
+        """All merges of many short words, by rank, leftmost first: one merge of every word at a time."""
+        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(words)
+        ids = np.array(self.byte_id, np.int64)[np.frombuffer(b"".join(words), np.uint8)]
+        word = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+        rank = np.full(len(ids), NEVER)  # of each token with the next one of its word
+        inside = np.flatnonzero(word[1:] == word[:-1])
+        rank[inside] = self.pair_rank(ids[inside], ids[inside + 1])
+        while len(ids):
+            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            sizes = np.diff(starts, append=len(ids))
+            best = np.minimum.reduceat(rank, starts)
+            done = best >= NEVER
+            if done.any():
+                for w, i, n in zip(word[starts[done]].tolist(), starts[done].tolist(), sizes[done].tolist()):
+                    out[w] = ids[i : i + n]
+                go = np.repeat(~done, sizes)
+                ids, word, rank, best, sizes = ids[go], word[go], rank[go], best[~done], sizes[~done]
+                if not len(ids):
+                    break
+            hits = np.flatnonzero(rank == np.repeat(best, sizes))
+            at = hits[np.concatenate([[True], word[hits[1:]] != word[hits[:-1]]])]
+            ids[at] = self.made[rank[at]]
+            stay = np.ones(len(ids), bool)
+            stay[at + 1] = False
+            at -= np.arange(len(at))  # a merge before removed one token each
+            ids, word, rank = ids[stay], word[stay], rank[stay]
+            rank[at] = NEVER
+            right = at[(at + 1 < len(ids))]
+            right = right[word[right + 1] == word[right]]
+            left = at[at > 0] - 1
+            left = left[word[left] == word[left + 1]]
+            changed = np.concatenate([right, left])
+            rank[changed] = self.pair_rank(ids[changed], ids[changed + 1])
+        return out
+
     def merge_exactly(self, word: bytes) -> list[int]:
-        """All merges by rank, leftmost first; long words by a heap over a linked list, in n log n."""
+        """All merges of a long word by rank, leftmost first, by a heap over a linked list, in n log n."""
         ids = [self.byte_id[b] for b in word]
-        n, get, none = len(ids), self.merge_of.get, (1 << 60, -1)
-        if n <= 48:
-            open_ = [get(p, none) for p in zip(ids, ids[1:])]
-            while open_ and (best := min(open_)) is not none:
-                i = open_.index(best)
-                ids[i : i + 2] = [best[1]]
-                del open_[i]
-                if i:
-                    open_[i - 1] = get((ids[i - 1], ids[i]), none)
-                if i < len(open_):
-                    open_[i] = get((ids[i], ids[i + 1]), none)
-            return ids
+        n, get = len(ids), self.merge_of.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := get((ids[i], ids[i + 1])))]
         heapq.heapify(heap)
@@ -166,7 +222,9 @@ class BpeModel:
         wrong = ~self.compatible(pairs // self.size, pairs % self.size)[back]
         failed = np.unique(word[1:][inside][wrong])
         if len(failed):
-            parts = [self.merge_exactly(words[w]) for w in failed.tolist()]
+            short = [w for w in failed.tolist() if len(words[w]) <= SHORT]
+            merged = dict(zip(short, self.merge_short([words[w] for w in short])))
+            parts = [merged[w] if w in merged else np.array(self.merge_exactly(words[w])) for w in failed.tolist()]
             kept = ~np.isin(word, failed, assume_unique=False, kind="table")
             nth = np.arange(len(ids)) - (np.cumsum(counts) - counts)[word]
             counts[failed] = list(map(len, parts))
@@ -175,7 +233,7 @@ class BpeModel:
             out[(starts[word] + nth)[kept]] = ids[kept]
             of = np.repeat(failed, counts[failed])
             own = np.cumsum(counts[failed]) - counts[failed]
-            out[starts[of] + np.arange(len(of)) - np.repeat(own, counts[failed])] = [x for p in parts for x in p]
+            out[starts[of] + np.arange(len(of)) - np.repeat(own, counts[failed])] = np.concatenate(parts)
             ids = out
         return ids, counts
 
