@@ -1,20 +1,20 @@
-"""The scanner as Spark columns: one vectorised UDF per configuration, and what follows from it."""
+"""The scanner as Spark columns: one Arrow UDF per configuration, and what follows from it."""
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ScanConfig
 
-RESULT = "redacted string, findings array<struct<strategy:string,label:string>>, error string"
-#: Longest line that is scanned, in bytes; a longer one becomes a marker line.
-LINE_BYTES = 10 << 20
-TOO_LONG, DROPPED = "[WARN: LINE_TOO_LONG]", "[DROP: FATAL_ERROR]"
+#: A finding's line counts from 1, its start from 0 in characters of the line (null where the value was decoded first).
+FINDINGS = "array<struct<strategy:string,label:string,line:int,start:int,length:int>>"
+RESULT = f"redacted string, findings {FINDINGS}, error string"
+_FINDING = pa.struct([("strategy", pa.string()), ("label", pa.string()), ("line", pa.int32()), ("start", pa.int32()), ("length", pa.int32())])
 
 
 def ship(spark: SparkSession) -> None:
@@ -25,39 +25,42 @@ def ship(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = ":".join([root, *filter(None, paths)])
 
 
-def scan(config: ScanConfig, closed: bool = False):
-    """A pandas UDF: text (of one or more lines) to RESULT. A failure in a row's text keeps the text
-    (or drops it, if `closed`) and says so in `error`; other rows go on."""
-
-    @F.pandas_udf(RESULT)
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _results(scanner, texts: pa.Array, closed: bool, keep_text: bool) -> pa.StructArray:
+    redacted, errors, ends = [], [], [0]
+    columns: list[list] = [[], [], [], [], []]
+    for text in texts.to_pylist():
+        out, findings, error = scanner.scan(text, closed) if text is not None else (None, [], None)
+        redacted.append(out if keep_text else None)
+        errors.append(error)
+        for f in findings:
+            for column, value in zip(columns, (f.strategy, f.label, f.line, f.start, len(f.value))):
+                column.append(value)
+        ends.append(len(columns[0]))
+    rows = pa.StructArray.from_arrays([pa.array(c, field.type) for c, field in zip(columns, _FINDING)], fields=list(_FINDING))
+    found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+    return pa.StructArray.from_arrays([pa.array(redacted, pa.string()), found, pa.array(errors, pa.string())], names=["redacted", "findings", "error"])
+
+
+def scan(config: ScanConfig, closed: bool = False, keep_text: bool = True):
+    """An Arrow UDF: text (of one or more lines) to RESULT, by `Scanner.scan`'s policy for lines. Without
+    keep_text, `redacted` is null and no text comes back from the workers."""
+
+    @F.arrow_udf(RESULT)
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from .scan import Scanner
 
         scanner = Scanner(config)
-        for series in texts:
-            redacted, findings, errors = [], [], []
-            for text in series:
-                scanner.found.clear()
-                error = None
-                try:
-                    if text is not None and len(text) > LINE_BYTES // 4 and max(len(x.encode()) for x in text.split("\n")) > LINE_BYTES:
-                        out, error = (DROPPED if closed else TOO_LONG), "line too long"
-                    else:
-                        out = None if text is None else scanner.text(text)
-                except Exception as e:  # one text's failure must not stop the stream
-                    out, error = (DROPPED if closed else text), f"{type(e).__name__}: {e}"
-                redacted.append(out)
-                findings.append([(f.strategy, f.label) for f in scanner.found])
-                errors.append(error)
-            yield pd.DataFrame({"redacted": pd.Series(redacted, dtype=object), "findings": [[{"strategy": s, "label": l} for s, l in x] for x in findings], "error": pd.Series(errors, dtype=object)})
+        for batch in texts:
+            yield _results(scanner, batch, closed, keep_text)
 
     return run
 
 
 def redact(df: DataFrame, column: str, config: ScanConfig, audit: bool = False, closed: bool = False) -> DataFrame:
-    """df with `column` redacted (left as it is in audit mode) and `findings` and `error` beside it."""
+    """df with `column` redacted (left as it is in audit mode) and `findings` and `error` beside it.
+    In audit mode nothing is dropped, and no text comes back from the workers."""
     ship(df.sparkSession)
-    scanned = df.withColumn("__scan", scan(config, closed)(F.col(column)))
+    scanned = df.withColumn("__scan", scan(config, closed and not audit, not audit)(F.col(column)))
     out = {"findings": F.col("__scan.findings"), "error": F.col("__scan.error"), "would_redact": F.size("__scan.findings") > 0}
     return scanned.withColumns(out if audit else {column: F.col("__scan.redacted"), **out}).drop("__scan")
 
@@ -67,18 +70,47 @@ def counts(scanned: DataFrame, *by: str) -> DataFrame:
     return scanned.select(*by, F.explode("findings").alias("f")).groupBy(*by, "f.strategy", "f.label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def spans(scanned: DataFrame, *keep: str) -> DataFrame:
+    """One row a finding: keep, strategy, label, line, start and length."""
+    return scanned.select(*keep, F.inline("findings"))
+
+
 def preview(df: DataFrame, column: str, published: ScanConfig, draft: ScanConfig) -> DataFrame:
-    """What a draft would change: the line under either configuration, and whether they differ."""
+    """What a draft would change: the line under either configuration, and whether they differ. Both
+    scanners see a text in one pass."""
     ship(df.sparkSession)
-    rows = df.withColumn("__a", scan(published)(F.col(column))).withColumn("__b", scan(draft)(F.col(column)))
-    return rows.withColumns({"published": F.col("__a.redacted"), "draft": F.col("__b.redacted")}).withColumn("changed", ~F.col("published").eqNullSafe(F.col("draft"))).drop("__a", "__b")
+
+    @F.arrow_udf("published string, draft string")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        from .scan import Scanner
+
+        both = Scanner(published), Scanner(draft)
+        for batch in texts:
+            sides = [pa.array([None if t is None else s.scan(t)[0] for t in batch.to_pylist()], pa.string()) for s in both]
+            yield pa.StructArray.from_arrays(sides, names=["published", "draft"])
+
+    rows = df.withColumn("__both", run(F.col(column)))
+    return rows.withColumns({"published": F.col("__both.published"), "draft": F.col("__both.draft")}).withColumn("changed", ~F.col("published").eqNullSafe(F.col("draft"))).drop("__both")
 
 
 def register(spark: SparkSession, config: ScanConfig, name: str = "scan") -> None:
-    """The UDF under a name for SQL."""
+    """For SQL: the UDF under a name, and `redaction_spans(text)`, a table function of one row a finding."""
     ship(spark)
     spark.udf.register(name, scan(config))
 
+    @F.udtf(returnType="strategy string, label string, line int, start int, length int")
+    class Spans:
+        def __init__(self):
+            from veilspark.operators.scan import Scanner
+
+            self.scanner = Scanner(config)
+
+        def eval(self, text: str):
+            for f in self.scanner.scan(text)[1] if text is not None else ():
+                yield f.strategy, f.label, f.line, f.start, len(f.value)
+
+    spark.udtf.register("redaction_spans", Spans)
+
 
 def lines(text: Column) -> Column:
     return F.split(text, "\n")

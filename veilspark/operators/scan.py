@@ -9,10 +9,13 @@ Lengths are bytes where the rules name lengths; entropy counts characters.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hmac
+import itertools
 import json
 import math
+import operator
 import re
 import unicodedata
 from dataclasses import dataclass, field
@@ -24,6 +27,15 @@ from ..functions.native import SAFE_SHAPES
 DEPTH = 32
 SPACES = " \t,;[]{}()<>【】「」『』〔〕〈〉《》〖〗（）［］｛｝"
 #: Runs in which no character means anything to the cutting of words.
+#: What makes a part of a line more than words between separators: quotes that open, escapes, chains, marks.
+ODD = re.compile("[\"\\\\&\n]|'(?=$|[" + re.escape(SPACES) + ".:])|\\[HIDDEN")
+#: What needs the careful cutting of words, and words and gaps where nothing does: whole double-quoted runs belong to a word.
+HARD = re.compile("\\\\|'(?=$|[" + re.escape(SPACES) + ".:])|\\[HIDDEN")
+RUNS = re.compile("(?:[^" + re.escape(SPACES) + "\"&\n]+|\"[^\"]*\")+|[" + re.escape(SPACES) + "]+")
+GAPS = re.compile("([" + re.escape(SPACES) + "]+)")
+DIGIT, SIGN, SIGNED_DIGIT = re.compile("[0-9]"), re.compile(r"[!-/:-@\[-`{-~]"), re.compile(r"[:=]\s*[\"']?\+?[0-9]")
+#: A closing apostrophe: before a gap, a point, a colon or the end, after no or an even number of backslashes.
+CLOSING = re.compile("(?<!\\\\)(?:\\\\\\\\)*'(?=$|[" + re.escape(SPACES) + ".:])")
 PLAIN, IN_QUOTE = re.compile("[^" + re.escape(SPACES) + "\"'\\\\&\\n]+"), re.compile("[^\"'\\\\]+")
 SIGNATURES = [(label, re.compile(p, re.A)) for label, p in vocab.SIGNATURES]
 EMAIL = re.compile(vocab.EMAIL, re.A)
@@ -41,6 +53,7 @@ FILE = re.compile(r"[\w\-.]{1,64}\.(?:[a-z][a-z0-9]{1,4})(?::[0-9]+)?", re.A)
 IPV6 = re.compile(r"(?=.*:.*:)[0-9a-fA-F:]{2,39}(?:%\w+)?(?:/[0-9]{1,3})?")
 PRODUCT = re.compile(r"[A-Z][a-z]+[A-Za-z]*/[0-9]+(?:\.[0-9]+)*")  # of a User-Agent
 LOG_DATE = re.compile(r"[0-9]{1,2}/[A-Z][a-z]{2}/[0-9]{4}(?::[0-9]{2}){0,3}$")
+USERINFO = re.compile(r"([A-Za-z][\w+.\-]*://[^/?#=&:@]*:)([^\s\"'@]+(?:@[^\s\"'/?#@]+)*)(@)")
 HASH_RANGE = re.compile(r"[0-9a-f]{7,40}\.{2,3}[0-9a-f]{7,40}")
 LOG_PREFIX = re.compile(r"(?:" + "|".join(vocab.LOG_LEVELS) + r"):[A-Za-z_][\w.\-]*:", re.A)
 ASSIGNED = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*=")
@@ -53,13 +66,16 @@ HEX = re.compile(r"[0-9a-fA-F]{7,40}")
 STRONG = {"pass", "password", "passwd", "passphrase", "secret", "token"}
 COPULAS = {"is", "was", "are", "were"}
 GENERIC_NAMES, GENERIC_VALUES = {"key", "name", "setting"}, {"value", "val", "values", "data"}
+#: Words that announce something about the next one, and letter pairs rarer than unknown ones.
+ANNOUNCE = {*vocab.CONTEXT_WORDS, "bearer", "basic"}
+RARE = re.compile("|".join(re.escape(k) for k, v in vocab.BIGRAMS.items() if v < vocab.BIGRAM_RANDOM))
 LITERALS = {"true", "false", "null", "none"}
 DESCRIBES = {"count", "counts", "type", "limit", "usage", "total", "max", "min", "used", "budget", "length", "size", "num", "rate", "cost", "price", "index", "id_type", "expires", "ttl", "prompt", "completion", "input", "output", "cached", "reasoning"}
 
 
-@dataclass
+@dataclass(eq=False)
 class Expect:
-    """What the words so far say about the next one."""
+    """What the words so far say about the next one. A scanner keeps one object for each state."""
 
     secret: bool = False  # a sensitive key waits for its value
     value: bool = False  # a key with its sign stands right before
@@ -77,8 +93,11 @@ class Expect:
 NOTHING = Expect()
 #: Characters without which a word is no quoted text, pair, address, path, escape or marker.
 SIGNS = frozenset("\"'`=:?\\[/：")
-#: Words whose verdict a scanner keeps before it starts anew.
-MEMO = 200_000
+#: Words whose verdict a scanner keeps before it forgets those not met since as many others, and their longest.
+MEMO, MEMO_WORD = 100_000, 120
+#: Longest line that is scanned, in bytes; a longer one becomes a marker line.
+LINE_BYTES = 10 << 20
+TOO_LONG, DROPPED = "[WARN: LINE_TOO_LONG]", "[DROP: FATAL_ERROR]"
 
 
 @dataclass
@@ -86,6 +105,9 @@ class Finding:
     strategy: str
     label: str
     value: str = field(repr=False)
+    mark: str = ""  # what stands for it
+    line: int = 1  # from 1
+    start: int | None = None  # in characters of the line, from 0; None where the value was decoded or rewritten before
 
 
 def key_words(key: str) -> list[str]:
@@ -128,6 +150,16 @@ def safe_shape(token: str) -> bool:
     return bool(SAFE["snake_words"].match(token)) and not signature(token)
 
 
+def class_bonus(token: str) -> float:
+    """Half a point for each class beyond the first: upper and lower case, digits, signs."""
+    if token.isascii():
+        classes = (token.lower() != token) + (token.upper() != token) + (DIGIT.search(token) is not None) + (SIGN.search(token) is not None)
+    else:
+        kinds = {unicodedata.category(ch) for ch in token}
+        classes = ("Lu" in kinds) + ("Ll" in kinds) + ("Nd" in kinds) + any(k[0] in "PS" for k in kinds)
+    return max(0, classes - 1) * 0.5
+
+
 def signature(token: str) -> str:
     return next((label for label, p in SIGNATURES if p.match(token)), "") if len(token.encode()) >= vocab.SIGNATURE_LENGTH else ""
 
@@ -148,6 +180,39 @@ def field_name(key: str) -> bool:
     return bool(re.fullmatch(r"(?:[A-Z]?[a-z]+(?:[0-9]{1,3}(?=[A-Z]|$))?)+", key)) and len(re.findall("[0-9]+(?=[A-Z])", key)) <= 2
 
 
+HEADERS = tuple(vocab.DIFF_HEADERS)
+
+
+class Words:
+    """Whether the word (up to the last blank) before a place holds a text; places must ascend."""
+
+    def __init__(self, line: str):
+        self.line, self.at, self.blank, self.last = line, 0, -1, -1
+
+    def holds(self, text: str, place: int) -> bool:
+        if (blank := self.line.rfind(" ", self.at, place)) >= 0:
+            self.blank = blank
+        if (last := self.line.rfind(text, max(0, self.at - len(text)), place)) >= 0:
+            self.last = last
+        self.at = place
+        return self.last > self.blank
+
+
+def keyed_label(kind: str, value: str) -> str:
+    """The label of a number under a key of this kind, if it has the kind's shape."""
+    if kind == "dob":
+        return "dob" if DOB.fullmatch(value) else ""
+    if kind == "session":
+        return "key" if len(value) >= 10 and value.isdigit() else ""
+    digits = sum(c.isdigit() for c in value)
+    low, high, label = KEYED_DIGITS[kind]
+    return label if low <= digits <= high and GROUPED.fullmatch(value.lstrip("+") if kind == "phone" else value) else ""
+
+
+#: Fewest and most digits of a number under a key, and its label.
+KEYED_DIGITS = {"phone": (7, 15, "phone"), "id": (6, 15, "id-number"), "otp": (4, 8, "key")}
+
+
 class Scanner:
     """One configuration's scanner. Not shared between threads: it keeps the line's findings."""
 
@@ -159,7 +224,17 @@ class Scanner:
         self.custom = [(p, r.name) for r in config.custom_regexes if (p := self._rules([r.pattern]))]
         self.safe = self._rules([r.pattern for r in config.safe_regexes])
         self.found: list[Finding] = []
-        self.memo: dict[str, tuple[str, Expect, list[Finding]]] = {}
+        self.skipped = [r for r in (*config.sensitive_key_patterns, *(r.pattern for r in (*config.custom_regexes, *config.safe_regexes))) if not self._rules([r])]
+        self.threshold = config.entropy_threshold * config.confidence_score
+        self.judged: dict[tuple[int, str], bool] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the memos: words' verdicts, and words that stay as they are and announce nothing."""
+        self.memo: dict[str | tuple[str, Expect], tuple[str, Expect, list[Finding]]] = {}
+        self.older: dict[str | tuple[str, Expect], tuple[str, Expect, list[Finding]]] = {}
+        self.states: dict[tuple, Expect] = {tuple(vars(NOTHING).values()): NOTHING}
+        self.clean: set[str] = {""}
 
     @staticmethod
     def _rules(patterns) -> list[str]:
@@ -176,14 +251,21 @@ class Scanner:
                 pass
         return out
 
-    @staticmethod
-    def _matches(patterns: list[str], text: str, fold: bool = False) -> bool:
+    def _matches(self, patterns: list[str], text: str, fold: bool = False) -> bool:
+        """Whether any of a list of rules (a list that lives as long as the scanner) matches; each text is asked once."""
         if not patterns:
             return False
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        return any(pc.match_substring_regex(pa.array([text]), p, ignore_case=fold)[0].as_py() for p in patterns)
+        key = id(patterns), text
+        if (known := self.judged.get(key)) is None:
+            import pyarrow as pa
+            import pyarrow.compute as pc
+
+            if len(self.judged) >= MEMO:
+                self.judged.clear()
+            known = pc.match_substring_regex(pa.array([text]), "|".join(f"(?:{p})" for p in patterns), ignore_case=fold)[0].as_py()
+            if len(text) <= MEMO_WORD:
+                self.judged[key] = known
+        return known
 
     def hide(self, value: str, label: str, strategy: str) -> str:
         mac = self.mac.copy()
@@ -191,25 +273,44 @@ class Scanner:
         named = label if self.c.entity_type_labels or strategy == "regex" else ""
         if strategy == "regex" and label == "regex" and not self.c.entity_type_labels:
             named = ""
-        self.found.append(Finding(strategy, label, value))
-        return f"[HIDDEN{':' + named if named else ''}:{mac.hexdigest()[:6]}]"
+        mark = f"[HIDDEN{':' + named if named else ''}:{mac.hexdigest()[:6]}]"
+        self.found.append(Finding(strategy, label, value, mark))
+        return mark
 
     # -- scores ------------------------------------------------------------------------------
 
     def complexity(self, token: str) -> float:
         n = len(token)
-        counts: dict[str, int] = {}
-        for ch in token:
-            counts[ch] = counts.get(ch, 0) + 1
-        bits = -sum(v / n * math.log2(v / n) for v in counts.values())
-        kinds = {unicodedata.category(ch) for ch in token}
-        classes = ("Lu" in kinds) + ("Ll" in kinds) + ("Nd" in kinds) + any(k[0] in "PS" for k in kinds)
-        return bits + max(0, classes - 1) * 0.5 + self.bigrams(token)
+        shares = [token.count(ch) / n for ch in dict.fromkeys(token)]
+        return -sum(map(operator.mul, shares, map(math.log2, shares))) + class_bonus(token) + self.bigrams(token)
+
+    def surely_below(self, token: str, threshold: float) -> bool:
+        """Whether no part of the token can score above the threshold: no distribution of its distinct
+        characters has more bits than the even one, and the pairs add half a bit at most."""
+        if not token.isascii():
+            return False
+        pairs = 0.5 if self.c.bigram_default_score < vocab.BIGRAM_RANDOM or RARE.search(token.lower()) else 0.0
+        return math.log2(len(set(token))) + class_bonus(token) + pairs <= threshold
+
+    def ordinary(self, word: str) -> bool:
+        """Whether a word that stands under no expectation stays as it is and announces nothing, as most
+        words of letters do: no key in it, too short for an issuer's secret, surely below the threshold."""
+        letters = word.rstrip(".")
+        if not letters.isalpha() or not letters.isascii() or len(word) >= vocab.SIGNATURE_LENGTH or self.key_patterns or self.custom:
+            return False
+        low = letters.lower()
+        return low not in ANNOUNCE and "pw" not in low and not self.keys.search(low) and self.surely_below(word, self.threshold)
 
     def bigrams(self, token: str) -> float:
+        if token.isascii():
+            if self.c.disable_bigram_check or len(token) <= 3:
+                return 0.0
+            low = token.lower()
+            mean = round(sum(map(vocab.BIGRAMS.get, map(operator.add, low, low[1:]), itertools.repeat(self.c.bigram_default_score))) / (len(low) - 1), 12)
+            return -1.5 if mean > vocab.BIGRAM_ENGLISH else 0.5 if mean < vocab.BIGRAM_RANDOM else 0.0
         if self.c.disable_bigram_check or len(token.encode()) <= 3:
             return 0.0
-        low = token.lower() if token.isascii() else "".join(c.lower() if c.isascii() else c for c in token)
+        low = "".join(c.lower() if c.isascii() else c for c in token)
         got = [vocab.BIGRAMS.get(a + b, self.c.bigram_default_score) for a, b in zip(low, low[1:]) if a.isascii() and b.isascii()]
         mean = round(sum(got) / len(got), 12) if got else vocab.BIGRAM_RANDOM
         return -1.5 if mean > vocab.BIGRAM_ENGLISH else 0.5 if mean < vocab.BIGRAM_RANDOM else 0.0
@@ -244,20 +345,64 @@ class Scanner:
         """Every line of a text; a carriage return at a line's end stays outside any marker."""
         return "\n".join(self.line(x[:-1]) + "\r" if x.endswith("\r") else self.line(x) for x in text.split("\n"))
 
+    def scan(self, text: str, closed: bool = False) -> tuple[str, list[Finding], str | None]:
+        """Every line of a text under the fail policy, with placed findings and the first error.
+
+        A line that fails or is over `LINE_BYTES` costs nothing of the others: a failed line stays as it
+        was, a long one becomes a marker; if `closed`, either is dropped. Neither leaves findings."""
+        out, findings, error = [], [], None
+        for n, whole in enumerate(text.split("\n"), 1):
+            line, end = (whole[:-1], "\r") if whole.endswith("\r") else (whole, "")
+            self.found = []
+            if len(line) > LINE_BYTES // 4 and len(line.encode("utf-8", "surrogatepass")) > LINE_BYTES:
+                out.append((DROPPED if closed else TOO_LONG) + end)
+                error = error or f"line {n}: line too long"
+                continue
+            try:
+                done = self.line(line)
+            except Exception as e:  # one line's failure must not cost the others
+                out.append(DROPPED + end if closed else whole)
+                error = error or f"line {n}: {type(e).__name__}: {e}"
+                self.forget()
+                continue
+            out.append(done + end)
+            if self.found:
+                findings += self.placed(n, line, done)
+        return "\n".join(out), findings, error
+
+    def placed(self, n: int, line: str, done: str) -> list[Finding]:
+        """The line's findings with their places, by walking both texts from marker to marker."""
+        out, at, read = [], 0, 0
+        for f in self.found:
+            start = None
+            mark = done.find(f.mark, at)
+            if mark >= 0:
+                place = read + mark - at
+                if line.startswith(f.value, place):
+                    start, read, at = place, place + len(f.value), mark + len(f.mark)
+                elif (place := line.find(f.value, read)) >= 0:  # quotes were added, or escapes taken back, before it
+                    start, read, at = place, place + len(f.value), mark + len(f.mark)
+            out.append(Finding(f.strategy, f.label, f.value, f.mark, n, start))
+        return out
+
     def line(self, line: str, depth: int = 0) -> str:
         if not line:
             return line
         lead = ""
         if depth == 0:
-            if line.startswith(tuple(vocab.DIFF_HEADERS)):
+            if line.startswith(HEADERS):
                 return line
-            if PEM.fullmatch(line):
+            if "PRIVATE KEY-----" in line and PEM.fullmatch(line):
                 return self.hide(line, "private-key", "signature")
-            lead = re.match(r"[+-]{0,2}", line)[0]
-            lead = lead if len(lead) < len(line) else ""
-            line = line[len(lead) :]
+            if line[0] in "+-":
+                lead = re.match(r"[+-]{0,2}", line)[0]
+                lead = lead if len(lead) < len(line) else ""
+                line = line[len(lead) :]
+        carved = self.numbers(line) if DIGIT.search(line) else []
+        if not carved:
+            return lead + self.words(line, depth)[0]
         out, at, state = [lead], 0, ""
-        for start, end, label in self.numbers(line):
+        for start, end, label in carved:
             quote = line[start - 1] if start and end < len(line) and line[start - 1] in "\"'" and line[end] == line[start - 1] else ""
             before, state = self.words(line[at : start - len(quote)], depth, state)
             value = line[start:end]
@@ -275,33 +420,39 @@ class Scanner:
 
     def numbers(self, line: str) -> list[tuple[int, int, str]]:
         """Numbers hidden by their own shape or their key's, left to right, none overlapping."""
-        if not any(c.isdigit() for c in line):
-            return []
         found: list[tuple[int, int, str]] = []
-        for m in KEYED.finditer(line):
-            kind, value = key_kind(m[1]), m[3].rstrip(".-/:")
-            if not kind or "?" in line[max(0, m.start() - 200) : m.start()].split(" ")[-1]:
+        before = Words(line)
+        for m in KEYED.finditer(line) if SIGNED_DIGIT.search(line) else ():
+            kind = key_kind(m[1])
+            if not kind or before.holds("?", m.start()):
                 continue
-            digits = sum(c.isdigit() for c in value)
-            quoted = m[2][-1:] in "\"'"
-            value = value if quoted or " " not in value else value.split(" ")[0] if kind != "phone" else value
-            digits = sum(c.isdigit() for c in value)
-            fits = {"phone": 7 <= digits <= 15 and GROUPED.fullmatch(value.lstrip("+")), "id": 6 <= digits <= 15 and GROUPED.fullmatch(value), "otp": 4 <= digits <= 8 and GROUPED.fullmatch(value), "session": digits >= 10 and value.isdigit(), "dob": DOB.fullmatch(value)}[kind]
-            if fits:
-                found.append((m.start(3), m.start(3) + len(value), {"phone": "phone", "id": "id-number", "otp": "key", "session": "key", "dob": "dob"}[kind]))
+            value = m[3].rstrip(".-/:")
+            if m[2][-1:] not in "\"'" and " " in value and kind != "phone":
+                value = value.split(" ")[0]
+            if label := keyed_label(kind, value):
+                found.append((m.start(3), m.start(3) + len(value), label))
+        before = Words(line)
         for m in PHONE.finditer(line):
-            if 8 <= sum(c.isdigit() for c in m[0]) <= 15 and "://" not in line[: m.start()].split(" ")[-1]:
+            if 8 <= sum(c.isdigit() for c in m[0]) <= 15 and not before.holds("://", m.start()):
                 found.append((m.start(), m.end(), "phone"))
+        cards = []
         if self.c.confidence_score <= 1.2 or any(w in line.lower() for w in ("card", "cc", "pan", "visa")):
             for m in CARD.finditer(line):
                 digits = re.sub("[ -]", "", m[0])
                 if len(set(digits)) > 1 and issuer(digits) and luhn(digits):
-                    found.append((m.start(), m.end(), "card"))
+                    cards.append((m.start(), m.end(), "card"))
         out: list[tuple[int, int, str]] = []
-        for f in sorted(found, key=lambda f: (f[2] == "card", f[0])):
-            if all(f[1] <= g[0] or f[0] >= g[1] for g in out):
+        for f in sorted(found):
+            if not out or f[0] >= out[-1][1]:
                 out.append(f)
-        return sorted(out)
+        if cards:  # a card gives way to any other number
+            starts = [f[0] for f in out]
+            for f in cards:
+                i = bisect.bisect_left(starts, f[1])
+                if not i or out[i - 1][1] <= f[0]:
+                    out.insert(i, f)
+                    starts.insert(i, f[0])
+        return out
 
     # -- words -------------------------------------------------------------------------------
 
@@ -313,15 +464,14 @@ class Scanner:
         def closes(j: int) -> bool:
             return j >= n or s[j] in SPACES or s[j] in ".:"
 
+        last_closing = -2  # found when first asked for
+        last_bracket = s.rfind("]")
+
         def opens(j: int) -> bool:
-            while j < n:
-                if s[j] == "\\":
-                    j += 2
-                    continue
-                if s[j] == "'" and closes(j + 1):
-                    return True
-                j += 1
-            return False
+            nonlocal last_closing
+            if last_closing == -2:
+                last_closing = max((m.end() - 1 for m in CLOSING.finditer(s)), default=-1)
+            return last_closing >= j
 
         while i < n:
             if m := (IN_QUOTE if quote else PLAIN).match(s, i):
@@ -340,8 +490,8 @@ class Scanner:
                 quote = c
                 i += 1
                 continue
-            if c == "[" and (m := MARK.match(s, i)):
-                if s[start:i].endswith(":") and "://" in s[start:i] and s[m.end() : m.end() + 1] == "@":
+            if c == "[" and i < last_bracket and (m := MARK.match(s, i)):
+                if i > start and s[i - 1] == ":" and s[m.end() : m.end() + 1] == "@" and s.find("://", start, i) >= 0:
                     i = m.end()
                     continue
                 if i > start:
@@ -352,8 +502,7 @@ class Scanner:
             width = 4 if s.startswith("\\r\\n", i) else 0
             if not width and c in "&\\\n":
                 step = 2 if s.startswith("\\n", i) else 1 if c != "\\" else 0
-                left = s[start:i]
-                if step and ASSIGNED.match(s, i + step) and (c != "&" or ("=" in left and "?" not in left and "://" not in left)):
+                if step and ASSIGNED.match(s, i + step) and (c != "&" or (s.find("?", start, i) < 0 and s.find("=", start, i) >= 0 and s.find("://", start, i) < 0)):
                     width = step
             if width or c in SPACES:
                 width = width or 1
@@ -371,6 +520,16 @@ class Scanner:
     def words(self, s: str, depth: int, quote: str = "") -> tuple[str, str]:
         if not s:
             return s, quote
+        if not quote and not ODD.search(s):
+            return self.plain_words(s, depth), ""
+        if not quote and not HARD.search(s):
+            runs = RUNS.findall(s)
+            if sum(map(len, runs)) == len(s):  # else a quote is left open, or a chain's sign stands outside
+                e = NOTHING
+                for i, run in enumerate(runs):
+                    if run[0] not in SPACES:
+                        runs[i], e = self.word(run, e, depth)
+                return "".join(runs), ""
         out: list[str] = []
         e = NOTHING
         after_mark = False
@@ -391,6 +550,28 @@ class Scanner:
                 out.append(done)
         return "".join(out), quote
 
+    def plain_words(self, s: str, depth: int) -> str:
+        """Words between separators alone. Words that are known to stay and to announce nothing, and stand
+        under no expectation, need no look: most of ordinary lines."""
+        parts = GAPS.split(s)
+        if self.clean.issuperset(parts[::2]):
+            return s
+        e, clean, changed = NOTHING, self.clean, False
+        for i in range(0, len(parts), 2):
+            if e is NOTHING and parts[i] in clean:
+                continue
+            if e is NOTHING and self.ordinary(parts[i]):
+                if len(clean) >= MEMO:
+                    clean.clear()
+                    clean.add("")
+                clean.add(parts[i])
+            elif parts[i]:
+                done, e = self.word(parts[i], e, depth)
+                clean = self.clean
+                if done != parts[i]:
+                    parts[i], changed = done, True
+        return "".join(parts) if changed else s
+
     def forced(self, token: str, e: Expect) -> bool:
         """Whether what stands before makes this word a secret whatever it looks like."""
         core = unquoted(token).rstrip(".,:;")
@@ -408,16 +589,23 @@ class Scanner:
         return e.copula and size >= self.c.min_secret_length and word_like_secret(core)
 
     def word(self, token: str, e: Expect, depth: int) -> tuple[str, Expect]:
-        """The word rewritten, and what it says about the next. Under no expectation that depends on
-        the word alone, so it is kept, in a bounded memo."""
-        if e is not NOTHING or depth > 2:
+        """The word rewritten, and what it says about the next. That depends on the word and on what is
+        expected alone, so it is kept, in a bounded memo."""
+        if depth > 2 or len(token) > MEMO_WORD:
             return self.fresh_word(token, e, depth)
-        if (known := self.memo.get(token)) is None:
-            noted = len(self.found)
-            out, nxt = self.fresh_word(token, e, depth)
+        key = token if e is NOTHING else (token, e)
+        if (known := self.memo.get(key)) is None:
+            if (known := self.older.get(key)) is None:
+                noted = len(self.found)
+                out, nxt = self.fresh_word(token, e, depth)
+                known = out, nxt, self.found[noted:]
+            else:
+                self.found += known[2]
             if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[token] = known = (out, nxt, self.found[noted:])
+                self.older, self.memo, self.clean = self.memo, {}, {""}
+            self.memo[key] = known
+            if e is NOTHING and known[1] is NOTHING and known[0] == token and not known[2] and not ODD.search(token):
+                self.clean.add(token)
         else:
             self.found += known[2]
         return known[0], known[1]
@@ -453,7 +641,7 @@ class Scanner:
             elif e.secret and e.value and low in ("digest", "negotiate", "token", "apikey"):
                 nxt.scheme = low
         nxt.context = low.rstrip(".,!") in vocab.CONTEXT_WORDS and not forced
-        return done, nxt if nxt != NOTHING else NOTHING
+        return done, self.states.setdefault(tuple(vars(nxt).values()), nxt)
 
     # -- tokens ------------------------------------------------------------------------------
 
@@ -564,10 +752,13 @@ class Scanner:
 
     def url(self, token: str, depth: int) -> str:
         """Passwords, random path parts and secret parameters of an address."""
-        if m := re.match(r"([A-Za-z][\w+.\-]*://[^/?#=&:@]*:)([^\s\"'@]+(?:@[^\s\"'/?#@]+)*)(@)", token):
-            if not m[2].isdigit() or "/" not in m[2]:
+        if m := USERINFO.match(token):
+            before, at = [], 0
+            while m:
                 hidden = m[2] if MARK.fullmatch(m[2]) else self.hide(m[2], "key", "key")
-                return m[1] + hidden + "@" + self.url(token[m.end() :], depth)
+                before += [m[1], hidden, "@"]
+                at, m = m.end(), USERINFO.match(token, m.end())
+            return "".join(before) + self.url(token[at:], depth)
         path, mark, query = token.partition("?")
         parts = path.split("/")
         for i, p in enumerate(parts):
@@ -587,17 +778,11 @@ class Scanner:
             if not eq or not value or MARK.fullmatch(value):
                 out.append(p)
                 continue
-            kind, digits = key_kind(key), sum(c.isdigit() for c in value)
+            kind = key_kind(key)
             if EMAIL.match(value.replace("%40", "@")):
                 new = self.hide(value, "email", "signature")
-            elif kind == "phone" and 7 <= digits <= 15 and GROUPED.fullmatch(value.lstrip("+")):
-                new = self.hide(value, "phone", "signature")
-            elif kind == "id" and 6 <= digits <= 15 and GROUPED.fullmatch(value):
-                new = self.hide(value, "id-number", "signature")
-            elif (kind == "otp" and 4 <= digits <= 8 and GROUPED.fullmatch(value)) or (kind == "session" and value.isdigit() and digits >= 10):
-                new = self.hide(value, "key", "signature")
-            elif kind == "dob" and DOB.fullmatch(value):
-                new = self.hide(value, "dob", "signature")
+            elif kind and (label := keyed_label(kind, value)):
+                new = self.hide(value, label, "signature")
             elif self.sensitive(key):
                 new = self.hide(value, "key", "key")
             elif len(value.encode()) >= self.c.min_secret_length and not safe_shape(value) and not SAFE["uuid"].match(value) and self.part_score(value) > self.c.entropy_threshold:
@@ -634,8 +819,10 @@ class Scanner:
                     return original
                 forced = True
         if not forced:
+            threshold = (self.c.entropy_threshold - (1.3 if context else 0)) * self.c.confidence_score
+            if self.surely_below(content, threshold):
+                return original
             word = CLOSED.fullmatch(content)
-            score = self.part_score(word[1] if word and not context else content)
-            if score <= (self.c.entropy_threshold - (1.3 if context else 0)) * self.c.confidence_score:
+            if self.part_score(word[1] if word and not context else content) <= threshold:
                 return original
         return bare + self.hide(content, "key" if forced else "context" if context else "entropy", strategy) + bare

@@ -13,7 +13,7 @@ CONFIG = ScanConfig(salt=SALT)
 
 
 def scan_documents(spark, sf_dir):
-    scanned = redact.redact(table(spark, sf_dir, "documents"), "text", CONFIG)
+    scanned = redact.redact(table(spark, sf_dir, "documents").select("lang", "source", "text"), "text", CONFIG, audit=True)
     return redact.counts(scanned, "lang", "source")
 
 
