@@ -7,7 +7,7 @@ def test_balanced_contiguous_gapless(spark):
     texts = [None, "", "x", "same"] + ["same"] * 60 + ["é" * (i % 37) for i in range(200)] + ["long " * 40]
     rows = [(i if i % 50 else None, t, "own", "clash") for i, t in enumerate(texts)] + [(7, "same", "own", "clash")] * 2
     docs = spark.createDataFrame(rows, "doc_id long, text string, shard string, size string")
-    got = sharding.assign(docs, 8).collect()
+    got = sharding.assign(docs, 8, slack=0.0).collect()
     assert sorted((r.doc_id or -1, r.size, r.text_crc32) for r in got) == sorted((d or -1, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t, *_ in rows)
     total, largest = sum(r.size for r in got), max(r.size for r in got)
     for s in range(8):
@@ -31,3 +31,26 @@ def test_small_tables(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert [(r.slot, r.size) for r in sharding.assign(docs).collect()] == [(0, 2)]
     assert sharding.assign(docs.limit(0)).count() == 0
+
+
+def test_groups_stay_whole(spark):
+    """Equal texts share a shard where the cut moves little; a group larger than that is parted, and sizes stay near equal."""
+    rows = [f"t{i % 500:03d}" * 10 for i in range(10_000)]  # groups of 20 rows
+
+    def of(rows, **how):
+        docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5)
+        shards, sizes = {}, [0] * 8
+        for r in sharding.assign(docs, 8, **how).collect():
+            shards.setdefault(rows[r.doc_id], set()).add(r.shard)
+            sizes[r.shard] += r.size
+        return shards, sizes
+
+    shards, sizes = of(rows)
+    assert all(len(s) == 1 for s in shards.values()) and max(sizes) - min(sizes) <= 0.1 * sum(sizes) / 8
+    assert any(len(s) > 1 for s in of(rows, slack=0.0)[0].values())
+    shards, sizes = of(rows + ["hot" * 10] * 8000)
+    assert [k for k, s in shards.items() if len(s) > 1] == ["hot" * 10] and max(sizes) - min(sizes) <= 0.1 * sum(sizes) / 8
+    few = spark.createDataFrame(list(enumerate(rows[:40])), "doc_id long, text string")
+    for n in (1, 2, 3):
+        got = sharding.assign(few, n).collect()
+        assert len(got) == 40 and {r.shard for r in got} <= set(range(n))
