@@ -74,3 +74,33 @@ def test_links_lose_nothing(spark):
     signed = [int(np.uint64(f).view(np.int64)) for f in fps]
     want = brute_components(list(zip(signed, fps)))
     assert [roots.get(s, s) for s in signed] == want
+
+
+def test_any_blocks_and_chunks_find_the_same(spark):
+    """Few blocks, many blocks, and tiles cut into small chunks and slices: the same components."""
+    rnd = random.Random(6)
+    fps = {rnd.getrandbits(64) for _ in range(40)} | {0, 1, 3, 7}
+    for c in list(fps):
+        for _ in range(6):
+            fps.add(c ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)))
+    base = rnd.getrandbits(64)
+    fps |= {base ^ (1 << i) for i in range(64)}  # one full neighbourhood: many nodes in few tiles
+    fps = sorted(fps)
+    signed = np.array(fps, np.uint64).view(np.int64).tolist()
+    nodes = spark.createDataFrame([(x,) for x in signed], "fp long")
+    want = brute_components(list(zip(signed, fps)))
+    for blocks, home, visit in ((1, 50, 50), (2, 7, 11), (4, 3, 5), (8, 20_000, 400_000)):
+        roots = {r.node: r.root for r in simhash.components(simhash.links(nodes, 2, blocks, home, visit)).collect()}
+        assert [roots.get(s, s) for s in signed] == want, blocks
+
+
+def test_a_star_of_many_rows(spark, monkeypatch):
+    """A centre whose rows are more than the heavy share, and one whose are not, give the same components."""
+    from veilspark.llm import shared
+
+    edges = [(0, i) for i in range(1, 400)] + [(500 + i, 501 + i) for i in range(0, 60, 2)] + [(1000 + i, 1001 + i) for i in range(40)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = {n: 0 for n in range(400)} | {500 + i + j: 500 + i for i in range(0, 60, 2) for j in (0, 1)} | {1000 + i: 1000 for i in range(41)}
+    for heavy in (3, 50_000):
+        monkeypatch.setattr(shared, "HEAVY", heavy)
+        assert {r.node: r.root for r in simhash.components(df).collect()} == want

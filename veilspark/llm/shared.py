@@ -18,10 +18,13 @@ BLANKS = "\\x20\\x09-\\x0D"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only a session without that setting (tests, a laptop) gets a temporary folder of its own.
+    Only a local session without that setting (tests, a laptop) gets a temporary folder of its own; on a
+    cluster each executor would write to its own disk, so it raises there.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="veilspark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -40,7 +43,32 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     executor's work can be read again instead of being computed again."""
     path = new_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Remove the files of a materialized table that nothing reads any more."""
+    hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+    hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+#: Most rows of `spread_join`'s broadcast part.
+HEAVY = 50_000
+
+
+def spread_join(rows: DataFrame, small: DataFrame, key: str, value: str, n: str, total: int) -> DataFrame:
+    """rows with the `value` that `small` has for `key` (one row a key; n: how many of the `total` rows have it).
+
+    Keys with over total / HEAVY rows are at most HEAVY keys, whatever the table, so their values are
+    broadcast; no other key holds more rows than that share, so those are joined by an exchange."""
+    heavy = small.filter(F.col(n) * HEAVY > total).select(F.col(key).alias("__key"), F.col(value).alias("__value"))
+    light = small.filter(F.col(n) * HEAVY <= total).select(F.col(key).alias("__key2"), F.col(value).alias("__value2"))
+    met = rows.join(F.broadcast(heavy), F.col(key) == F.col("__key"), "left")
+    done = met.filter("__key is not null").select(*rows.columns, F.col("__value").alias(value))
+    rest = met.filter("__key is null").select(*rows.columns).join(light.hint("merge"), F.col(key) == F.col("__key2")).select(*rows.columns, F.col("__value2").alias(value))
+    return done.unionByName(rest)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -12,7 +12,9 @@
    folder, until nothing changes.
 
 Null texts and texts without words have fingerprint zero and link as any other. Rows with a null id
-take part; a component's id is its smallest id that isn't null. Repeated rows stay.
+take part; a component's id is its smallest id that isn't null (null if all are). Repeated rows stay. An
+empty table gives an empty result; columns that clash with the output's are left out. Very long texts
+are hashed whole, one at a time.
 """
 
 from __future__ import annotations
@@ -26,11 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, partitions, ship, strings, whole_text
+from .shared import materialize, partitions, release, ship, spread_join, strings, whole_text
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 BLOCKS = 4
-_WIDTH = 64 // BLOCKS
+#: Nodes of a chunk of a tile, and of a slice of its visitors: a task compares one chunk with one slice.
+HOME, VISIT = 20_000, 400_000
 _LAST = (1 << 63) - 1
 
 
@@ -60,10 +63,10 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, out)
 
 
-def offsets(radius: int) -> list[int]:
+def offsets(radius: int, blocks: int = BLOCKS) -> list[int]:
     """Differences of packed vectors (a byte a block) to neighbouring tiles, one of each opposite pair."""
     out = []
-    for d in itertools.product(range(-radius, radius + 1), repeat=BLOCKS):
+    for d in itertools.product(range(-radius, radius + 1), repeat=blocks):
         if 0 < sum(map(abs, d)) <= radius and next(x for x in d if x) > 0:
             out.append(sum(x << 8 * i for i, x in enumerate(d)))
     return sorted(out)
@@ -113,11 +116,11 @@ def _close(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarr
                 yield x + i, y + j
 
 
-def _tile_edges(home: np.ndarray, visitors: Iterator[np.ndarray], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Forest edges of one tile: among its own nodes, then with each batch of visitors. A visitor's
+def _tile_edges(home: np.ndarray, visitors: Iterator[np.ndarray], radius: int, among: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Forest edges of one chunk: among its own nodes (if `among`), then with each batch of visitors. A visitor's
     first link is an edge; its further ones unite the nodes at home."""
     forest = Forest(home)
-    for x, y in _close(home, home, radius):
+    for x, y in _close(home, home, radius) if among else ():
         up = x < y
         if edges := list(forest.join(x[up], y[up])):
             p, q = np.array(edges).T
@@ -134,26 +137,46 @@ def _tile_edges(home: np.ndarray, visitors: Iterator[np.ndarray], radius: int) -
                 yield home[p], home[q]
 
 
-def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """a, b: forest edges of the links among distinct fingerprints `fp`."""
-    ship(nodes.sparkSession)
-    counts = [F.bit_count(F.shiftrightunsigned("fp", _WIDTH * i).bitwiseAND(F.lit((1 << _WIDTH) - 1))) for i in range(BLOCKS)]
-    tile = sum(((c.cast("long") + 8) * (1 << 8 * i) for i, c in enumerate(counts)), F.lit(0).cast("long"))  # 8: no borrow between bytes
-    moves = F.array(F.lit(0).cast("long"), *[F.lit(x).cast("long") for x in offsets(radius)])
-    dealt = nodes.select("fp", tile.alias("own"), F.explode(moves).alias("move")).select((F.col("own") + F.col("move")).alias("tile"), (F.col("move") != 0).alias("visits"), "fp")
-    dealt = dealt.repartition(partitions(nodes.sparkSession), "tile").sortWithinPartitions("tile", "visits")
+def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, home_rows: int = HOME, visit_rows: int = VISIT) -> DataFrame:
+    """a, b: forest edges of the links among distinct fingerprints `fp`.
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, np.ndarray]]:
+    A tile's own nodes are cut into chunks of about `home_rows` and its visitors into slices of about
+    `visit_rows`, and each chunk meets each slice (and each chunk before it) in a task of its own, so
+    no task grows with the fullest tile."""
+    ship(nodes.sparkSession)
+    width = 64 // blocks
+    counts = [F.bit_count(F.shiftrightunsigned("fp", width * i).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))) for i in range(blocks)]
+    # a byte a block, from 8 on: no borrow between bytes
+    own = nodes.select("fp", sum(((c.cast("long") + 8) * (1 << 8 * i) for i, c in enumerate(counts)), F.lit(0).cast("long")).alias("tile"))
+    moves = F.explode(F.array(*[F.lit(x).cast("long") for x in offsets(radius, blocks)])).alias("move")
+    homes = materialize(own.groupBy("tile").agg(F.count(F.lit(1)).alias("n")), "tiles")  # at most (64 / blocks + 1) ^ blocks rows
+    met = homes.select("tile", "n", moves).select((F.col("tile") + F.col("move")).alias("tile"), "n").groupBy("tile").agg(F.sum("n").alias("visitors"))
+    stats = homes.join(met, "tile", "left").select(
+        "tile", F.ceil(F.col("n") / home_rows).cast("int").alias("chunks"), F.greatest(F.lit(1), F.ceil((F.coalesce("visitors", F.lit(0)) + F.col("n")) / visit_rows)).cast("int").alias("slices")
+    )
+    stats = F.broadcast(stats) if blocks <= 4 else stats
+    chunk, part = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"), F.pmod(F.xxhash64("fp", F.lit(1)), F.col("slices")).cast("int")
+    at_home = own.join(stats, "tile")
+    stay = at_home.select("tile", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("part"), F.lit(False).alias("visits"), "fp")
+    later = at_home.filter(chunk < F.col("chunks") - 1).select("tile", F.explode(F.sequence(chunk + 1, F.col("chunks") - 1)).alias("chunk"), part.alias("part"), F.lit(True).alias("visits"), "fp")
+    away = own.select("fp", "tile", moves).select((F.col("tile") + F.col("move")).alias("tile"), "fp").join(stats, "tile")
+    visit = away.select("tile", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), part.alias("part"), F.lit(True).alias("visits"), "fp")
+    key = ["tile", "chunk", "part"]
+    dealt = stay.unionByName(later).unionByName(visit).repartition(partitions(nodes.sparkSession), *key).sortWithinPartitions(*key, "visits")
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], bool, np.ndarray]]:
         for batch in batches:
-            tiles, visits = batch.column("tile").to_numpy(), batch.column("visits").to_numpy(zero_copy_only=False)
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in (*key, "visits")]
             fp = batch.column("fp").to_numpy().view(np.uint64)
-            cuts = np.flatnonzero((np.diff(tiles) != 0) | (visits[1:] != visits[:-1])) + 1
-            for i, j in itertools.pairwise([0, *cuts.tolist(), len(fp)]):
+            changes = np.zeros(max(0, len(fp) - 1), bool)
+            for c in columns:
+                changes |= c[1:] != c[:-1]
+            for i, j in itertools.pairwise([0, *(np.flatnonzero(changes) + 1).tolist(), len(fp)]):
                 if i < j:
-                    yield int(tiles[i]), bool(visits[i]), fp[i:j]
+                    yield tuple(int(c[i]) for c in columns[:3]), bool(columns[3][i]), fp[i:j]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in itertools.groupby(runs(batches), key=lambda r: r[0]):
+        for task, group in itertools.groupby(runs(batches), key=lambda r: r[0]):
             home: list[np.ndarray] = []
             first = None
             for r in group:
@@ -164,7 +187,7 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
             if not home:
                 continue
             visitors = (r[2] for r in itertools.chain([first] if first else [], group))
-            for a, b in _tile_edges(np.concatenate(home), visitors, radius):
+            for a, b in _tile_edges(np.concatenate(home), visitors, radius, task[2] == 0):
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
@@ -175,31 +198,37 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component), for each node of `edges` (a, b).
 
     Each round halves the depth at least; its edges - never more than nodes and forest edges - are
-    written, so a lost executor costs one round at most."""
+    written, so a lost executor costs one round at most, and those of the round before are removed.
+    The centre of a large star is one key of many rows: `spread_join` splits it."""
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges, before = materialize(edges, "edges"), None
+    total = edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
-        edges = materialize(small, "edges")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
+        large = spread_join(both.filter("v > u"), least, "u", "m", "n", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        pair = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = spread_join(large, low, "u", "m", "n", 2 * total).select(F.explode(pair).alias("e")).select("e.*").filter("u <> v").distinct()
+        old, edges = edges, materialize(small, "edges")
+        release(old)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = state
+        before, total = state, max(1, state[0])
 
 
-def group(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+def group(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, blocks: int = BLOCKS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id for each document."""
     prints = materialize(fingerprints(docs, shingle), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(nodes.select("fp"), radius))
-    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select(F.col("fp").alias("__fp"), "component_id")
-    out = prints.join(named, F.col("fp") == F.col("__fp"))
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    roots = components(links(nodes.select("fp"), radius, blocks))
+    rooted = materialize(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "rooted")
+    # a component's rows may be many nodes, and a node's many documents: both joins split such keys
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
+    named = spread_join(rooted, ids, "root", "component_id", "nodes", total).select("fp", "component_id", "n")
+    out = spread_join(prints, named, "fp", "component_id", "n", total)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
