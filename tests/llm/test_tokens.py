@@ -69,13 +69,13 @@ def test_packed_ids_are_the_encoding(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     packed = packing.pack(docs, bpe.default_tokenizer(), context=64, buckets=5, budget=256)
     by = {}
-    for r in packed.collect():
+    for r in packing.unpacked(packed, bpe.default_tokenizer()).collect():
         by.setdefault(r.doc_id, []).append((r.piece, r.ids))
     for d, t in rows:
         assert [x for _, own in sorted(by[d]) for x in own] == ids(t)
-    for r in packing.padded(packed, 7).collect():
-        assert len(r.input_ids) == len(r["mask"]) == r.bucket and sum(r["mask"]) == r.n_tokens
-        assert r.input_ids[: r.n_tokens] == r.ids and set(r.input_ids[r.n_tokens :]) <= {7}
+    for r in packing.unpacked(packed, bpe.default_tokenizer(), 7).collect():
+        assert len(r.ids) == len(r["mask"]) == r.bucket and r["mask"] == [1] * r.n_tokens + [0] * r.padding
+        assert r.ids[: r.n_tokens] in [ids(t)[i : i + r.n_tokens] for d, t in rows if d == r.doc_id for i in [r.piece * 64]] and set(r.ids[r.n_tokens :]) <= {7}
     # a batch's rows are neighbours in the files, but for one cut between two files
     runs = [k for k, _ in groupby((r.bucket, r.batch) for r in packed.select("bucket", "batch").collect())]
     assert all(runs.count(k) <= 2 for k in runs)

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bpe
 from .sharding import ordered_rows
@@ -29,17 +30,22 @@ from .shared import materialize, portions, ship, slices, strings, whole_text
 CONTEXT, BUCKETS, BUDGET = 2048, 16, 65_536
 
 
-PIECES = "doc_id long, text_hash long, piece long, n_tokens long, ids array<int>"
+def id_type(spec: str) -> str:
+    return "<u2" if bpe.model_of(spec).size <= 1 << 16 else "<u4"
+
+
+PIECES = "doc_id long, text_hash long, piece long, n_tokens long, ids binary"
 
 
 def pieces(docs: DataFrame, tokenizer: str, context: int = CONTEXT) -> DataFrame:
-    """Rows of PIECES: the encoding of each text, cut at each `context` tokens."""
+    """Rows of PIECES: the encoding of each text, cut at each `context` tokens. ids are unsigned
+    little-endian numbers of two bytes, or of four where the vocabulary needs them."""
     spark = docs.sparkSession
     ship(spark)
     spec = spark.sparkContext.broadcast(bpe.read_spec(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = bpe.speculative_encoder(spec.value)
+        encoder, kind = bpe.speculative_encoder(spec.value), np.dtype(id_type(spec.value))
         for batch in portions(batches):
             texts = strings(batch, "text")
             for a, b in slices(texts):
@@ -48,9 +54,10 @@ def pieces(docs: DataFrame, tokenizer: str, context: int = CONTEXT) -> DataFrame
                 row = np.repeat(np.arange(b - a), each)
                 piece = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
                 size = np.minimum(context, counts[row] - piece * context)  # pieces follow each other in flat
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat.astype(np.int32)))
+                ends = np.concatenate([[0], np.cumsum(size) * kind.itemsize]).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(flat.astype(kind))])
                 own = pa.array(row + a)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(own), batch.column("text_hash").take(own), pa.array(piece), pa.array(size), lists], names=["doc_id", "text_hash", "piece", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(own), batch.column("text_hash").take(own), pa.array(piece), pa.array(size), packed], names=["doc_id", "text_hash", "piece", "n_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_hash"), whole_text().alias("text")).mapInArrow(run, PIECES)
 
@@ -106,7 +113,24 @@ def pack(docs: DataFrame, tokenizer: str, context: int = CONTEXT, buckets: int =
     )
 
 
-def padded(packed: DataFrame, pad: int) -> DataFrame:
-    """packed with `input_ids`, filled up to the boundary with `pad`, and `mask`, 1 for each token and 0 for padding."""
-    fill, real = F.array_repeat(F.lit(pad), F.col("padding").cast("int")), F.array_repeat(F.lit(1), F.col("n_tokens").cast("int"))
-    return packed.withColumns({"input_ids": F.concat("ids", fill), "mask": F.concat(real, F.array_repeat(F.lit(0), F.col("padding").cast("int")))})
+def unpacked(packed: DataFrame, tokenizer: str, pad: int | None = None) -> DataFrame:
+    """packed with ids as array<int>; with `pad`, also filled up to the boundary, and `mask`, 1 for each
+    token and 0 for padding."""
+    ship(packed.sparkSession)
+    kind = np.dtype(id_type(bpe.read_spec(tokenizer)))
+    schema = packed.withColumn("ids", F.lit(None).cast("array<int>")).schema
+    if pad is not None:
+        schema = schema.add("mask", T.ArrayType(T.IntegerType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches):
+            rows = [np.frombuffer(x, kind) for x in batch.column("ids").to_pylist()]
+            columns = {name: batch.column(name) for name in batch.schema.names}
+            if pad is not None:
+                fill = batch.column("padding").to_pylist()
+                columns["mask"] = pa.array([np.repeat([1, 0], [len(r), n]) for r, n in zip(rows, fill)], pa.list_(pa.int32()))
+                rows = [np.concatenate([r, np.full(n, pad)]) for r, n in zip(rows, fill)]
+            columns["ids"] = pa.array([r.astype(np.int32) for r in rows], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([columns[name] for name in schema.names], names=schema.names)
+
+    return packed.mapInArrow(run, schema)
