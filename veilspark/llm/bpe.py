@@ -1,7 +1,7 @@
 """Operator 1: byte-level BPE encoding and decoding, by speculation and verification.
 
-1. A text is cut at spaces and line ends that are sure to be token borders; each distinct
-   piece is encoded once per worker and kept in a bounded memo.
+1. Texts are cut at bytes that are sure to begin a token; each distinct piece is encoded once per
+   worker and kept, under a hash of its bytes, in a bounded memo of numpy arrays.
 2. New pieces are split by the tokenizer's pattern. Over all of them, one pass of an
    Aho-Corasick automaton proposes the leftmost-longest vocabulary entries.
 3. A vectorised check walks every adjacent pair of proposed tokens down its merge history. A
@@ -10,8 +10,8 @@
 
 Nulls encode as the empty text: no tokens. The only special string is matched in texts, as the
 tokenizers library does. Rows, repeated or not, are independent: one row out for each row in, none
-for an empty table. Very long texts are encoded whole, a text at a time; the memo is bounded by its
-characters. Columns that clash with an output column are replaced.
+for an empty table. Very long texts are encoded whole, a text at a time; the memo is bounded by the
+number and length of its pieces. Columns that clash with an output column are replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
-import itertools
 import json
 import re
 import unicodedata
@@ -36,9 +35,9 @@ from .shared import portions, ship, slices, strings, whole_text
 
 #: Fixed value: the byte-level pre-tokenizer's published pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct pieces, and their characters, in a worker's memo beyond which it forgets rare ones (memory
-#: only, never results). Pieces of over `LONG` characters are cut at the pattern's borders.
-MEMO, MEMO_CHARS, LONG = 400_000, 12_000_000, 200
+#: Distinct pieces in a worker's memo beyond which it forgets rare ones (memory only, never results), and
+#: the bytes of the longest piece that is kept.
+MEMO, LONG = 500_000, 64
 #: Bytes of a word up to which all such words are merged side by side.
 SHORT = 64
 NEVER = np.int64(1) << 40
@@ -269,117 +268,184 @@ def splitter(spec: str) -> Callable[[str], list[str]]:
     return lambda text: (careful if odd.search(text) else plain).findall(text)
 
 
-class TextEncoder:
-    """Encodes whole texts through a bounded memo of pieces; `encode_pieces` does the new ones."""
+def _marks() -> np.ndarray:
+    """For each byte, bits: 1 cuts before it (space, line end), 2 is or may begin white space, 4 ASCII
+    letter or digit, 8 cuts after a letter or digit (comma, full stop)."""
+    out = np.zeros(256, np.uint8)
+    out[[0x20, 0x0A]] |= 1
+    out[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] |= 2
+    out[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] |= 4
+    out[[0x2C, 0x2E]] |= 8
+    return out
 
-    def __init__(self, encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], special: dict[str, int], split: Callable[[str], list[str]]):
-        self.encode_pieces, self.special = encode_pieces, special
-        self.split, self.gap = split, re.compile(r"\s\s")
-        self.inner = re.compile(r"[,.](?<![^\W_].)")  # one that doesn't follow a letter or digit
-        self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self.reset()
 
-    def reset(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.chars = 0
-        self.hits = np.empty(0, np.int64)
-        self.starts, self.counts, self.flat, self.used = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), 0
-
-    def pieces(self, text: str) -> list[str]:
-        """Memo keys: a piece after a space; with a line end, comma or full stop first, a piece as it
-        stands; after one leading space, any piece as it stands.
-
-        Spaces and line ends begin a token where no other white space is near; commas and full
-        stops do after a letter or digit. Texts with runs of white space take the pattern's slow way,
-        as do long pieces: blobs, and scripts without spaces."""
-        out = self._by_pattern(text) if self.gap.search(text) else self._by_spaces(text)
-        if len(text) > LONG and max(map(len, out), default=0) > LONG:
-            out = [k for p in out for k in (self._by_pattern(self.stands_for(p)) if len(p) > LONG else (p,))]
-        return out
+class PieceMemo:
+    """Encodings of pieces by 64-bit hashes of their bytes: arrays alone, no strings are kept.
 
-    def _by_pattern(self, text: str) -> list[str]:
-        return [w[1:] if len(w) > 1 and w[0] == " " and not w[1].isspace() and w[1] not in ",." else " " + w for w in self.split(text)]
+    A hash is a sum of random numbers, one for each byte value, times powers of an odd base. Two pieces
+    of one length are taken as equal by mistake with a chance of 2^-64: among as many pieces as a corpus
+    of 10^14 bytes shows to a memo of `MEMO`, 10^-4 in all."""
 
-    def _by_spaces(self, text: str) -> list[str]:
-        if self.inner.search(text):
-            out = text.replace("\n", " \n").split(" ")
-            first, out = out[0], ["  " + p if p[:1] in (",", ".") else p for p in out]
-            out[0] = first
-        else:
-            out = text.replace(",", " ,").replace(".", " .").replace("\n", " \n").split(" ")
-        if out[0]:
-            out[0] = " " + out[0]
-        elif text[0:1] == "\n" or not text:
-            del out[0]
-        else:
-            out[0] = " "
-        return out
+    _DRAW = np.random.default_rng(20)
+    BYTES = _DRAW.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+    BASE = int(_DRAW.integers(0, 1 << 61, dtype=np.uint64)) * 8 + 5
 
-    @staticmethod
-    def stands_for(key: str) -> str:
-        return key[1:] if key[:1] == " " else key if key[:1] in ("\n", ",", ".") else " " + key
+    def __init__(self):
+        self.powers = self.back = np.ones(1, np.uint64)
+        self.reset()
 
-    def keys(self, text: str) -> list[str]:
-        if self.cut is None or not any(s in text for s in self.special):
-            return self.pieces(text)
-        out = []
-        for i, part in enumerate(self.cut.split(text)):
-            out += ["  " + part] if i % 2 else self.pieces(part) if part else []
+    def reset(self) -> None:
+        self.keys = np.empty(0, np.uint64)
+        self._room(2 * MEMO)
+        self.starts, self.counts, self.hits = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.flat, self.used = np.empty(0, np.int32), 0
+
+    def _room(self, most: int) -> None:
+        """A table of at least as many slots, with all keys in it."""
+        bits = max(8, most.bit_length())
+        self.shift, self.slots = np.uint64(64 - bits), 1 << bits
+        self.table, self.place = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32)
+        self._place(self.keys, np.arange(len(self.keys), dtype=np.int32))
+
+    def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if len(data) > len(self.powers):
+            n = len(data) * 2
+            self.powers, self.back = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)])) for x in (self.BASE, pow(self.BASE, -1, 1 << 64)))
+        upto = np.empty(len(data) + 1, np.uint64)
+        upto[0] = 0
+        np.cumsum(self.BYTES[data] * self.powers[: len(data)], out=upto[1:])
+        out = (upto[ends] - upto[starts]) * self.back[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(31)
+        out *= np.uint64(0xD6E8FEB86659FD93)
+        return out | np.uint64(1)  # zero is a free slot
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key's piece, -1 for new ones."""
+        at = (keys >> self.shift).astype(np.int64)
+        held = self.table[at]
+        out = np.where(held == keys, self.place[at], -1)
+        left = np.flatnonzero((held != keys) & (held != 0))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & (self.slots - 1)
+            held = self.table[at]
+            hit = held == keys[left]
+            out[left[hit]] = self.place[at[hit]]
+            go = ~hit & (held != 0)
+            left, at = left[go], at[go]
         return out
 
-    def _learn(self, new: list[str]) -> None:
-        plain = [k for k in new if not (k[:2] == "  " and k[2:] in self.special)]
-        ids, counts = self.encode_pieces([self.stands_for(k) for k in plain])
-        special = [k for k in new if k[:2] == "  " and k[2:] in self.special]
-        ids = np.concatenate([ids, np.array([self.special[k[2:]] for k in special], np.int64)]).astype(np.int32)
-        counts = np.concatenate([counts, np.ones(len(special), np.int64)])
+    def add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """New pieces, distinct, with their ids one after the other."""
+        if 3 * (len(self.keys) + len(keys)) > 2 * self.slots:  # one very long text may bring more than the memo keeps
+            self._room(3 * (len(self.keys) + len(keys)))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty(max(1 << 20, len(self.flat)), np.int32)])
         self.flat[self.used : self.used + len(ids)] = ids
-        first = len(self.slot)
-        self.chars += sum(map(len, new))
-        self.slot.update(zip(plain + special, range(first, first + len(new))))
+        self._place(keys, np.arange(len(self.keys), len(self.keys) + len(keys), dtype=np.int32))
+        self.keys = np.concatenate([self.keys, keys])
         self.starts = np.concatenate([self.starts, self.used + np.cumsum(counts) - counts])
         self.counts = np.concatenate([self.counts, counts])
-        self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
+        self.hits = np.concatenate([self.hits, np.zeros(len(keys), np.int64)])
         self.used += len(ids)
 
-    def _shrink(self) -> None:
-        """Forget the pieces met once, and more of the rarest if half the memo would stay; all of them
-        if the rest is still long."""
-        least = 2 if len(self.hits) < 2 else max(2, int(np.partition(self.hits, len(self.hits) // 2)[len(self.hits) // 2]) + 1)
+    def _place(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        at = (keys >> self.shift).astype(np.int64)
+        while len(keys):
+            free = self.table[at] == 0
+            self.table[at[free]], self.place[at[free]] = keys[free], numbers[free]  # the last of a slot's keys takes it
+            stays = self.table[at] != keys
+            keys, numbers, at = keys[stays], numbers[stays], (at[stays] + 1) & (self.slots - 1)
+
+    def shrink(self) -> None:
+        """Forget the pieces met once, and more of the rarest if half the memo would stay."""
+        least = max(2, int(np.partition(self.hits, len(self.hits) // 2)[len(self.hits) // 2]) + 1)
         keep = np.flatnonzero(self.hits >= least)
-        keys = list(self.slot)  # in order of their slots
-        self.slot = {keys[k]: i for i, k in enumerate(keep.tolist())}
-        starts, self.counts, self.hits = self.starts[keep], self.counts[keep], self.hits[keep] // 2
-        self.starts = np.cumsum(self.counts) - self.counts
-        ids = self.flat[np.repeat(starts - self.starts, self.counts) + np.arange(self.counts.sum())]
-        self.flat, self.used = ids, len(ids)
-        self.chars = sum(map(len, self.slot))
-        if self.chars > MEMO_CHARS // 2:
-            self.reset()
+        keys, counts, hits, starts = self.keys[keep], self.counts[keep], self.hits[keep] // 2, self.starts[keep]
+        ids = self.flat[np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())]
+        self.reset()
+        self.add(keys, ids, counts)
+        self.hits = hits
+
+
+class TextEncoder:
+    """Encodes whole texts through a bounded memo of pieces; `encode_pieces` does the new ones."""
+
+    MARKS = _marks()
+
+    def __init__(self, encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], special: dict[str, int], split: Callable[[str], list[str]]):
+        self.encode_pieces, self.special, self.split = encode_pieces, special, split
+        self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+        self.memo = PieceMemo()
+
+    def reset(self) -> None:
+        self.memo.reset()
+
+    def borders(self, data: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        """Where pieces start: at the parts' starts, and where a token surely begins: at a space or line end
+        after a character that is no white space, at a comma or full stop after a letter or digit."""
+        marks = self.MARKS[data]
+        starts = np.zeros(len(data), bool)
+        if len(data) > 3:
+            blank = marks & 2 != 0
+            starts[1:] = (marks[1:] & 1 != 0) & ~blank[:-1]
+            # a character of several bytes may be white space by its first byte, two or three before
+            wide = np.zeros(len(data), bool)
+            wide[2:] = blank[:-2]
+            wide[3:] |= blank[:-3]
+            starts[1:] &= ~(wide[1:] & (data[:-1] >= 0x80))
+            starts[1:] |= (marks[1:] & 8 != 0) & (marks[:-1] & 4 != 0)
+        starts[parts] = True
+        return np.flatnonzero(starts)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the texts (int32) and the number of ids of each."""
-        keys: list[str] = []
-        each = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            own = self.keys(text)
-            each[i] = len(own)
-            keys += own
-        if len(self.slot) > MEMO or self.chars > MEMO_CHARS:
-            self._shrink()
-        slots = np.fromiter(map(self.slot.get, keys, itertools.repeat(-1)), np.int64, len(keys))
-        if len(unknown := np.flatnonzero(slots < 0)):
-            new = [keys[i] for i in unknown.tolist()]
-            self._learn(sorted(set(new)))
-            slots[unknown] = np.fromiter(map(self.slot.__getitem__, new), np.int64, len(new))
-        self.hits += np.bincount(slots, minlength=len(self.hits))
-        counts = self.counts[slots]
-        shift = self.starts[slots] - (np.cumsum(counts) - counts)
-        ids = self.flat[np.repeat(shift, counts) + np.arange(counts.sum())]
-        upto = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(each)])]
-        return ids, np.diff(upto)
+        parts: list[bytes] = []
+        first = [0]  # parts before each text
+        for text in texts:
+            if self.cut is not None and any(x in text for x in self.special):
+                parts += [p.encode() for p in self.cut.split(text) if p]
+            elif text:
+                parts.append(text.encode())
+            first.append(len(parts))
+        raw = b"".join(parts)
+        if not raw:
+            return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
+        data = np.frombuffer(raw, np.uint8)
+        at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
+        starts = self.borders(data, at[:-1])
+        ends = np.append(starts[1:], len(data))
+        if len(self.memo.keys) > MEMO:
+            self.memo.shrink()
+        keys = self.memo.hashes(data, starts, ends)
+        where = self.memo.find(keys)
+        long = np.flatnonzero(ends - starts > LONG)  # blobs and scripts without spaces: encoded, not kept
+        where[long] = -1
+        if len(new := np.flatnonzero(where < 0)):
+            short = new[ends[new] - starts[new] <= LONG]
+            own, one, back = np.unique(keys[short], return_index=True, return_inverse=True)
+            chosen = short[one]
+            self.memo.add(own, *self._learn([raw[i:j] for i, j in zip(starts[chosen].tolist(), ends[chosen].tolist())]))
+            where[short] = len(self.memo.keys) - len(own) + back
+        where[long] = 0
+        self.memo.hits += np.bincount(np.delete(where, long), minlength=len(self.memo.hits))
+        counts = self.memo.counts[where] if len(self.memo.counts) else np.zeros(len(where), np.int64)
+        begin = self.memo.starts[where] if len(self.memo.counts) else np.zeros(len(where), np.int64)
+        flat = self.memo.flat
+        if len(long):
+            ids, each = self._learn([raw[i:j] for i, j in zip(starts[long].tolist(), ends[long].tolist())])
+            counts[long], begin[long] = each, self.memo.used + np.cumsum(each) - each
+            flat = np.concatenate([flat[: self.memo.used], ids.astype(np.int32)])
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        ids = flat[np.repeat(begin - upto[:-1], counts) + np.arange(upto[-1])]
+        return ids, np.diff(upto[np.searchsorted(starts, at[first])])
+
+    def _learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [p.decode() for p in pieces]
+        if self.cut is None or not any(t in self.special for t in texts):
+            return self.encode_pieces(texts)
+        out = [(np.array([self.special[t]]), np.ones(1, np.int64)) if t in self.special else self.encode_pieces([t]) for t in texts]
+        return np.concatenate([i for i, _ in out]), np.concatenate([c for _, c in out])
 
 
 _READY: dict[tuple[str, int], TextEncoder] = {}
