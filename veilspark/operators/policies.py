@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -43,15 +41,38 @@ def appended(base: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
     return base.unionByName(more.join(base.select(*keys), keys, "left_anti"))
 
 
+def line_diff(before: list[str], after: list[str]) -> list[tuple[str, str]]:
+    """A longest common subsequence of the lines kept (space), the others added (+) or removed (-); where
+    both keep as many, additions come first. Equal ends are set aside, so the table covers the changed part."""
+    head = 0
+    while head < min(len(before), len(after)) and before[head] == after[head]:
+        head += 1
+    a, b = before[head:], after[head:]
+    # longest[i][j]: lines that the rest of a from i and of b from j have in common
+    longest = [[0] * (len(b) + 1)]
+    for x in reversed(a):
+        below, row = longest[-1], [0]
+        for j in range(len(b) - 1, -1, -1):
+            row.append(below[j + 1] + 1 if x == b[j] else max(below[j], row[-1]))
+        longest.append(row[::-1])
+    longest.reverse()
+    out, i, j = [(" ", x) for x in before[:head]], 0, 0
+    while i < len(a) or j < len(b):
+        if i < len(a) and j < len(b) and a[i] == b[j]:
+            out.append((" ", a[i]))
+            i, j = i + 1, j + 1
+        elif j < len(b) and (i == len(a) or longest[i][j + 1] >= longest[i + 1][j]):
+            out.append(("+", b[j]))
+            j += 1
+        else:
+            out.append(("-", a[i]))
+            i += 1
+    return out
+
+
 @udtf(returnType="op string, line string")
 class DiffLines:
-    """Lines of two texts: kept (space), added (+) and removed (-), additions first where both fit."""
+    """Lines of two texts, as `line_diff` orders them."""
 
     def eval(self, before: str, after: str):
-        a, b = (before or "").split("\n"), (after or "").split("\n")
-        for tag, i, i2, j, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-            if tag == "equal":
-                yield from ((" ", x) for x in a[i:i2])
-            else:
-                yield from (("+", x) for x in b[j:j2])
-                yield from (("-", x) for x in a[i:i2])
+        yield from line_diff((before or "").split("\n"), (after or "").split("\n"))
