@@ -153,3 +153,30 @@ def diff_header(line: Column) -> Column:
     for p in vocab.DIFF_HEADERS:
         out = out | line.startswith(p)
     return out
+
+
+#: Written numbers, as patterns for Java: cards with at most one blank or dash between digits, numbers of
+#: the North American plan, and international ones.
+WRITTEN_CARD = r"(?<![0-9A-Za-z])(?<![0-9][ -])(?<!\.)[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])(?![ -][0-9])(?!\.[0-9])"
+NANP = r"(?<![0-9A-Za-z(/.=+-])(?:\([2-9][0-9]{2}\) ?[2-9][0-9]{2}[-. ]|[2-9][0-9]{2}-[2-9][0-9]{2}-|[2-9][0-9]{2}\.[2-9][0-9]{2}\.)[0-9]{4}(?![0-9A-Za-z-])"
+INTERNATIONAL = r"(?<![0-9A-Za-z=/+])\+[1-9][0-9]{0,2}(?:[ -](?=[0-9(]))?(?:\([0-9]{1,4}\)[ -]?)?[0-9]{1,8}(?:[ -][0-9]{1,8}){0,5}(?![0-9A-Za-z])"
+
+
+def written_cards(text: Column) -> Column:
+    """The digits of cards as people write them; texts without 13 digits so spaced are not searched."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(WRITTEN_CARD), F.lit(0)), lambda x: F.regexp_replace(x, "[ -]", ""))
+    return F.when(text.rlike("[0-9](?:[ -]?[0-9]){12}"), F.filter(found, is_card)).otherwise(F.array().cast("array<string>"))
+
+
+def written_phones(text: Column) -> Column:
+    """International numbers of 8 to 15 digits, then those of the North American plan."""
+    digits = lambda x: F.length(F.regexp_replace(x, "[^0-9]", ""))
+    abroad = F.filter(F.regexp_extract_all(text, F.lit(INTERNATIONAL), F.lit(0)), lambda x: digits(x).between(8, 15))
+    return F.concat(abroad, F.regexp_extract_all(text, F.lit(NANP), F.lit(0)))
+
+
+def adaptive_threshold(scores, order: list[str], score: str, least: float, samples: int = 100):
+    """One row: the mean of the first `samples` scores in a stated order, plus two standard deviations of
+    the population; `least` while there are fewer. A batch's deterministic form of a running baseline."""
+    first = scores.orderBy(*order).limit(samples).agg(F.count(F.lit(1)).alias("n"), (F.avg(score) + 2 * F.stddev_pop(score)).alias("t"))
+    return first.select(F.when(F.col("n") >= samples, F.col("t")).otherwise(F.lit(float(least))).alias("threshold"), (F.col("n") >= samples).alias("ready"))
