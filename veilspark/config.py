@@ -5,6 +5,8 @@ from __future__ import annotations
 import dataclasses
 import hashlib
 import json
+import secrets
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from .functions import vocab
@@ -103,3 +105,56 @@ def merge(remote: dict, local: dict) -> dict:
 
 def revision(remote: str, generation: int) -> str:
     return f"{remote}+{generation}" if remote else str(generation)
+
+
+#: Prefix of the settings in the environment, and bytes below which a salt is weak.
+PREFIX, SALT_BYTES = "PII_", 16
+_LISTS = {"SENSITIVE_KEYS": "sensitive_keys", "SENSITIVE_KEY_PATTERNS": "sensitive_key_patterns"}
+_RULES = {"CUSTOM_REGEX_LIST": "custom_regexes", "SAFE_REGEX_LIST": "safe_regexes"}
+_NUMBERS = {"ENTROPY_THRESHOLD": "entropy_threshold", "CONFIDENCE_THRESHOLD": "confidence_score", "BIGRAM_DEFAULT_SCORE": "bigram_default_score"}
+_SWITCHES = {"DISABLE_BIGRAM_CHECK": "disable_bigram_check", "ENTITY_TYPE_LABELS": "entity_type_labels"}
+
+
+def random_salt() -> str:
+    """A salt of 32 random bytes, in hex. Made on the driver and shipped with the configuration: a task
+    that made its own would give the same value other marks."""
+    return secrets.token_hex(32)
+
+
+def on(text: str | None) -> bool:
+    return (text or "").strip().lower() in ("1", "true", "yes", "on")
+
+
+def from_env(env: Mapping[str, str], base: ScanConfig, prefix: str = PREFIX) -> tuple[ScanConfig, list[str]]:
+    """base under the environment's settings, and warnings: a setting that can't be read is left out, the
+    others hold. A weak salt is a warning, or a ValueError where the environment requires a strong one."""
+    values: dict[str, object] = {}
+    warnings: list[str] = []
+    get = {k.removeprefix(prefix): v for k, v in env.items() if k.startswith(prefix) and v != ""}
+    if salt := get.get("SALT"):
+        if len(salt.encode()) < SALT_BYTES:
+            if on(get.get("REQUIRE_STRONG_SALT")):
+                raise ValueError(f"{prefix}SALT has fewer than {SALT_BYTES} bytes")
+            warnings.append(f"{prefix}SALT has fewer than {SALT_BYTES} bytes: weak")
+        values["salt"] = salt
+    for name, field in _NUMBERS.items():
+        if name in get:
+            try:
+                values[field] = float(get[name])
+            except ValueError:
+                warnings.append(f"{prefix}{name} is no number")
+    if "MIN_SECRET_LENGTH" in get:
+        text = get["MIN_SECRET_LENGTH"].strip()
+        if text.isdecimal() and int(text) > 0:
+            values["min_secret_length"] = int(text)
+        else:
+            warnings.append(f"{prefix}MIN_SECRET_LENGTH is no positive whole number")
+    values |= {field: True for name, field in _SWITCHES.items() if on(get.get(name))}
+    values |= {field: tuple(x.strip() for x in get[name].split(",") if x.strip()) for name, field in _LISTS.items() if name in get}
+    for name, field in _RULES.items():
+        if name in get:
+            try:
+                values[field] = _value(field, json.loads(get[name]))
+            except (ValueError, TypeError, KeyError):
+                warnings.append(f"{prefix}{name} is no JSON list of rules")
+    return dataclasses.replace(base, **values), warnings
