@@ -120,3 +120,20 @@ def test_memos_change_nothing(monkeypatch):
 def test_skipped_rules_are_told():
     config = from_json('{"custom_regexes": [{"pattern": "^\\\\(?(?(", "name": "x"}, {"pattern": "ok"}], "sensitive_key_patterns": ["["]}', ScanConfig(salt=SALT))
     assert Scanner(config).skipped == ["[", "^\\(?(?("]
+
+
+#: Lines that stay as they are, and lines with one value hidden.
+KEPT = [
+    "Duplicate entry 'x' for key 'users.email'", "ADD KEY idx_order_id (order_id)", "ssh-rsa AAAAB3NzaC1yc2EAAAADAQABAAABAQC0g+ZX bob", '"Bot/1.0 (crawler@parsijoo.ir)" 200', "event Passw0rd! done", "type text/plain;charset=utf-8 x",
+]
+HIDDEN = [("key 8f9aX2kQ7zB1 x", "8f9aX2kQ7zB1"), ("event FjOxfE55 done", "FjOxfE55"), (r"data b'\x89PNG\r\n\x1a\xff\xfe\xaa\xbb\x8b1Zq9K' ok", r"\x89PNG\r\n\x1a\xff\xfe\xaa\xbb\x8b1Zq9K"), ("mail crawler@parsijoo.ir x", "crawler@parsijoo.ir")]
+
+
+@pytest.mark.parametrize("line", KEPT)
+def test_lines_that_stay(line):
+    assert Scanner(ScanConfig(salt=SALT)).scan(line)[:2] == (line, [])
+
+
+@pytest.mark.parametrize(("line", "value"), HIDDEN)
+def test_values_that_are_hidden(line, value):
+    assert [f.value for f in Scanner(ScanConfig(salt=SALT)).scan(line)[1]] == [value]

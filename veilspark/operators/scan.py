@@ -9,6 +9,7 @@ Lengths are bytes where the rules name lengths; entropy counts characters.
 
 from __future__ import annotations
 
+import base64
 import bisect
 import functools
 import hmac
@@ -52,14 +53,19 @@ PATH = re.compile(r"(?:[A-Za-z]:)?[\\/]|\.{1,2}/|~/")
 FILE = re.compile(r"[\w\-.]{1,64}\.(?:[a-z][a-z0-9]{1,4})(?::[0-9]+)?", re.A)
 IPV6 = re.compile(r"(?=.*:.*:)[0-9a-fA-F:]{2,39}(?:%\w+)?(?:/[0-9]{1,3})?")
 PRODUCT = re.compile(r"[A-Z][a-z]+[A-Za-z]*/[0-9]+(?:\.[0-9]+)*")  # of a User-Agent
+AGENT, BRACKETS, CONTACT = re.compile(r"[A-Za-z0-9._\-]+/v?[0-9]"), re.compile(r"(\([^()]*\))"), re.compile(r"([^\s();,+]+@[^\s();,+]+)")
 LOG_DATE = re.compile(r"[0-9]{1,2}/[A-Z][a-z]{2}/[0-9]{4}(?::[0-9]{2}){0,3}$")
 USERINFO = re.compile(r"([A-Za-z][\w+.\-]*://[^/?#=&:@]*:)([^\s\"'@]+(?:@[^\s\"'/?#@]+)*)(@)")
 HASH_RANGE = re.compile(r"[0-9a-f]{7,40}\.{2,3}[0-9a-f]{7,40}")
 LOG_PREFIX = re.compile(r"(?:" + "|".join(vocab.LOG_LEVELS) + r"):[A-Za-z_][\w.\-]*:", re.A)
 ASSIGNED = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*=")
-PARTS = re.compile(r"[_.\-]|(?<=[a-z])(?=[A-Z])")
+PARTS = re.compile(r"[_.\-/]|(?<=[a-z])(?=[A-Z])")
 PART = re.compile(r"[A-Za-z]?[a-z]{1,19}|[A-Z]{2,12}|[A-Za-z]?[0-9]{1,4}")
+BASE64 = re.compile("[A-Za-z0-9+/=]+")
+#: Mean score of letter pairs above which letters follow each other as in words.
+WORDY = -6.5
 CLOSED = re.compile(r"([^\W\d_]+)[.!?]{1,3}")
+IDENTIFIER = re.compile(r"[A-Za-z]{2,}[0-9]*(?:[._][A-Za-z]{2,}[0-9]*)+")
 HUMP = re.compile(r"([a-z])(?=[A-Z])")
 JOINTS = re.compile(r"[_.\-]")
 HEX = re.compile(r"[0-9a-fA-F]{7,40}")
@@ -85,6 +91,7 @@ class Expect:
     strong: bool = False  # the last word names a secret ("password"), so "is" may follow
     copula: bool = False
     naming: bool = False  # a generic name key waits for the name
+    bare_key: bool = False  # the last word is "key", in prose
     named: bool = False  # a name/value pair named a secret; its value key comes
     hash: bool = False
     session: bool = False
@@ -145,11 +152,32 @@ def safe_shape(token: str) -> bool:
         return True
     if PATH.match(token) and len(token) < 256 and not any(len(p) > 31 for p in re.split(r"[\\/]", token)) and not re.fullmatch(r"/(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[^/]*", token):
         return True
-    if re.fullmatch(r"user_[0-9a-f]+", token):
+    if re.fullmatch(r"user_[0-9a-f]+", token) or token.startswith("ssh-") or ssh_key_body(token):
         return True
     return bool(SAFE["snake_words"].match(token)) and not signature(token)
 
 
+def escaped_binary(s: str) -> bool:
+    r"""Whether a literal's text holds four or more \xNN escapes and is no UTF-8."""
+    if s.count("\\x") < 4:
+        return False
+    escapes = 0
+
+    def byte(m: re.Match) -> bytes:
+        nonlocal escapes
+        escapes += m[1] is not None
+        return bytes([int(m[1], 16)]) if m[1] else m[2]
+
+    raw = re.sub(rb"\\(?:x([0-9a-fA-F]{2})|(.))", byte, s.encode("utf-8", "surrogatepass"), flags=re.S)
+    if escapes < 4:
+        return False
+    try:
+        raw.decode()
+    except UnicodeDecodeError:
+        return True
+    return False
+
+
 def class_bonus(token: str) -> float:
     """Half a point for each class beyond the first: upper and lower case, digits, signs."""
     if token.isascii():
@@ -160,6 +188,17 @@ def class_bonus(token: str) -> float:
     return max(0, classes - 1) * 0.5
 
 
+def ssh_key_body(token: str) -> bool:
+    """The base64 body of a public key: it begins with its type's length and name."""
+    if not token.startswith("AAAA") or len(token) <= 20 or not BASE64.fullmatch(token):
+        return False
+    try:
+        raw = base64.b64decode(token[: min(64, len(token)) // 4 * 4], validate=True)
+    except ValueError:
+        return False
+    return raw[4 : 4 + int.from_bytes(raw[:4], "big")].decode("latin-1") in vocab.SSH_KEY_TYPES
+
+
 def signature(token: str) -> str:
     return next((label for label, p in SIGNATURES if p.match(token)), "") if len(token.encode()) >= vocab.SIGNATURE_LENGTH else ""
 
@@ -319,12 +358,18 @@ class Scanner:
         return self.bigrams(word) < 0
 
     def part_score(self, token: str) -> float:
-        """A name of several word-like parts scores as its most random part."""
+        """A name of several word-like parts, a word of three letters among them, whose letters follow
+        each other as in words, scores as its most random part."""
         parts = [p for p in PARTS.split(token) if p]
-        if len(parts) > 1 and len(token.encode()) <= 128 and all(map(PART.fullmatch, parts)):
-            return max(self.complexity(p) for p in parts)
+        if len(parts) > 1 and len(token.encode()) <= 128 and all(map(PART.fullmatch, parts)) and any(len(p) > 2 and p.isalpha() for p in parts):
+            pairs = [self.letter_pair(a + b) for p in parts for a, b in zip(p.lower(), p[1:].lower()) if a.isalpha() and b.isalpha()]
+            if len(pairs) < 3 or sum(pairs) / len(pairs) > WORDY:
+                return max(self.complexity(p) for p in parts)
         return self.complexity(token)
 
+    def letter_pair(self, letters: str) -> float:
+        return vocab.BIGRAMS.get(letters, self.c.bigram_default_score)
+
     # -- keys --------------------------------------------------------------------------------
 
     def sensitive(self, key: str) -> bool:
@@ -576,7 +621,7 @@ class Scanner:
         """Whether what stands before makes this word a secret whatever it looks like."""
         core = unquoted(token).rstrip(".,:;")
         size, letters = len(core.encode()), core.isalpha()
-        if e.secret:
+        if e.secret and not (e.bare_key and not e.value and self.identifier(core.strip("`\\'\""))):
             scheme = core.lower() in ("basic", "bearer", "digest", "negotiate", "token", "apikey") and e.value
             if not (scheme or (not e.value and (len(core) < 3 or (letters and (self.english(core) or len(core) < 12 or not core.isascii())) or "=" in token or ":" in token[:-1]))) and not (e.value and core.lower() in LITERALS and not token[:1] in "\"'"):
                 return True
@@ -633,6 +678,7 @@ class Scanner:
             elif e.named and nxt.value and (low in GENERIC_VALUES or words[-1:] == ["value"]):
                 nxt.secret = True
             nxt.strong = low in STRONG
+            nxt.bare_key = low == "key" and not nxt.value
         else:
             nxt.named = (e.naming and token[:1] == '"' and self.sensitive(core)) or (e.named and not e.value)
             nxt.copula = low in COPULAS and e.strong
@@ -650,7 +696,7 @@ class Scanner:
         if depth > DEPTH:
             return self.verdict(unquoted(token), token, forced, context, quoted_key), None
         if SIGNS.isdisjoint(token):  # a word with no sign that any form below needs
-            if not value and not forced and FIELD.fullmatch(token) and self.sensitive(token):
+            if not value and not forced and self.sensitive(token) and (FIELD.fullmatch(token) or len(token) < 16):
                 return token, (token, False)
             return self.verdict(token, token, forced, context, quoted_key), None
         if m := re.fullmatch(r"(\\[\"'`]|`)(.+?)(\1)", token, re.S):
@@ -673,7 +719,10 @@ class Scanner:
                 scanned = self.line(inner, depth + 1)
                 return (token if scanned == inner else json.dumps(scanned, ensure_ascii=False)), None
         if m := re.fullmatch(r"(b)(['\"])(.*)\2", token, re.S):
-            inner = self.verdict(m[3], m[3], True, context, False) if forced else self.words(m[3], depth + 1)[0]
+            if forced:
+                inner = self.verdict(m[3], m[3], True, context, False)
+            else:
+                inner = self.blob(m[3], context) if escaped_binary(m[3]) else self.words(m[3], depth + 1)[0]
             return m[1] + m[2] + inner + m[2], None
         if quoted and token.count(token[0]) == 2:
             if forced:
@@ -684,7 +733,8 @@ class Scanner:
                 return token[0] + self.url(token[1:-1], depth) + token[0], None
             if SAFE["iso_time"].match(token[1:-1]):
                 return token, None
-            return token[0] + self.words(token[1:-1], depth + 1)[0] + token[0], None
+            inner = self.agent(token[1:-1], depth + 1) if AGENT.match(token, 1) else self.words(token[1:-1], depth + 1)[0]
+            return token[0] + inner + token[0], None
         query = re.match(r"[^=&?]*\?[^=?]*=", token)
         if ("://" in token and not re.match(r"[^\"']*[\"']:", token)) or query:
             if m := re.match(r"([^\"' :/?&=]+)=(['\"].*)", token, re.S):
@@ -717,6 +767,28 @@ class Scanner:
             return token, (token, False)
         return self.verdict(bare, token, forced, context, quoted_key), None
 
+    def agent(self, text: str, depth: int) -> str:
+        """A User-Agent: an address of contact within brackets is published and stays."""
+        out = []
+        for i, part in enumerate(BRACKETS.split(text)):
+            for j, piece in enumerate(CONTACT.split(part) if i % 2 else [part]):
+                out.append(piece if j % 2 and EMAIL.match(piece) else self.words(piece, depth)[0])
+        return "".join(out)
+
+    def identifier(self, name: str) -> bool:
+        """A database identifier of words, such as users.email or idx_user_email, that names no secret."""
+        if self.c.disable_bigram_check or not 3 <= len(name) <= 64 or not IDENTIFIER.fullmatch(name):
+            return False
+        words = re.findall("[A-Za-z]+", name)
+        pairs = [self.letter_pair(a + b) for w in words for a, b in zip(w.lower(), w[1:].lower())]
+        return max(map(len, words)) > 2 and (len(pairs) < 3 or sum(pairs) / len(pairs) > WORDY) and not self.sensitive(name)
+
+    def blob(self, content: str, context: bool) -> str:
+        """Escaped binary data as a whole: its escapes are no words."""
+        if self._matches(self.safe, content) or self.complexity(content) <= (self.c.entropy_threshold - (1.3 if context else 0)) * self.c.confidence_score:
+            return content
+        return self.hide(content, "context" if context else "entropy", "entropy")
+
     def pair(self, token: str, key: str, at: int, sign: str, depth: int) -> tuple[str, tuple[str, bool] | None]:
         """key, sign and value in one token; a key alone waits for what comes."""
         name, value = unquoted(key), token[at:]
