@@ -5,18 +5,17 @@
 2. A hash of the vector deals nodes into shards of about `SHARD` nodes, so a shard's size is bounded
    whatever the table's. Each shard's hierarchical graph is built in one task and written as flat
    arrays: neighbours of the ground layer (nodes x 2M) and of each upper layer (nodes x M), -1 for none.
-   The candidates for a new node's links are found exactly: with a bounded shard that is one
-   vectorised distance row, and cheaper than walking the graph.
+   A new node's candidates are found by walking the graph that there is, many nodes side by side.
 3. Queries are dealt into blocks; each block meets each shard once and walks its graph with `EF` open nodes.
 4. Shard results merge by exact distance (double precision), ties to the smaller id.
 
 Vectors that are null, zero or hold a null or non-finite component take no part, nor do rows with a
-null id. Only vectors of one length compare. Rows equal in id and vector count once.
+null id. Only vectors of one length compare. Rows equal in id and vector count once. Empty tables give an
+empty result; columns other than vec_id and embedding are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
 import math
 
@@ -27,114 +26,151 @@ from pyspark.sql import functions as F
 
 from .shared import materialize, ship
 
-SHARD, BLOCK = 4096, 4096
-LINKS, EF_BUILD, EF = 16, 64, 96
+SHARD, BLOCK = 16_384, 4096
+LINKS, EF_BUILD, EF = 16, 64, 128
+#: Nodes that are inserted, and queries that walk, side by side.
+BATCH = 256
 
 
-def _diverse(vectors: np.ndarray, near: np.ndarray, dist: np.ndarray, most: int) -> np.ndarray:
-    """Of candidates by ascending distance, those nearer to the node than to any already taken;
-    free places go to the nearest of the rest."""
-    if len(near) <= most:
+def _distances(points: np.ndarray, q: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Squared distances of each q to the points of its row of `near`; infinite where that is -1."""
+    gap = points[np.maximum(near, 0)]
+    gap -= q[:, None, :]
+    out = np.einsum("abd,abd->ab", gap, gap)
+    out[near < 0] = np.inf
+    return out
+
+
+def _diverse(points: np.ndarray, near: np.ndarray, dist: np.ndarray, most: int) -> np.ndarray:
+    """Of each row's candidates, by ascending distance, those nearer to the row's node than to any already
+    taken; free places go to the nearest of the rest."""
+    order = np.argsort(dist, 1, kind="stable")
+    near, dist = np.take_along_axis(near, order, 1), np.take_along_axis(dist, order, 1)
+    if near.shape[1] <= most:
         return near
-    own = vectors[near]
-    sq = (own * own).sum(1)
-    between = sq[:, None] + sq[None, :] - 2 * own @ own.T
-    taken: list[int] = []
-    closest = np.full(len(near), np.inf)
-    for i in range(len(near)):
-        if dist[i] < closest[i]:
-            taken.append(i)
-            if len(taken) == most:
-                break
-            np.minimum(closest, between[i], out=closest)
-    if len(taken) < most:
-        rest = np.ones(len(near), bool)
-        rest[taken] = False
-        taken += np.flatnonzero(rest)[: most - len(taken)].tolist()
-    return near[taken]
+    own = points[np.maximum(near, 0)]
+    sq = np.einsum("abd,abd->ab", own, own)
+    between = sq[:, :, None] + sq[:, None, :] - 2 * own @ own.transpose(0, 2, 1)
+    closest, taken, held = np.full(dist.shape, np.inf, np.float32), np.zeros(dist.shape, bool), np.zeros(len(dist), int)
+    for c in range(dist.shape[1]):
+        hit = (near[:, c] >= 0) & (dist[:, c] < closest[:, c]) & (held < most)
+        taken[:, c] = hit
+        held += hit
+        rows = np.flatnonzero(hit)
+        closest[rows] = np.minimum(closest[rows], between[rows, c])
+    rank = np.where(taken, 0, np.where(near >= 0, 1, 2)) * near.shape[1] + np.arange(near.shape[1])
+    return np.take_along_axis(near, np.argsort(rank, 1)[:, :most], 1)
 
 
 class Graph:
-    """layers[l]: (nodes, links) neighbours, -1 for none; node 0.. in insertion order."""
+    """layers[l]: (nodes, links) neighbours, -1 for none; node 0.. in insertion order.
+
+    Nodes are inserted in batches: each node of a batch walks the graph built so far, all side by side, and
+    meets the others of its batch directly. So a node costs a walk, whatever the number of nodes."""
 
     def __init__(self, vectors: np.ndarray, layers: list[np.ndarray], entry: int):
         self.vectors, self.layers, self.entry = vectors, layers, entry
+        self.points = np.asarray(vectors, np.float32)
 
     @staticmethod
     def build(vectors: np.ndarray, links: int = LINKS, ef: int = EF_BUILD, seed: int = 1) -> Graph:
         n = len(vectors)
         level = np.minimum((-np.log(1 - np.random.default_rng(seed).random(n)) / math.log(links)).astype(int), 6)
-        layers = [np.full((n, links * (2 if i == 0 else 1)), -1, np.int32) for i in range(int(level.max(initial=0)) + 1)]
-        entry = 0
-        for i in range(1, n):
-            gap = vectors[:i] - vectors[i]
-            dist = np.einsum("ij,ij->i", gap, gap)
-            for l in range(int(level[i]), -1, -1):
-                pool = np.flatnonzero(level[:i] >= l)
-                if not len(pool):
-                    continue
-                if len(pool) > ef:
-                    pool = pool[np.argpartition(dist[pool], ef)[:ef]]
-                pool = pool[np.argsort(dist[pool], kind="stable")]
-                table, most = layers[l], layers[l].shape[1]
-                chosen = _diverse(vectors, pool, dist[pool], links)
-                table[i, : len(chosen)] = chosen
-                for j in chosen.tolist():
-                    row = table[j]
-                    if row[-1] < 0:
-                        row[int((row >= 0).sum())] = i
-                        continue
-                    near = np.append(row, i)
-                    gap = vectors[near] - vectors[j]
-                    d = np.einsum("ij,ij->i", gap, gap)
-                    order = np.argsort(d, kind="stable")
-                    table[j] = _diverse(vectors, near[order], d[order], most)
-            if level[i] > level[entry]:
-                entry = i
-        return Graph(vectors, layers, entry)
-
-    def search(self, q: np.ndarray, k: int, ef: int = EF) -> list[int]:
-        """About the k nearest nodes."""
-        vectors, ef = self.vectors, max(ef, k)
-        at = self.entry
-        gap = vectors[at] - q
-        best = float(gap @ gap)
-        for table in self.layers[:0:-1]:
-            while True:
-                near = table[at]
-                near = near[near >= 0]
-                if not len(near):
-                    break
-                gap = vectors[near] - q
-                dist = np.einsum("ij,ij->i", gap, gap)
-                i = int(dist.argmin())
-                if dist[i] >= best:
-                    break
-                at, best = int(near[i]), float(dist[i])
-        seen = np.zeros(len(vectors), bool)
-        seen[at] = True
-        todo, held = [(best, at)], [(-best, -at)]
-        ground = self.layers[0]
-        while todo:
-            d, c = heapq.heappop(todo)
-            if d > -held[0][0] and len(held) >= ef:
-                break
-            near = ground[c]
-            near = near[near >= 0]
-            near = near[~seen[near]]
-            if not len(near):
-                continue
-            seen[near] = True
-            gap = vectors[near] - q
-            dist = np.einsum("ij,ij->i", gap, gap)
-            for x, j in zip(dist.tolist(), near.tolist()):
-                if len(held) < ef:
-                    heapq.heappush(held, (-x, -j))
-                    heapq.heappush(todo, (x, j))
-                elif x < -held[0][0]:
-                    heapq.heapreplace(held, (-x, -j))
-                    heapq.heappush(todo, (x, j))
-        return [-j for _, j in sorted(held, reverse=True)[:k]]
+        graph = Graph(vectors, [np.full((n, links * (2 if i == 0 else 1)), -1, np.int32) for i in range(int(level.max(initial=0)) + 1)], 0)
+        done, top = 0, -1
+        while done < n:
+            batch = np.arange(done, min(n, done + min(BATCH, max(32, done))))
+            at = np.full(len(batch), graph.entry, np.int32)
+            for l in range(len(graph.layers) - 1, -1, -1):
+                own = level[batch] >= l
+                found = np.full((len(batch), ef), -1, np.int32)
+                if l <= top:
+                    if not own.all():
+                        at[~own] = graph.walk(graph.points[batch[~own]], at[~own], l, 1)[0][:, 0]
+                    if own.any():
+                        found[own] = graph.walk(graph.points[batch[own]], at[own], l, ef)[0]
+                        at[own] = found[own, 0]
+                if own.any():
+                    graph._link(batch[own], found[own], l, links)
+            done = int(batch[-1]) + 1
+            if level[batch].max() > top:
+                top = int(level[batch].max())
+                graph.entry = int(batch[level[batch].argmax()])
+        return graph
+
+    def _link(self, batch: np.ndarray, found: np.ndarray, l: int, links: int) -> None:
+        """Links of a batch's nodes on a layer, to what they found and to each other, and back."""
+        table, points = self.layers[l], self.points
+        most = table.shape[1]
+        own = points[batch]
+        sq = np.einsum("ab,ab->a", own, own)
+        among = sq[:, None] + sq[None, :] - 2 * own @ own.T
+        np.fill_diagonal(among, np.inf)
+        k = min(len(batch) - 1, links)
+        mates = np.argpartition(among, k, 1)[:, :k] if 0 < k < len(batch) - 1 else np.argsort(among, 1)[:, :k]
+        near = np.concatenate([found, batch[mates].astype(np.int32)], 1)
+        chosen = _diverse(points, near, _distances(points, own, near), links)
+        table[batch, : chosen.shape[1]] = chosen
+        # and back: each chosen node may take the new one in
+        to, new = chosen.ravel(), np.repeat(batch, chosen.shape[1]).astype(np.int32)
+        keep = to >= 0
+        to, new = to[keep], new[keep]
+        keep = ~(table[to] == new[:, None]).any(1)
+        to, new = to[keep], new[keep]
+        if not len(to):
+            return
+        gap = points[to] - points[new]
+        order = np.lexsort((np.einsum("ab,ab->a", gap, gap), to))
+        to, new = to[order], new[order]
+        nodes, first, sizes = np.unique(to, return_index=True, return_counts=True)
+        place = np.arange(len(to)) - np.repeat(first, sizes)
+        some = place < most  # a row holds no more, and the nearest come first
+        wide = np.full((len(nodes), int(place[some].max()) + 1), -1, np.int32)
+        wide[np.repeat(np.arange(len(nodes)), sizes)[some], place[some]] = new[some]
+        for i in range(0, len(nodes), 512):
+            rows = nodes[i : i + 512]
+            near = np.concatenate([table[rows], wide[i : i + 512]], 1)
+            table[rows] = _diverse(points, near, _distances(points, points[rows], near), most)[:, :most]
+
+    def walk(self, q: np.ndarray, at: np.ndarray, l: int, ef: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
+        """For each q the about `ef` nearest nodes of a layer, nearest first, and their squared distances: the
+        nearest open nodes, `wide` at a time, are opened until none of those held is open."""
+        table, points = self.layers[l], self.points
+        rows, wide = np.arange(len(q)), min(wide, ef)
+        held, dist = np.full((len(q), ef), -1, np.int32), np.full((len(q), ef), np.inf, np.float32)
+        held[:, 0], dist[:, 0] = at, _distances(points, q, at[:, None].astype(np.int32))[:, 0]
+        open_ = held >= 0
+        seen = np.zeros((len(q), len(points)), bool)
+        seen[rows, at] = True
+        while True:
+            waiting = np.where(open_, dist, np.inf)
+            go = np.flatnonzero(open_.any(1))
+            if not len(go):
+                return held, dist
+            nearest = np.argpartition(waiting[go], wide - 1, 1)[:, :wide] if wide < ef else np.broadcast_to(np.arange(ef), (len(go), ef))
+            from_ = np.where(np.take_along_axis(open_[go], nearest, 1), np.take_along_axis(held[go], nearest, 1), -1)
+            open_[go[:, None], nearest] = False
+            near = np.where(from_[:, :, None] >= 0, table[np.maximum(from_, 0)], -1).reshape(len(go), -1)
+            near[seen[go[:, None], np.maximum(near, 0)]] = -1
+            near.sort(1)  # the same node may come from two of them
+            near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
+            x, y = np.nonzero(near >= 0)
+            seen[go[x], near[x, y]] = True
+            both_d = np.concatenate([dist[go], _distances(points, q[go], near)], 1)
+            both, fresh = np.concatenate([held[go], near], 1), np.concatenate([open_[go], near >= 0], 1)
+            best = np.argsort(both_d, 1, kind="stable")[:, :ef]
+            dist[go], held[go], open_[go] = (np.take_along_axis(z, best, 1) for z in (both_d, both, fresh))
+
+    def search(self, q: np.ndarray, k: int, ef: int = EF) -> np.ndarray:
+        """About the k nearest nodes of each q, nearest first, -1 for none."""
+        q, out = np.asarray(q, np.float32), []
+        for i in range(0, len(q), BATCH):
+            own = q[i : i + BATCH]
+            at = np.full(len(own), self.entry, np.int32)
+            for l in range(len(self.layers) - 1, 0, -1):
+                at = self.walk(own, at, l, 1)[0][:, 0]
+            out.append(self.walk(own, at, 0, max(ef, k))[0][:, :k])
+        return np.concatenate(out)
 
 
 def usable(df: DataFrame) -> DataFrame:
@@ -190,9 +226,11 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             ends = np.cumsum(np.frombuffer(g["counts"], "<i4"))
             counts = np.diff(ends, prepend=0)
             asks = np.array(block["q"].combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(block.num_rows, -1)
-            for own, q in zip(block["query_id"].to_pylist(), asks):
+            for own, q, nodes in zip(block["query_id"].to_pylist(), asks, graph.search(asks, k + 1).tolist()):
                 found = []
-                for node in graph.search(q, k + 1):
+                for node in nodes:
+                    if node < 0:
+                        break
                     score = math.sqrt(float(((vectors[node] - q) ** 2).sum()))
                     found += [(score, i) for i in ids[ends[node] - counts[node] : ends[node]].tolist() if i != own]
                 out += [(own, i, score) for score, i in sorted(found)[:k]]
