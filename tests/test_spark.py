@@ -112,7 +112,9 @@ def test_oracles_agree(spark):
     con = duckdb.connect()
     for t in os.listdir(LIBRARY_SF):
         con.sql(f"create view {t.removesuffix('.parquet')} as select * from read_parquet('{LIBRARY_SF}/{t}')")
-    for name in ("card_tags", "emails", "bigram_scores", "counter_growth", "alerts", "assemble_lines"):
+    from veilspark.plans import lines, reports
+
+    for name in ("card_tags", "emails", "bigram_scores", "counter_growth", "alerts", "assemble_lines", *reports.QUERIES, *lines.QUERIES):
         df = entry.queries()[name](spark, LIBRARY_SF)
         rel = con.sql(entry.oracle_sql()[name])
         at = [rel.columns.index(c) for c in df.columns]

@@ -755,7 +755,7 @@ class Scanner:
             return self.verdict(token, token, True, context, quoted_key), None
         padded = re.fullmatch(r"[A-Za-z0-9+/_-]+={1,2}", token)
         eq = token.find("=")
-        if eq > 0 and not (padded and (eq >= 16 or forced) and not FIELD.fullmatch(token[:eq])) and token[0] not in "\"'":
+        if eq > 0 and not (padded and (forced or (eq >= 16 and not FIELD.fullmatch(token[:eq])))) and token[0] not in "\"'":
             return self.pair(token, token[:eq], eq + 1, "=", depth)
         colon = token.find("：")
         if colon > 0 and not set(token) & set(":=\"'"):
