@@ -101,6 +101,7 @@ def test_a_star_of_many_rows(spark, monkeypatch):
     edges = [(0, i) for i in range(1, 400)] + [(500 + i, 501 + i) for i in range(0, 60, 2)] + [(1000 + i, 1001 + i) for i in range(40)]
     df = spark.createDataFrame(edges, "a long, b long")
     want = {n: 0 for n in range(400)} | {500 + i + j: 500 + i for i in range(0, 60, 2) for j in (0, 1)} | {1000 + i: 1000 for i in range(41)}
-    for heavy in (3, 50_000):
+    for heavy, easy in ((3, 0), (50_000, 0), (50_000, 2_000_000)):
         monkeypatch.setattr(shared, "HEAVY", heavy)
+        monkeypatch.setattr(shared, "EASY", easy)
         assert {r.node: r.root for r in simhash.components(df).collect()} == want

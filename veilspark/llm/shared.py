@@ -54,15 +54,19 @@ def release(df: DataFrame) -> None:
     hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-#: Most rows of `spread_join`'s broadcast part.
-HEAVY = 50_000
+#: Most rows of `spread_join`'s broadcast part, and rows that may meet in one task without being split.
+HEAVY, EASY = 50_000, 2_000_000
 
 
 def spread_join(rows: DataFrame, small: DataFrame, key: str, value: str, n: str, total: int) -> DataFrame:
     """rows with the `value` that `small` has for `key` (one row a key; n: how many of the `total` rows have it).
 
     Keys with over total / HEAVY rows are at most HEAVY keys, whatever the table, so their values are
-    broadcast; no other key holds more rows than that share, so those are joined by an exchange."""
+    broadcast; no other key holds more rows than that share, so those are joined by an exchange. While all
+    rows together are few, no key needs splitting."""
+    if total <= EASY:
+        given = small.select(F.col(key).alias("__key2"), F.col(value).alias("__value2"))
+        return rows.join(given, F.col(key) == F.col("__key2")).select(*rows.columns, F.col("__value2").alias(value))
     heavy = small.filter(F.col(n) * HEAVY > total).select(F.col(key).alias("__key"), F.col(value).alias("__value"))
     light = small.filter(F.col(n) * HEAVY <= total).select(F.col(key).alias("__key2"), F.col(value).alias("__value2"))
     met = rows.join(F.broadcast(heavy), F.col(key) == F.col("__key"), "left")
