@@ -137,20 +137,26 @@ def merged_strata(proving: DataFrame, need: int) -> DataFrame:
 
 def proposed(proposing: DataFrame, rules: list[str]) -> DataFrame:
     """stratum, level and a cutoff for each rule (null: off)."""
-    good = F.col("__good")
-    counts = proposing.groupBy("stratum").agg(
-        F.count_if(good).alias("n"), F.count_if(~good).alias("bad"), *[F.count_if(good & (F.col(r) > c)).alias(f"{r}|{i}") for r in rules for i, c in enumerate(GRID[r])],
-        *[F.count_if(~good & (F.col(r) > c)).alias(f"{r}|{i}|bad") for r in rules for i, c in enumerate(GRID[r])],
-    ).filter("n > 0")
-    levels = []
-    for level, (laxer, share) in enumerate(LEVELS):
-        cuts = []
-        for r in rules:
-            strictest = F.greatest(*[F.when(F.col(f"`{r}|{i}`") <= F.col("n") * share, i).otherwise(-1) for i in range(len(GRID[r]))])
-            useful = [F.when((F.col("bad") == 0) | (F.col(f"`{r}|{i}|bad`") * F.col("n") > F.col(f"`{r}|{i}`") * F.col("bad")), F.lit(c)) for i, c in enumerate(GRID[r])]
-            cuts.append(F.get(F.array(*useful), strictest - laxer).alias(r))
-        levels.append(F.struct(F.lit(level).alias("level"), *cuts))
-    return counts.select("stratum", F.inline(F.array(*levels)))
+    # a document exceeds the last points of a grid, from lax to strict: the first of them says all
+    def first(rule: str) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, GRID[rule])), lambda c: F.col(rule) <= c))
+
+    each = [F.struct(F.lit(r).alias("rule"), first(r).alias("first")) for r in rules]
+    points = max(map(len, GRID.values()))
+    counted = proposing.select("stratum", "__good", F.inline(F.array(*each))).groupBy("stratum", "rule", "__good", "first").agg(F.count(F.lit(1)).alias("n"))
+    rows = materialize(counted, "firsts").groupBy("stratum", "rule").agg(*[
+        F.array(*[F.coalesce(F.sum(F.when((F.col("__good") == good) & (F.col("first") <= i), F.col("n"))), F.lit(0)) for i in (points, *range(points))]).alias(name) for name, good in (("good", True), ("bad", False))
+    ])
+    # good and bad: how many there are, then how many exceed each point
+    grids = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for r in rules for x in (r, GRID[r])])
+    levels = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.lit(laxer).alias("laxer"), F.lit(float(share)).alias("share")) for i, (laxer, share) in enumerate(LEVELS)]))
+    rows = rows.filter(F.col("good")[0] > 0).withColumn("grid", grids[F.col("rule")]).withColumn("l", levels)
+    fits = F.filter(F.sequence(F.lit(0), F.size("grid") - 1), lambda i: F.get("good", i + 1) <= F.col("good")[0] * F.col("l.share"))
+    at = F.coalesce(F.array_max(fits), F.lit(-1)) - F.col("l.laxer")
+    rows = rows.withColumn("at", at)
+    useful = (F.col("bad")[0] == 0) | (F.get("bad", F.col("at") + 1) * F.col("good")[0] > F.get("good", F.col("at") + 1) * F.col("bad")[0])
+    cut = F.when((F.col("at") >= 0) & useful, F.get("grid", F.col("at")))
+    return rows.groupBy("stratum", F.col("l.level").alias("level")).agg(*[F.max(F.when(F.col("rule") == r, cut)).alias(r) for r in rules])
 
 
 def cutoffs(base: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, need: int = NEED) -> DataFrame:
