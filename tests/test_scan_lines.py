@@ -126,7 +126,9 @@ def test_skipped_rules_are_told():
 KEPT = [
     "Duplicate entry 'x' for key 'users.email'", "ADD KEY idx_order_id (order_id)", "ssh-rsa AAAAB3NzaC1yc2EAAAADAQABAAABAQC0g+ZX bob", '"Bot/1.0 (crawler@parsijoo.ir)" 200', "event Passw0rd! done", "type text/plain;charset=utf-8 x",
 ]
-HIDDEN = [("key 8f9aX2kQ7zB1 x", "8f9aX2kQ7zB1"), ("event FjOxfE55 done", "FjOxfE55"), (r"data b'\x89PNG\r\n\x1a\xff\xfe\xaa\xbb\x8b1Zq9K' ok", r"\x89PNG\r\n\x1a\xff\xfe\xaa\xbb\x8b1Zq9K"), ("mail crawler@parsijoo.ir x", "crawler@parsijoo.ir")]
+HIDDEN = [("key 8f9aX2kQ7zB1 x", "8f9aX2kQ7zB1"), ("event FjOxfE55 done", "FjOxfE55"), (r"data b'\x89PNG\r\n\x1a\xff\xfe\xaa\xbb\x8b1Zq9K' ok", r"\x89PNG\r\n\x1a\xff\xfe\xaa\xbb\x8b1Zq9K"), ("mail crawler@parsijoo.ir x", "crawler@parsijoo.ir"),
+    ("""INSERT INTO t VALUES (1, '{"name": "O'Neil", "password": "hunter22"}', 'x')""", "hunter22"),
+]
 
 
 @pytest.mark.parametrize("line", KEPT)

@@ -80,9 +80,6 @@ def parse_policy(text: str, base: ScanConfig) -> tuple[ScanConfig, str]:
 def canonical(text: str) -> bytes:
     """A policy's fields sorted, without salt, fail policy and revision, numbers as written."""
 
-    class Number(float):
-        pass
-
     def written(x: object) -> str:
         if isinstance(x, dict):
             return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{written(v)}" for k, v in sorted(x.items())) + "}"

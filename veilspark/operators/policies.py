@@ -41,6 +41,22 @@ def appended(base: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
     return base.unionByName(more.join(base.select(*keys), keys, "left_anti"))
 
 
+def publish(publications: DataFrame, requests: DataFrame, key: str, revision: str, order: list[str]) -> DataFrame:
+    """publications (key, seq, revision) with the requests (key, revision, order...) appended in their order,
+    numbered on from each key's last. Publishing an older revision again is a rollback: nothing is taken out."""
+    last = publications.groupBy(F.col(key).alias("__key")).agg(F.max("seq").alias("__last"))
+    numbered = requests.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    added = numbered.join(last, F.col(key) == F.col("__key"), "left").select(key, (F.coalesce("__last", F.lit(0)) + F.col("__n")).alias("seq"), revision)
+    return publications.select(key, "seq", revision).unionByName(added)
+
+
+def in_force(publications: DataFrame, key: str, revision: str) -> DataFrame:
+    """The revision of each key's last publication, and whether an older publication had it before (a rollback)."""
+    w = Window.partitionBy(key)
+    last = publications.withColumn("__last", F.max("seq").over(w)).withColumn("__top", F.max(F.struct("seq", revision)).over(w)[revision])
+    return last.groupBy(key).agg(F.max("seq").alias("seq"), F.max_by(revision, "seq").alias(revision), (F.count_if((F.col(revision) == F.col("__top")) & (F.col("seq") < F.col("__last"))) > 0).alias("rollback"))
+
+
 def line_diff(before: list[str], after: list[str]) -> list[tuple[str, str]]:
     """A longest common subsequence of the lines kept (space), the others added (+) or removed (-); where
     both keep as many, additions come first. Equal ends are set aside, so the table covers the changed part."""

@@ -61,6 +61,7 @@ LOG_PREFIX = re.compile(r"(?:" + "|".join(vocab.LOG_LEVELS) + r"):[A-Za-z_][\w.\
 ASSIGNED = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*=")
 PARTS = re.compile(r"[_.\-/]|(?<=[a-z])(?=[A-Z])")
 PART = re.compile(r"[A-Za-z]?[a-z]{1,19}|[A-Z]{2,12}|[A-Za-z]?[0-9]{1,4}")
+JSON_MARKS = re.compile(r'"(?:\\.|[^"\\])*(?:"|$)|[{}\[\]]', re.S)
 BASE64 = re.compile("[A-Za-z0-9+/=]+")
 #: Mean score of letter pairs above which letters follow each other as in words.
 WORDY = -6.5
@@ -157,6 +158,19 @@ def safe_shape(token: str) -> bool:
     return bool(SAFE["snake_words"].match(token)) and not signature(token)
 
 
+def json_end(s: str, at: int) -> int:
+    """Where the JSON object or array that opens at `at` has ended, or 0 if it doesn't end."""
+    depth = 0
+    for m in JSON_MARKS.finditer(s, at):
+        if m[0] in "{[":
+            depth += 1
+        elif m[0] in "}]":
+            depth -= 1
+            if not depth:
+                return m.end()
+    return 0
+
+
 def escaped_binary(s: str) -> bool:
     r"""Whether a literal's text holds four or more \xNN escapes and is no UTF-8."""
     if s.count("\\x") < 4:
@@ -510,7 +524,7 @@ class Scanner:
             return j >= n or s[j] in SPACES or s[j] in ".:"
 
         last_closing = -2  # found when first asked for
-        last_bracket = s.rfind("]")
+        last_bracket, looked = s.rfind("]"), 0  # looked: characters read ahead for literals, a few times the line's at most
 
         def opens(j: int) -> bool:
             nonlocal last_closing
@@ -531,6 +545,12 @@ class Scanner:
                     quote = ""
                 i += 1
                 continue
+            if c == "'" and s[i + 1 : i + 2] in ("{", "[") and looked <= 4 * n:  # a JSON document as a literal of SQL
+                end = json_end(s, i + 1)
+                looked += (end or n) - i
+                if end and s[end : end + 1] == "'":
+                    i = end + 1
+                    continue
             if c == '"' or (c == "'" and opens(i + 1)):
                 quote = c
                 i += 1
@@ -724,6 +744,8 @@ class Scanner:
             else:
                 inner = self.blob(m[3], context) if escaped_binary(m[3]) else self.words(m[3], depth + 1)[0]
             return m[1] + m[2] + inner + m[2], None
+        if quoted and not forced and token[:2] in ("'{", "'[") and json_end(token, 1) == len(token) - 1:
+            return "'" + self.words(token[1:-1], depth + 1)[0] + "'", None
         if quoted and token.count(token[0]) == 2:
             if forced:
                 return self.verdict(token[1:-1], token, True, context, quoted_key), None

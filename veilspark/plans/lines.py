@@ -122,4 +122,27 @@ FINDINGS_SQL = "SELECT source, label, count(*) AS n, sum(start)::BIGINT AS start
     f"SELECT '{group}' AS source, '{label}' AS label, {line.index('{v}')} AS start, length({VALUES[value].replace('{s}', 'VARCHAR')}) AS len FROM customer" for group, rows in GROUPS.items() for _, line, value, label, _ in rows if label
 ) + ") GROUP BY ALL"
 
-QUERIES = {**{group: (_scanned(group), _sql(group)) for group in GROUPS}, "line_findings": (line_findings, FINDINGS_SQL)}
+def periodic_summary(spark, sf_dir):
+    """Derived lines as a log of a line a second: lines, bytes, changed lines and findings by minute."""
+    from ..streaming.assemble import summary
+
+    rows = _lines(spark, sf_dir, "scan_pairs").select(F.timestamp_seconds(F.col("c_custkey") * 20).alias("at"), "line")
+    return summary(redact.redact(rows, "line", CONFIG, audit=True), "at", "line").withColumn("from", F.unix_timestamp("from"))
+
+
+SUMMARY_SQL = "WITH l AS (" + " UNION ALL ".join(
+    f"SELECT c_custkey * 20 // 60 * 60 AS m, strlen({_text(line.split('{v}')[0])} || {VALUES[value].replace('{s}', 'VARCHAR')} || {_text(line.split('{v}')[1])}) AS b, {int(bool(label))} AS n FROM customer" for _, line, value, label, _ in GROUPS["scan_pairs"]
+) + ") SELECT m AS \"from\", count(*) AS lines, sum(b)::BIGINT AS bytes, count(*) FILTER (WHERE n > 0) AS redacted, sum(n)::BIGINT AS findings, round(100.0 * count(*) FILTER (WHERE n > 0) / count(*), 4)::DOUBLE AS percent FROM l GROUP BY m"
+
+
+def report_windows(spark, sf_dir):
+    """Events as growth samples: reports of five minutes and kind, as the streaming loop makes them."""
+    from ..streaming.assemble import report_stream
+
+    samples = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("at"), "event_type", F.col("event_id").alias("lines"))
+    return report_stream(samples, "at", ["event_type"], ["lines"]).select(F.unix_timestamp("from").alias("from_s"), F.unix_timestamp("to").alias("to_s"), "event_type", "samples", "lines")
+
+
+WINDOWS_SQL = "SELECT (floor(epoch(ts) / 300) * 300)::BIGINT AS from_s, (floor(epoch(ts) / 300) * 300 + 300)::BIGINT AS to_s, event_type, count(*) AS samples, sum(event_id)::BIGINT AS lines FROM events GROUP BY 1, 2, 3"
+
+QUERIES = {"periodic_summary": (periodic_summary, SUMMARY_SQL), "report_windows": (report_windows, WINDOWS_SQL), **{group: (_scanned(group), _sql(group)) for group in GROUPS}, "line_findings": (line_findings, FINDINGS_SQL)}

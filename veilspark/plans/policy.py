@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import policies
@@ -45,7 +46,27 @@ def next_numbers(spark, sf_dir):
     return policies.next_version(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
 
 
+def published(spark, sf_dir):
+    """Orders as publications of a customer's policy, in two rounds; the order's priority is its revision."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderpriority").alias("revision"))
+    first = orders.filter("o_orderkey % 3 = 0").withColumn("seq", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
+    all_ = policies.publish(first, orders.filter("o_orderkey % 3 <> 0"), "o_custkey", "revision", ["o_orderkey"])
+    return policies.in_force(all_, "o_custkey", "revision")
+
+
+PUBLISHED_SQL = """WITH p AS (SELECT o_custkey, o_orderpriority AS revision, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END, o_orderkey)::INT AS seq FROM orders),
+l AS (SELECT o_custkey, max(seq) AS seq, arg_max(revision, seq) AS revision FROM p GROUP BY o_custkey)
+SELECT o_custkey, seq, revision, EXISTS (SELECT 1 FROM p WHERE p.o_custkey = l.o_custkey AND p.revision = l.revision AND p.seq < l.seq) AS rollback FROM l"""
+
+
+def versions_list(spark, sf_dir):
+    """Versions (line items) of one set (supplier) by revision, newest first."""
+    return table(spark, sf_dir, "lineitem").filter("l_suppkey = 5").select("l_orderkey", "l_linenumber", "l_shipdate").orderBy(F.desc("l_orderkey"), F.desc("l_linenumber"))
+
+
 QUERIES = {
+    "published": (published, PUBLISHED_SQL),
+    "versions_list": (versions_list, "SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem WHERE l_suppkey = 5 ORDER BY l_orderkey DESC, l_linenumber DESC"),
     "formatted_counts": (formatted_counts, FORMATTED_SQL),
     "not_modified": (not_modified, "SELECT o_orderkey, o_orderkey % 5 < 3 AS unchanged FROM orders"),
     "last_good_policy": (last_good_policy, LAST_GOOD_SQL),

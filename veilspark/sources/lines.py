@@ -17,3 +17,8 @@ def stream_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def write_lines(df: DataFrame, path: str) -> None:
     df.select("value").write.option("lineSep", "\n").text(path)
+
+
+def write_stream_lines(df: DataFrame, path: str, checkpoint: str):
+    """A stream's lines into files of a folder; the trigger's interval takes the place of a flush timer."""
+    return df.select("value").writeStream.format("text").option("lineSep", "\n").option("path", path).option("checkpointLocation", checkpoint)
