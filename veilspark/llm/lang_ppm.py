@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, ship, strings
+from .shared import materialize, ship
 
 ORDER = 3
 SAMPLE = 600_000
@@ -37,6 +37,8 @@ UNIT = 65_536
 #: Bits of a text's hash by which its place in the sample is narrowed down at a time.
 CUT = 12
 UNKNOWN = "und"
+#: Texts that are Python objects at a time.
+PORTION = 1000
 
 
 def held_out(doc_id: Column | None = None) -> Column:
@@ -178,38 +180,51 @@ def sample(docs: DataFrame, bound: int = SAMPLE) -> dict[str, list[bytes]]:
     return out
 
 
-def predict(docs: DataFrame, *keep: str, bound: int = SAMPLE, order: int = ORDER) -> DataFrame:
-    """keep, held_out, lang_pred and score of each document; keep may name struct columns too."""
+def predictor(docs: DataFrame, bound: int = SAMPLE, order: int = ORDER):
+    """A column function of texts, learned from docs: the struct of lang_pred and score. Texts alone go to
+    the workers; the rows around them stay where they are."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(fit(sample(docs, bound), order))
     letter = regex.compile(r"\p{L}")
-    schema = docs.select(*keep).withColumns({"held_out": F.lit(True), "lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("lang_pred string, score double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         for batch in batches:
-            texts = strings(batch, "__text")
-            names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            ask = [i for i, t in enumerate(texts) if model.languages and t and letter.search(t)]
-            at = 0
-            while at < len(ask):
-                end, held = at, 0
-                while end < len(ask) and (held == 0 or held + len(texts[ask[end]]) < 500_000):
-                    held += len(texts[ask[end]])
-                    end += 1
-                lengths = code_lengths(model, [texts[i].encode() for i in ask[at:end]], order)
-                best = lengths.argmin(1)
-                odds = np.exp2((lengths.min(1)[:, None] - lengths) / UNIT).sum(1)
-                for i, b, o in zip(ask[at:end], best.tolist(), odds.tolist()):
-                    names[i], scores[i] = model.languages[b], 1 / o
-                at = end
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), batch.column("__held"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "held_out", "lang_pred", "score"])
-
-    return docs.select(*keep, F.col("text").alias("__text"), held_out().alias("__held")).mapInArrow(run, schema)
+            names: list[str] = []
+            scores: list[float] = []
+            for start in range(0, len(batch), PORTION):
+                texts = batch.slice(start, PORTION).to_pylist()
+                own_names, own_scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+                ask = [i for i, t in enumerate(texts) if model.languages and t and letter.search(t)]
+                at = 0
+                while at < len(ask):
+                    end, held = at, 0
+                    while end < len(ask) and (held == 0 or held + len(texts[ask[end]]) < 500_000):
+                        held += len(texts[ask[end]])
+                        end += 1
+                    lengths = code_lengths(model, [texts[i].encode() for i in ask[at:end]], order)
+                    best = lengths.argmin(1)
+                    odds = np.exp2((lengths.min(1)[:, None] - lengths) / UNIT).sum(1)
+                    for i, b, o in zip(ask[at:end], best.tolist(), odds.tolist()):
+                        own_names[i], own_scores[i] = model.languages[b], 1 / o
+                    at = end
+                names += own_names
+                scores += own_scores
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
+
+    return run.asNondeterministic()  # so that no predicate on it moves below it and asks the model again
+
+
+def predict(docs: DataFrame, *keep: str, bound: int = SAMPLE, order: int = ORDER) -> DataFrame:
+    """keep, held_out, lang_pred and score of each document; keep may name struct columns too."""
+    found = predictor(docs, bound, order)(F.col("text"))
+    return docs.select(*keep, held_out().alias("held_out"), found.alias("__found")).select(*keep, "held_out", "__found.lang_pred", "__found.score")
 
 
 def admit(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """docs in a language that the model tells with at least this score; all columns stay."""
-    rows = docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("__row"))
-    return predict(rows, "__row").filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("__row.*")
+    rows = docs.select("text", F.struct(*docs.columns).alias("__row"))
+    found = rows.select("__row", predictor(docs)(F.col("text")).alias("__found"))
+    return found.filter((F.col("__found.lang_pred") != UNKNOWN) & (F.col("__found.score") >= least)).select("__row.*")

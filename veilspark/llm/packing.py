@@ -94,8 +94,8 @@ def boundaries(histogram: dict[int, int], buckets: int = BUCKETS) -> list[int]:
 def pack(docs: DataFrame, tokenizer: str, context: int = CONTEXT, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """doc_id, text_hash, piece, n_tokens, bucket (its boundary), batch and slot (from 0 within bucket
     and batch), padding and ids of each piece, in files where a batch's pieces follow each other."""
-    written = materialize(pieces(docs, tokenizer, context), "pieces", compression="zstd")  # dealing by range reads its input twice; texts are encoded once
-    rows = ordered_rows(written, ["n_tokens", "doc_id", "piece", "text_hash"], "packing", compression="zstd")
+    written = materialize(pieces(docs, tokenizer, context), "pieces")  # dealing by range reads its input twice; texts are encoded once
+    rows = ordered_rows(written, ["n_tokens", "doc_id", "piece", "text_hash"], "packing")
     histogram = {r["n_tokens"]: r["n"] for r in rows.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most context + 1 rows
     bounds = boundaries(histogram, buckets)
     bucket = F.lit(bounds[-1] if bounds else 0)

@@ -38,11 +38,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+#: How shared tables are written: small row groups and a codec without buffers of its own keep writers small.
+FORMAT = {"compression": "zstd", "parquet.block.size": str(32 << 20)}
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and any lost
     executor's work can be read again instead of being computed again."""
     path = new_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
+    df.write.options(**FORMAT).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
