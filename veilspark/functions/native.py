@@ -141,6 +141,14 @@ SAFE_SHAPES = {
     "decimal": r"^[+-]?[0-9]+\.[0-9]+([eE][+-]?[0-9]+)?$",
     "snake_words": r"^[a-z]+(_[a-z]+)+$",
     "url": r"://",
+    "ipv6": r"^[0-9a-fA-F]{0,4}:[0-9a-fA-F]{0,4}:[0-9a-fA-F:]{0,32}(%\w+)?(/[0-9]{1,3})?$",
+    "hash_range": r"^[0-9a-f]{7,40}\.{2,3}[0-9a-f]{7,40}$",
+    "file_name": r"^[A-Za-z0-9_.-]{1,64}\.[a-z][a-z0-9]{1,4}(:[0-9]+)?$",
+    "user_hex": r"^user_[0-9a-f]+$",
+    "ssh_key": r"^ssh-",
+    "product": r"^[A-Z][a-z]+[A-Za-z]*/[0-9]+(\.[0-9]+)*$",
+    "log_date": r"^[0-9]{1,2}/[A-Z][a-z]{2}/[0-9]{4}(:[0-9]{2}){0,3}$",
+    "path": r"^([A-Za-z]:)?[\\/]([^\\/]{0,31}[\\/])*[^\\/]{0,31}$|^(\.{1,2}|~)/([^/]{0,31}/)*[^/]{0,31}$",
 }
 
 

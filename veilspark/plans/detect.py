@@ -109,8 +109,12 @@ def emails(spark, sf_dir):
     return docs.select("doc_id", F.explode(F.filter(found, lambda x: native.is_email(F.regexp_replace(x, r"\.+$", "")))).alias("x")).select("doc_id", native.hmac_tag(F.regexp_replace("x", r"\.+$", ""), SALT).alias("tag"))
 
 
-EMAILS_SQL = rf"""WITH runs AS (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text, '[A-Za-z0-9._%+@-]+')), '\.+$', '') AS x FROM documents)
-SELECT doc_id, {tag_sql('x')} AS tag FROM runs WHERE regexp_matches(x, '{vocab.EMAIL.replace('(?:', '(')}')"""
+#: By the address's parts: one @, a local part of 1 to 64 without a dot at its ends, labels of 1 to 63 without
+#: a dash at their ends, two of them at least, the last of letters alone.
+EMAILS_SQL = rf"""WITH runs AS (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text, '[A-Za-z0-9._%+@-]+')), '\.+$', '') AS x FROM documents),
+p AS (SELECT *, string_split(x, '@') AS halves FROM runs WHERE contains(x, '@')), q AS (SELECT *, halves[1] AS name, string_split(halves[2], '.') AS labels FROM p WHERE len(halves) = 2)
+SELECT doc_id, {tag_sql('x')} AS tag FROM q WHERE length(name) BETWEEN 1 AND 64 AND NOT starts_with(name, '.') AND NOT ends_with(name, '.') AND len(labels) > 1 AND length(labels[-1]) > 1 AND regexp_full_match(labels[-1], '[A-Za-z]+')
+AND len(list_filter(labels, lambda l: NOT (length(l) BETWEEN 1 AND 63 AND regexp_full_match(l, '[A-Za-z0-9-]+') AND NOT starts_with(l, '-') AND NOT ends_with(l, '-')))) = 0"""
 #: The one form in which the test documents write numbers; the query looks for every form.
 PHONE = r"\+[1-9][0-9]{0,2} \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
 
@@ -148,6 +152,9 @@ TOKENS = {
     "telegram": "CAST(100000 + c_custkey AS {s}) || ':A' || substr(md5(c_name), 1, 32) || 'zz'", "uuid": "substr(md5(c_name), 1, 8) || '-' || substr(md5(c_name), 9, 4) || '-' || substr(md5(c_name), 13, 4) || '-' || substr(md5(c_name), 17, 4) || '-' || substr(md5(c_name), 21, 12)",
     "hash": "md5(c_name) || substr(md5(c_name), 1, 8)", "object": "substr(md5(c_name), 1, 24)", "unix": "CAST(1700000000 + c_custkey AS {s})", "iso": "'2026-01-30T00:00:00.' || CAST(c_custkey AS {s}) || 'Z'", "decimal": "'-' || CAST(c_custkey AS {s}) || '.25e-7'",
     "snake": "'request_' || 'token_value'", "url": "'https://x.example/' || md5(c_name)", "plain": "md5(c_name)",
+    "address": "substr(md5(c_name), 1, 4) || ':' || substr(md5(c_name), 5, 4) || '::' || substr(md5(c_name), 9, 4) || '/64'", "range": "substr(md5(c_name), 1, 8) || '..' || substr(md5(c_name), 9, 8)", "file": "'report-' || CAST(c_custkey AS {s}) || '.json'",
+    "user": "'user_0' || substr(md5(c_name), 1, 6)", "ssh": "'ssh-' || md5(c_name)", "agent": "'Mozilla/' || CAST(c_custkey AS {s}) || '.0'", "day": "'12/Oct/2026:13:5' || CAST(c_custkey % 10 AS {s}) || ':36'",
+    "unix_path": "'/var/log/' || substr(md5(c_name), 1, 9) || '/x'", "win_path": "'C:/data/' || substr(md5(c_name), 1, 9)", "rel_path": "'../src/' || substr(md5(c_name), 1, 9)",
 }
 
 
@@ -163,7 +170,13 @@ def issuer_signatures(spark, sf_dir):
     return _tokens(spark, sf_dir).withColumn("label", native.signature(F.col("token"))).filter("label is not null").groupBy("kind", "label").agg(F.count(F.lit(1)).alias("n"), F.min("token").alias("first_token"))
 
 
-SIGNATURES_SQL = f"WITH {TOKENS_SQL}, l AS (SELECT *, CASE " + " ".join(f"WHEN regexp_matches(token, '{p}') THEN '{n}'" for n, p in vocab.SIGNATURES) + " END AS label FROM tokens WHERE strlen(token) >= 20) SELECT kind, label, count(*) AS n, min(token) AS first_token FROM l WHERE label IS NOT NULL GROUP BY kind, label"
+#: Which derived tokens have an issuer's form, and which static shapes each kind has: all of its rows, or none.
+ISSUED = {"aws": "aws-key", "gcp": "gcp-key", "github": "github-token", "slack": "slack-token", "stripe": "stripe-key", "jwt": "jwt", "telegram": "telegram-bot-token"}
+SHAPED = {
+    "uuid": {"uuid"}, "hash": {"git_hash"}, "object": {"object_id"}, "unix": {"unix_time"}, "iso": {"iso_prefix", "iso_time"}, "decimal": {"decimal"}, "snake": {"snake_words"}, "url": {"url"}, "address": {"ipv6"}, "range": {"hash_range"},
+    "file": {"file_name"}, "user": {"user_hex"}, "ssh": {"ssh_key"}, "agent": {"product"}, "day": {"log_date"}, "unix_path": {"path"}, "win_path": {"path"}, "rel_path": {"path"},
+}
+SIGNATURES_SQL = f"WITH {TOKENS_SQL} SELECT kind, CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ISSUED.items()) + f" END AS label, count(*) AS n, min(token) AS first_token FROM tokens WHERE kind IN ({', '.join(map(repr, ISSUED))}) GROUP BY kind"
 
 
 def static_safe(spark, sf_dir):
@@ -171,7 +184,7 @@ def static_safe(spark, sf_dir):
     return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("token").rlike(p)).alias(k) for k, p in native.SAFE_SHAPES.items()])
 
 
-STATIC_SQL = f"WITH {TOKENS_SQL} SELECT kind, count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE regexp_matches(token, '{p}')) AS {k}" for k, p in native.SAFE_SHAPES.items()) + " FROM tokens GROUP BY kind"
+STATIC_SQL = f"WITH {TOKENS_SQL} SELECT kind, count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE kind IN ({', '.join(repr(kind) for kind, shapes in SHAPED.items() if k in shapes)})) AS {k}" for k in native.SAFE_SHAPES) + " FROM tokens GROUP BY kind"
 
 
 def url_parameters(spark, sf_dir):
