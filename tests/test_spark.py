@@ -120,3 +120,49 @@ def test_oracles_agree(spark):
         at = [rel.columns.index(c) for c in df.columns]
         plain = lambda v: round(float(v), 6) if isinstance(v, float) else v
         assert sorted([tuple(map(plain, r)) for r in df.collect()], key=str) == sorted([tuple(plain(r[i]) for i in at) for r in rel.fetchall()], key=str), name
+
+
+def test_scanner_queries_are_the_scanner(spark):
+    """The queries that no SQL expresses, against the scanner called row by row."""
+    import collections
+    import hashlib
+
+    import pyarrow.parquet as pq
+
+    from veilspark.plans import kernel
+
+    scanner = Scanner(kernel.CONFIG)
+    want = collections.Counter()
+    for r in pq.read_table(f"{LIBRARY_SF}/documents.parquet").to_pylist():
+        want.update((r["lang"], r["source"], f.strategy, f.label) for f in scanner.scan(r["text"] or "")[1])
+    assert {(r.lang, r.source, r.strategy, r.label): r.n for r in kernel.scan_documents(spark, LIBRARY_SF).collect()} == want
+    got = {(r.conv_id, r.turn): (r.text_md5, r.would_redact, r.error) for r in kernel.redact_conversations(spark, LIBRARY_SF).collect()}
+    for r in pq.read_table(f"{LIBRARY_SF}/conversations.parquet").to_pylist():
+        out, found, error = scanner.scan(r["text"]) if r["text"] is not None else (None, [], None)
+        assert got[r["conv_id"], r["turn"]] == (None if out is None else hashlib.md5(out.encode()).hexdigest(), bool(found), error)
+    draft = Scanner(ScanConfig(salt=kernel.CONFIG.salt, entropy_threshold=3.0))
+    urls = {r["page_id"]: r["url"] for r in pq.read_table(f"{LIBRARY_SF}/pages.parquet").to_pylist()}
+    for r in kernel.preview_rules(spark, LIBRARY_SF).collect():
+        assert (r.published, r.draft) == (scanner.scan(urls[r.page_id])[0], draft.scan(urls[r.page_id])[0]) and r.changed == (r.published != r.draft)
+
+
+def test_spans_in_sql(spark):
+    redact.register(spark, CONFIG)
+    got = spark.sql("select f.* from values ('password=hunter22\\nmail a@example.com'), (null) t(x), lateral redaction_spans(x) f").collect()
+    assert [(r.label, r.line, r.start, r.length) for r in got] == [("key", 1, 9, 8), ("email", 2, 5, 13)]
+    df = spark.createDataFrame([(1, "x\npassword=hunter22")], "id int, text string")
+    assert [tuple(r) for r in redact.spans(redact.redact(df, "text", CONFIG), "id").collect()] == [(1, "key", "key", 2, 9, 8)]
+    assert redact.spans(redact.redact(df.limit(0), "text", CONFIG), "id").count() == 0
+
+
+def test_summary_of_a_stream(spark, tmp_path):
+    from veilspark.streaming.assemble import summary
+
+    rows = [(f"2026-01-01 00:0{m}:{s:02d}", line) for m in range(4) for s, line in ((1, "password=hunter22"), (30, "plain"))]
+    for i, r in enumerate(rows):
+        spark.createDataFrame([r], "at string, line string").coalesce(1).write.parquet(str(tmp_path / "in" / f"{i:02d}"))
+    stream = spark.readStream.schema("at string, line string").option("maxFilesPerTrigger", 2).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in")).withColumn("at", F.to_timestamp("at"))
+    seen = []
+    q = summary(redact.redact(stream, "line", CONFIG, audit=True), "at", "line").writeStream.outputMode("append").foreachBatch(lambda df, n: seen.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted((r["from"].minute, r.lines, r.redacted, r.findings, r.percent) for r in seen)[:2] == [(0, 2, 1, 1, 50.0), (1, 2, 1, 1, 50.0)]

@@ -64,7 +64,19 @@ def versions_list(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").filter("l_suppkey = 5").select("l_orderkey", "l_linenumber", "l_shipdate").orderBy(F.desc("l_orderkey"), F.desc("l_linenumber"))
 
 
+def policy_diff(spark, sf_dir):
+    """Two versions of a policy for each supplier, and the lines that were kept, added and removed."""
+    k = F.col("s_suppkey").cast("string")
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("keys:\nold-"), k, F.lit("\nsame\ngone\nend-"), k).alias("before"), F.concat(F.lit("keys:\nnew-"), k, F.lit("\nsame\nend-"), k, F.lit("\nlast")).alias("after"))
+    spark.udtf.register("diff_lines", policies.DiffLines)
+    rows.createOrReplaceTempView("policy_versions")
+    return spark.sql("SELECT s_suppkey, d.op, d.line FROM policy_versions, LATERAL diff_lines(before, after) d")
+
+
+DIFF_SQL = " UNION ALL ".join(f"SELECT s_suppkey, '{op}' AS op, {line} AS line FROM supplier" for op, line in [(" ", "'keys:'"), ("+", "'new-' || s_suppkey"), ("-", "'old-' || s_suppkey"), (" ", "'same'"), ("-", "'gone'"), (" ", "'end-' || s_suppkey"), ("+", "'last'")])
+
 QUERIES = {
+    "policy_diff": (policy_diff, DIFF_SQL),
     "published": (published, PUBLISHED_SQL),
     "versions_list": (versions_list, "SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem WHERE l_suppkey = 5 ORDER BY l_orderkey DESC, l_linenumber DESC"),
     "formatted_counts": (formatted_counts, FORMATTED_SQL),
