@@ -7,8 +7,9 @@ order lower, down to equal shares of all 256 bytes. Statistics are frozen, so a
 length is a sum of fixed costs. They are kept in units of 2^-16 bits as integers: sums don't depend
 on batches, order or machine.
 
-To score whole texts in numpy, the languages' trees are merged into one table of contexts walked
-from the latest byte back, and each (context, byte) has one row of costs, one for each language.
+To score whole texts in numpy, the languages' trees are merged: a table of contexts, and a row of costs,
+one for each language, for each byte that was seen after a context. A byte that no language has seen
+there pays each language's escape and is looked up after the next shorter context.
 
 Fitting uses a bounded sample of whole labelled texts: at most `SAMPLE` bytes for each language,
 distinct ones, of smallest hash first, until the bound is filled. Null text or no letter: `und`, score 0. Null ids hash as the empty
@@ -29,7 +30,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, ship
+from .shared import IntTable, materialize, ship
 
 ORDER = 3
 SAMPLE = 600_000
@@ -48,15 +49,22 @@ def held_out(doc_id: Column | None = None) -> Column:
 
 @dataclass
 class Model:
+    """The merged trees, with a row for each context that some language knows and each byte after it that
+    some language has seen: nothing grows with contexts times bytes."""
+
     languages: list[str]
     classes: np.ndarray  # 256: each byte's class; 0 for bytes never seen in training
-    child: np.ndarray  # (2 * contexts, classes): one byte further back; rows above `contexts` stay
-    cost: np.ndarray  # (contexts * classes, languages): int32
-    contexts: int
+    size: int  # classes, 0 included
+    contexts: list[IntTable]  # for each order from 1: the classes of its contexts, the latest lowest
+    starts: np.ndarray  # number of the first context of each order
+    parent: np.ndarray  # each context without its oldest byte
+    escape: np.ndarray  # (contexts, languages): bits to go one order lower
+    grams: IntTable  # context * size + class of the byte
+    cost: np.ndarray  # (grams, languages): bits
 
 
 def fit(samples: dict[str, list[bytes]], order: int = ORDER) -> Model:
-    """The frozen trees of each language, merged. Keys hold up to `order` + 1 bytes, the latest lowest."""
+    """The frozen trees of each language, merged. Keys hold up to `order` + 1 classes, the latest lowest."""
     languages = sorted(samples)
     seen = np.zeros(256, bool)
     data = {}
@@ -67,62 +75,72 @@ def fit(samples: dict[str, list[bytes]], order: int = ORDER) -> Model:
     classes = np.zeros(256, np.int64)
     classes[seen] = np.arange(1, seen.sum() + 1)
     size = int(seen.sum()) + 1
-    # per language and order d: the counts of (d bytes of context, byte), as sorted keys
-    grams: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
-    known: list[np.ndarray] = []
+    known, parents, escapes, keys, costs, starts = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [], [], [], [0]
+    below_keys, below = np.empty(0, np.int64), np.empty((0, len(languages)))
     for d in range(order + 1):
+        # counts of (d bytes of context, byte) for each language, as sorted keys
+        grams = []
         for name in languages:
             c = classes[data[name]]
             key, fine = c[d:].copy(), c[d:] > 0
             for back in range(1, d + 1):
                 key += c[d - back : len(c) - back] * size**back
                 fine &= c[d - back : len(c) - back] > 0
-            grams[name, d] = np.unique(key[fine], return_counts=True)
-        known.append(np.unique(np.concatenate([grams[name, d][0] // size for name in languages])) if languages else np.empty(0, np.int64))
-    starts = np.concatenate([[0], np.cumsum([len(k) for k in known])])
-    contexts = max(1, int(starts[-1]))
-    child = np.repeat(np.arange(2 * contexts)[:, None], size, 1)
-    child[:contexts] += contexts  # no longer context: stay
-    for d in range(1, order + 1):
-        if len(known[d]):
-            # a context of order d without its oldest byte is one of order d - 1
-            oldest, shorter = known[d] // size ** (d - 1), known[d] % size ** (d - 1)
-            parent = starts[d - 1] + np.searchsorted(known[d - 1], shorter)
-            child[parent, oldest] = starts[d] + np.arange(len(known[d]))
-    cost = np.empty((contexts, size, len(languages)))
-    for j, name in enumerate(languages):
-        below = np.full((1, size), 8.0)
-        for d in range(order + 1):
-            if not len(known[d]):
-                continue
-            base = below[np.zeros(len(known[d]), int)] if d == 0 else below[np.searchsorted(known[d - 1], known[d] % size ** (d - 1))]
-            own = base.copy()
-            keys, counts = grams[name, d]
-            row, symbol = np.searchsorted(known[d], keys // size), keys % size
-            total = np.bincount(row, counts, len(known[d]))
-            distinct = np.bincount(row, minlength=len(known[d]))
+            grams.append(np.unique(key[fine], return_counts=True))
+        every = np.unique(np.concatenate([np.empty(0, np.int64), *(k for k, _ in grams)]))
+        if d:
+            known.append(np.unique(every // size))
+            parents.append(starts[d - 1] + np.searchsorted(known[d - 1], known[d] % size ** (d - 1)))
+        context = np.searchsorted(known[d], every // size)
+        # a gram of this order occurs in the next lower one too
+        lower = below[np.searchsorted(below_keys, every % size**d)] if d else np.full((len(every), len(languages)), 8.0)
+        bits, escape = np.empty((len(every), len(languages))), np.zeros((len(known[d]), len(languages)))
+        for j, (own, counts) in enumerate(grams):
+            at = np.searchsorted(every, own)
+            total = np.bincount(context[at], counts, len(known[d]))
+            distinct = np.bincount(context[at], minlength=len(known[d]))
             has = total > 0
-            own[has] += np.log2((total[has] + distinct[has]) / distinct[has])[:, None]
-            own[row, symbol] = np.log2((total[row] + distinct[row]) / counts)
-            cost[starts[d] : starts[d + 1], :, j] = own
-            below = own
-    return Model(languages, classes, child.astype(np.int32).ravel(), np.rint(cost * UNIT).astype(np.int32).reshape(contexts * size, len(languages)), contexts)
+            escape[has, j] = np.log2((total[has] + distinct[has]) / distinct[has])
+            bits[:, j] = escape[context, j] + lower[:, j]
+            bits[at, j] = np.log2((total + distinct)[context[at]] / counts)
+        escapes.append(escape)
+        keys.append((starts[d] + context) * size + every % size)
+        costs.append(bits)
+        below_keys, below = every, bits
+        starts.append(starts[d] + len(known[d]))
+    whole = lambda x: np.rint(np.concatenate(x) * UNIT).astype(np.int32)
+    return Model(languages, classes, size, [IntTable(k) for k in known[1:]], np.array(starts), np.concatenate(parents), whole(escapes), IntTable(np.concatenate(keys)), whole(costs))
 
 
 def code_lengths(model: Model, texts: list[bytes], order: int = ORDER) -> np.ndarray:
     """(texts, languages): exact code lengths in 2^-16 bits, as int64."""
-    size = len(model.cost) // model.contexts
     pad = b"\xff" * order
     joined = model.classes[np.frombuffer(pad + pad.join(texts) + b"\xff", np.uint8)]
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    state = np.zeros(len(joined) - order - 1, np.int32)  # of the byte at `order` and each after it, but the last pad
+    n = len(joined) - order - 1  # of the byte at `order` and each after it, but the last pad
+    # the longest context known before each byte
+    context, key, go = np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n)
     for back in range(1, order + 1):
-        state = model.child[state * np.int32(size) + joined[order - back : len(joined) - 1 - back]]
-    state %= model.contexts
-    sums = model.cost[state.astype(np.int64) * size + joined[order:-1]]
+        before = joined[order - back : order - back + n]
+        key += before * model.size ** (back - 1)
+        go = go[before[go] > 0]
+        place = model.contexts[back - 1].find(key[go])
+        go, place = go[place >= 0], place[place >= 0]
+        context[go] = model.starts[back] + place
+    bits, symbol, go = np.zeros((n, len(model.languages)), np.int32), joined[order : order + n], np.arange(n)
+    while len(go):
+        row = model.grams.find(context[go] * model.size + symbol[go])
+        hit = row >= 0
+        bits[go[hit]] += model.cost[row[hit]]
+        go = go[~hit]
+        bits[go] += model.escape[context[go]]
+        last = context[go] == 0
+        bits[go[last]] += 8 * UNIT
+        go = go[~last]
+        context[go] = model.parent[context[go]]
     starts = np.cumsum(lengths + order) - (lengths + order)
     bounds = np.ravel(np.stack([starts, starts + lengths], 1))
-    upto = np.concatenate([np.zeros((1, sums.shape[1]), np.int64), np.cumsum(sums, 0, dtype=np.int64)])
+    upto = np.concatenate([np.zeros((1, bits.shape[1]), np.int64), np.cumsum(bits, 0, dtype=np.int64)])
     return upto[bounds[1::2]] - upto[bounds[::2]]
 
 

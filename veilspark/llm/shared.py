@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,3 +118,36 @@ def portions(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa
 
 def strings(batch: pa.RecordBatch, name: str) -> list[str]:
     return batch.column(name).to_pylist()
+
+
+class IntTable:
+    """Distinct whole numbers from 0 on, and the place of each: an open-addressing table, so that a lookup
+    of many is a few gathers."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, (3 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.places = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        left, at = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self.keys[at] < 0
+            self.keys[at[free]], self.places[at[free]] = keys[left[free]], left[free]  # the last of a slot's keys takes it
+            stays = self.keys[at] != keys[left]
+            left, at = left[stays], (at[stays] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 for those that aren't there."""
+        at = self._slot(keys)
+        held = self.keys[at]
+        out = np.where(held == keys, self.places[at], -1)
+        left = np.flatnonzero((held != keys) & (held >= 0))
+        while len(left):
+            at_left = at[left] = (at[left] + 1) & self.mask
+            held = self.keys[at_left]
+            hit = held == keys[left]
+            out[left[hit]] = self.places[at_left[hit]]
+            left = left[~hit & (held >= 0)]
+        return out
