@@ -40,6 +40,9 @@ VALUES = {
 }
 CONFIG = ScanConfig(salt=SALT, custom_regexes=(Rule(r"TX-\d{5}", "TX"),), safe_regexes=(Rule(r"^safe_.*"),))
 
+#: Tasks a core that a table's lines are dealt over.
+TASKS = 4
+
 #: Groups of templates: (name, line, value, label, strategy); no label: the line stays.
 GROUPS = {
     "scan_pairs": [
@@ -78,10 +81,13 @@ GROUPS = {
 
 
 def _lines(spark, sf_dir, group: str):
+    """Lines of each template, dealt evenly over tasks: the scanner takes far longer than the few bytes that a
+    customer is read from, so the parts that a table is read in are too few."""
     each = F.array(*[
         F.struct(F.lit(name).alias("template"), F.replace(F.lit(line), F.lit("{v}"), F.expr(VALUES[value].replace("{s}", "STRING"))).alias("line")) for name, line, value, _, _ in GROUPS[group]
     ])
-    return table(spark, sf_dir, "customer").select("c_custkey", F.inline(each))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name").repartition(TASKS * spark.sparkContext.defaultParallelism)
+    return rows.select("c_custkey", F.inline(each))
 
 
 def _scanned(group: str):
