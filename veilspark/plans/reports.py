@@ -248,10 +248,11 @@ PHONES_SQL = "WITH p AS (SELECT c_custkey, c_custkey * 37 % 1000 >= 200 AND c_cu
 
 
 def births(spark, sf_dir):
-    """Dates under keys of birth and others: which are hidden."""
-    day = F.date_add(F.lit("1950-01-01").cast("date"), (F.col("c_custkey") * 17).cast("int"))
+    """Dates under keys of birth and others: which are hidden. The days go round within years of birth, 1950 to 2097."""
+    day = F.date_add(F.lit("1950-01-01").cast("date"), F.pmod(F.col("c_custkey") * 17, F.lit(54_000)).cast("int"))
     pairs = F.array(*[F.struct(F.lit(key).alias("key"), F.date_format(day, form).alias("value")) for key, form in BIRTHS])
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.inline(pairs)).withColumn("kind", native.key_kind(native.key_words(F.col("key"))))
+    people = table(spark, sf_dir, "customer").select("c_custkey").repartition(4 * spark.sparkContext.defaultParallelism)  # the table is read in too few parts
+    rows = people.select("c_custkey", F.inline(pairs)).withColumn("kind", native.key_kind(native.key_words(F.col("key"))))
     return rows.select("c_custkey", "key", native.keyed_value(F.col("kind"), F.col("value")).alias("hidden"))
 
 
