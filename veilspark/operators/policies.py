@@ -11,10 +11,10 @@ def thousands(n: Column) -> Column:
     return F.format_number(n, 0)
 
 
-def human_bytes(n: Column) -> Column:
-    """Bytes with a unit of 1024s and one decimal; below 1024, whole bytes."""
+def human_bytes(n: Column, units: str = "KMGTPE") -> Column:
+    """Bytes with a unit of 1024s (the last of `units` at most) and one decimal; below 1024, whole bytes."""
     out = F.concat(n.cast("string"), F.lit(" B"))
-    for i, unit in enumerate("KMGTPE", 1):
+    for i, unit in enumerate(units, 1):
         out = F.when(n >= 1024**i, F.concat(F.format_string("%.1f", F.bround(n / float(1024**i), 1)), F.lit(f" {unit}B"))).otherwise(out)
     return out
 
