@@ -165,7 +165,7 @@ def diff_header(line: Column) -> Column:
 
 #: Written numbers, as patterns for Java: cards with at most one blank or dash between digits, numbers of
 #: the North American plan, and international ones.
-WRITTEN_CARD = r"(?<![0-9A-Za-z])(?<![0-9][ -])(?<!\.)[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])(?![ -][0-9])(?!\.[0-9])"
+WRITTEN_CARD = r"(?<![0-9A-Za-z])(?<![0-9][ -])(?<!\p{L}-)(?<!\.)[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])(?![ -][0-9])(?!\.[0-9])(?![-.]\p{L})"
 NANP = r"(?<![0-9A-Za-z(/.=+-])(?:\([2-9][0-9]{2}\) ?[2-9][0-9]{2}[-. ]|[2-9][0-9]{2}-[2-9][0-9]{2}-|[2-9][0-9]{2}\.[2-9][0-9]{2}\.)[0-9]{4}(?![0-9A-Za-z-])"
 INTERNATIONAL = r"(?<![0-9A-Za-z=/+])\+[1-9][0-9]{0,2}(?:[ -](?=[0-9(]))?(?:\([0-9]{1,4}\)[ -]?)?[0-9]{1,8}(?:[ -][0-9]{1,8}){0,5}(?![0-9A-Za-z])"
 
@@ -183,6 +183,15 @@ def written_phones(text: Column) -> Column:
     return F.concat(abroad, F.regexp_extract_all(text, F.lit(NANP), F.lit(0)))
 
 
+#: International numbers in their most exact form, as Java and RE2 read it.
+BRACKETED = r"\+[1-9][0-9]{0,2} \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
+
+
+def bracketed_phones(text: Column) -> Column:
+    """International numbers with the area in brackets, each without what follows it."""
+    return F.regexp_extract_all(text, F.lit(BRACKETED), F.lit(0))
+
+
 def adaptive_threshold(scores, order: list[str], score: str, least: float, samples: int = 100):
     """One row: the mean of the first `samples` scores in a stated order, plus two standard deviations of
     the population; `least` while there are fewer. A batch's deterministic form of a running baseline."""
