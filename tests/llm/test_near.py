@@ -60,3 +60,15 @@ def test_rows_of_one_text(spark):
     rows = [(None, "a b c d"), (None, "a b c d"), (3, "x y z w"), (2, "x y z w"), (2, "x y z w"), (9, None)]
     got = near.admit(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(None, "a b c d"), (2, "x y z w"), (9, None)]))
+
+
+def test_candidates_of_fingerprints_are_whole(spark, monkeypatch):
+    """Operator 4's candidates alone, with no bucket shared, link what is near to it, and are confirmed by similarity."""
+    rnd = random.Random(7)
+    base = ["w%d" % rnd.randrange(10**5) for _ in range(900)]
+    rows = [(i, " ".join([*base, *["tail"] * (i % 2), "x%d" % (i // 2)])) for i in range(6)] + [(9, "other words that stand alone here"), (10, None), (11, ""), (12, "a b"), (13, "b a")]
+    monkeypatch.setattr(near, "linked", lambda rows, nodes, _linked=near.linked: _linked(rows, nodes.withColumn("buckets", near.F.transform("buckets", lambda x: near.F.xxhash64(x, "node")))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(str((r.doc_id, r.text)) for r in near.admit(docs).collect())
+    assert got == brute(rows)
+    assert near.fingerprint_pairs(spark.createDataFrame([(1, [5], 0), (2, [6], 0), (3, [7], 3), (4, [8], 255), (5, [], 0)], "node long, buckets array<long>, fp long")).orderBy("a", "b").collect() == [(1, 2), (1, 3)]

@@ -1,13 +1,16 @@
 """Near duplicates of the pipeline: texts with 0.8 or more of their five-word shingles in common.
 
-1. Texts with the same set of shingles are one node (`signatures`); a node has `BANDS` band hashes
-   of `ROWS` minima of its set each, and those that share a band hash meet in a bucket.
-2. In each bucket some nodes, those with most company in all their buckets first, meet all others that
+1. Texts with the same set of shingles are one node (`signatures`); a node has operator 4's fingerprint
+   over these shingles, and `BANDS` band hashes of `ROWS` minima of its set.
+2. Nodes whose fingerprints operator 4 links (`simhash.links`) are candidates (`fingerprint_pairs`). Most
+   pairs of similarity 0.8 differ in more bits than its radius, so those that share a band hash meet in a
+   bucket besides. Every candidate, of either kind, is confirmed by the exact Jaccard similarity of the sets.
+3. In each bucket some nodes, those with most company in all their buckets first, meet all others that
    aren't in their component yet: by size and a sketch of minima, and where these allow for it, by
-   the exact Jaccard similarity of the sets. They are then done, and rounds with more of them follow
+   the exact similarity. They are then done, and rounds with more of them follow
    until each pair of a bucket has met or is in one component. So no pair is skipped, a large group
    around one text takes one round, and texts that share a passage alone never become pairs.
-3. Sets and sketches are built for nodes in buckets alone, once; components are those of `simhash.components`.
+4. Sets are built for nodes with candidates alone, once, and sketches for those in buckets; components are those of `simhash.components`.
 
 A pair of similarity s shares no bucket with chance (1 - s^ROWS)^BANDS: 0.0004 at 0.8, 0.00001 at 0.85.
 Shingles are of lower-cased words as in operator 4 and are compared by 64-bit hashes. Fewer words
@@ -24,8 +27,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, release, ship, slices, strings
-from .simhash import components, first_rows, identified
+from .shared import materialize, release, ship, slices, spread_join, strings
+from .simhash import components, fingerprint, first_rows, identified, links
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 5
@@ -122,7 +125,7 @@ def plausible(own: Column, other: Column) -> Column:
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """doc_id, node (hash of the set of shingles), its buckets (none without words)."""
+    """doc_id, node (hash of the set of shingles), its buckets (none without words) and the text's fingerprint."""
     ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,9 +136,10 @@ def signatures(rows: DataFrame) -> DataFrame:
                 node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
                 ends = np.concatenate([[0], np.cumsum([BANDS * (len(s) > 0) for s in sets])]).astype(np.int32)
                 own = bands(minima(sets))[[len(s) > 0 for s in sets]].ravel().view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(node), pa.ListArray.from_arrays(pa.array(ends), pa.array(own))], names=["doc_id", "node", "buckets"])
+                fp = np.array([fingerprint(t, SHINGLE) for t in texts[a:b]], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(node), pa.ListArray.from_arrays(pa.array(ends), pa.array(own)), pa.array(fp)], names=["doc_id", "node", "buckets", "fp"])
 
-    out = rows.select("doc_id", F.lit(0).cast("long").alias("node"), F.array().cast("array<long>").alias("buckets")).schema
+    out = rows.select("doc_id", F.lit(0).cast("long").alias("node"), F.array().cast("array<long>").alias("buckets"), F.lit(0).cast("long").alias("fp")).schema
     return rows.select("doc_id", "text").mapInArrow(run, out)
 
 
@@ -171,17 +175,30 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").select("a", "b", "__r", "__s", "x", "y").mapInArrow(run, "a long, b long, __r long, __s long")
 
 
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """a, b: operator 4's links among the nodes' fingerprints, each by the least node of either fingerprint, and
+    that node with each other one of its fingerprint. Nodes without words have no others."""
+    own = materialize(nodes.filter("size(buckets) > 0").select("node", "fp"), "fingerprints")
+    least = materialize(own.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "fingerprints")
+    equal = spread_join(own, least, "fp", "first", "n", own.count()).filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    one, other = least.select(F.col("fp").alias("a"), F.col("first").alias("x")), least.select(F.col("fp").alias("b"), F.col("first").alias("y"))
+    near = links(least.select("fp")).distinct().join(one, "a").join(other, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return equal.unionByName(near).distinct()
+
+
 def linked(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """node and root, the smallest node of its component, of the nodes that a similar one was found for.
-    nodes: node, least (one of its rows) and buckets.
+    nodes: node, least (one of its rows), buckets and fp.
 
-    The components are those of all similar pairs that share a bucket. They are computed anew only
+    The components are those of all similar pairs that share a bucket or that `fingerprint_pairs` gives. They are computed anew only
     after a round that found new pairs, over the roots that those pairs join."""
     every = nodes.select("node", F.explode("buckets").alias("bucket"))
     crowded = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = materialize(every.join(crowded, "bucket"), "shared")
     company = materialize(shared.groupBy("node").agg(F.sum("n").alias("company")), "company")
-    sets = materialize(sets_of(rows, nodes.join(company, "node").select("node", "least")), "shingles")  # texts move once
+    close = materialize(fingerprint_pairs(nodes), "close")
+    wanted = company.select("node").union(close.select("a")).union(close.select("b")).distinct()
+    sets = materialize(sets_of(rows, nodes.join(wanted, "node").select("node", "least")), "shingles")  # texts move once
     own = shared.groupBy("node").agg(F.array_sort(F.collect_list("bucket")).alias("own"))  # at most BANDS
     seen = company.join(own, "node").join(looks(sets), "node").select("node", "company", F.struct("sketch", "size", F.col("own").alias("buckets")).alias("look"))
     left = materialize(shared.join(seen, "node").select("bucket", "node", "look", "company", F.col("node").alias("root")), "buckets")
@@ -191,7 +208,7 @@ def linked(rows: DataFrame, nodes: DataFrame) -> DataFrame:
         apart = left.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
         old, left = left, materialize(left.join(apart, "bucket", "left_semi"), "buckets")
         release(old)
-        if left.isEmpty():
+        if close is None and left.isEmpty():
             return roots
         top = left.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= pivots)
         chosen = materialize(top.groupBy("bucket").agg(F.collect_list(F.struct(F.col("node").alias("pivot"), F.col("root").alias("own"), "look")).alias("pivots")), "pivots")  # at most `pivots` each
@@ -201,6 +218,8 @@ def linked(rows: DataFrame, nodes: DataFrame) -> DataFrame:
         like = F.filter("pivots", lambda p: (p["own"] != F.col("root")) & plausible(F.col("look"), p["look"]) & here(p))
         met = left.join(chosen, "bucket").select("node", "root", F.explode(F.transform(like, lambda p: F.struct(p["pivot"].alias("pivot"), p["own"].alias("own")))).alias("p")).select("node", "root", "p.*")
         pairs = materialize(met.groupBy(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).agg(F.first(F.least("root", "own")).alias("__r"), F.first(F.greatest("root", "own")).alias("__s")), "pairs")
+        if close is not None:  # in the first round every node is its own root
+            pairs, close = materialize(pairs.unionByName(close.select("a", "b", F.col("a").alias("__r"), F.col("b").alias("__s"))).distinct(), "pairs"), None
         done = chosen.select(F.col("bucket").alias("__bucket"), F.explode("pivots.pivot").alias("pivot"))
         left = left.join(done, (F.col("bucket") == F.col("__bucket")) & (F.col("node") == F.col("pivot")), "left_anti")
         if not pairs.isEmpty():
@@ -220,7 +239,7 @@ def admit(docs: DataFrame) -> DataFrame:
     """docs with one row of each component of similar texts, chosen as in `simhash.admit`."""
     rows = identified(docs)
     prints = materialize(signatures(rows), "signatures")
-    nodes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("buckets").alias("buckets")), "nodes")
+    nodes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("buckets").alias("buckets"), F.min("fp").alias("fp")), "nodes")
     roots = linked(rows, nodes).withColumnRenamed("node", "__node")
     best = nodes.join(roots, F.col("node") == F.col("__node"), "left").groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("best"))
     return first_rows(docs, best)
